@@ -50,8 +50,9 @@ class Sets:
             grams[start] = mixed(gram_keys(keys[start : start + n[r]], int(n[r])) + STEP * np.array([n[r]], np.uint64))[0]
             valid[start] = True
         grams, row = grams[valid], row[valid]
-        by = np.lexsort([grams, row])
-        grams, row = grams[by], row[by]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
+        for start, stop in pairwise(ends.tolist()):
+            grams[start:stop].sort()
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
         self.hashes, self.row = grams[new], row[new]
@@ -72,37 +73,35 @@ def row_keys(ids: np.ndarray, signatures: np.ndarray) -> np.ndarray:
     return mixed(mixed(ids.view(np.uint64) + STEP) ^ signatures[0])
 
 
-def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, sig) of docs (id, text)."""
+def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, n, sig) of docs (id, text); and in how many texts the shingles of each of SKETCH cells stand, all texts counted.
 
-    def each(texts: pa.Array) -> list[pa.Array]:
-        s = Sets(texts, k)
-        both = np.ascontiguousarray(s.signatures().T)
-        return [pa.array(s.size), pa.array([b.tobytes() for b in both], pa.binary(16)).cast(pa.binary())]
-
-    return map_texts(docs, "text", ["id"], [T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())], lambda: each)
-
-
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """In how many texts the shingles of each of SKETCH cells stand, all texts counted. Its size doesn't depend on docs."""
+    The sketch's size doesn't depend on docs: it is summed over all tasks piece by piece and comes to the driver.
+    """
     pieces = 16
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH, np.int64)
+        names = ["id", "n", "sig", "piece"]
         for batch in batches:
             for part in slices(batch, "text"):
-                cells += np.bincount((Sets(part.column(0), k).hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                s = Sets(part.column(1), k)
+                cells += np.bincount((s.hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                both = np.ascontiguousarray(s.signatures().T)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), pa.array([b.tobytes() for b in both], pa.binary()), pa.nulls(part.num_rows, pa.int32())], names)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([c.tobytes() for c in np.split(cells.astype(np.uint32), pieces)], pa.binary())], ["piece", "cells"])
+            some = pa.array([packed(c) for c in np.split(cells, pieces)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.array(range(pieces), pa.int32())], names)
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in group.column("cells").to_pylist())
+        total = sum(np.frombuffer(pa.decompress(c, 8 * SKETCH // pieces, "zstd", asbytes=True), np.int64) for c in group.column("sig").to_pylist())
         return pa.table({"piece": group.column("piece")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
+    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, piece int"))
     out = np.zeros(SKETCH, np.int64)
-    for r in docs.select("text").mapInArrow(count, "piece int, cells binary").groupBy("piece").applyInArrow(add, "piece int, cells binary").collect():
+    for r in both.where("piece is not null").select("piece", "sig").groupBy("piece").applyInArrow(add, "piece int, cells binary").collect():
         out[r.piece * (SKETCH // pieces) : (r.piece + 1) * (SKETCH // pieces)] = np.frombuffer(r.cells, np.int64)
-    return out
+    return both.where("piece is null").drop("piece"), out
 
 
 def prefixes(s: Sets, rows: np.ndarray, cells: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,6 +207,28 @@ def widened(*parts: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def left_over(n, length, num: int, den: int):
+    """Shingles behind a prefix, for numbers, arrays and columns alike."""
+    return -(-num * n // den) - length
+
+
+def shared_least(first, second, num: int, den: int, most: Callable):
+    """Prefix shingles that two similar sets (n, l) share at least.
+
+    All shared shingles up to the prefix's end that comes first are in both prefixes; the others stand behind that prefix.
+    So a similar pair's overlap, num / (num + den) of both sizes or more, can't be larger than the shared prefix shingles
+    and what is left behind the one prefix or the other.
+    """
+    overlap = -(-num * (first[0] + second[0]) // (num + den))
+    return overlap - most(left_over(*first, num, den), left_over(*second, num, den))
+
+
+def shared_least_sql(num: int, den: int) -> str:
+    """shared_least of (n, l) and (bn, bl) as SQL."""
+    left = lambda n, length: f"((({num} * {n} + {den - 1}) div {den}) - {length})"
+    return f"(({num} * (n + bn) + {num + den - 1}) div {num + den}) - greatest({left('n', 'l')}, {left('bn', 'bl')})"
+
+
 def cross_pairs(group: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of rows of unlike components that share prefix shingles, with how many, from the postings of a bucket of shingles."""
     token, ids, comp, n, length = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("token", "id", "component", "n", "l"))
@@ -230,7 +251,8 @@ def cross_pairs(group: pa.Table, num: int, den: int) -> pa.Table:
             fits = (comp[rest] != comp[at]) & (ids[rest] != ids[at]) & (den * np.minimum(n[rest], n[at]) >= num * np.maximum(n[rest], n[at]))
             other = np.flatnonzero(fits) + at + 1
             if len(other):
-                held.append(np.stack([np.full(len(other), ids[at]), ids[other], np.minimum(length[other], length[at]), np.ones(len(other), np.int64)]))
+                need = np.maximum(np.minimum(length[other], length[at]), shared_least((n[other], length[other]), (n[at], length[at]), num, den, np.maximum))
+                held.append(np.stack([np.full(len(other), ids[at]), ids[other], need, np.ones(len(other), np.int64)]))
                 waiting += len(other)
         if waiting > MOST_PAIRS:
             settle()
@@ -253,7 +275,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    base = staged(signed(named, k))
+    base, cells = first_pass(named, k)
     usable = base.where("n > 0 and id is not null")
     classes = usable.groupBy("sig").agg(F.min("id").alias("leader"), F.count("*").alias("copies"))
     same = staged(usable.join(classes.where("copies > 1"), "sig").select("id", "leader", "sig"))
@@ -268,7 +290,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     out_keys = spark.sparkContext.broadcast(keys)
     dropped = lambda x: np.isin(x.view(np.int64), out_keys.value)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = staged(live_postings(linkable, sketch(linkable, k), k, num, den, dropped, buckets))
+    live = staged(live_postings(linkable, cells, k, num, den, dropped, buckets))
 
     live_ids = live.select("id").distinct()
     wanted = bounded_keys(live_ids)
@@ -295,8 +317,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     tried = None
     for _ in range(2):
         named_live = live if tried is None else live.join(tried.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-        first = named_live.groupBy("token").agg(F.min("id").alias("b"))
-        shared = named_live.join(first, "token").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
+        first = named_live.groupBy("token").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("bn"), F.min_by("l", "id").alias("bl"))
+        met = named_live.join(first, "token").where("id <> b").groupBy(F.col("id").alias("a"), "b")
+        shared = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("bn").alias("bn"), F.first("bl").alias("bl"))
+        need = F.expr(shared_least_sql(num, den))
+        shared = shared.where((F.col("shared") >= need) & (den * F.least("n", "bn") >= num * F.greatest("n", "bn")))
         top = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
         pairs = staged(shared.withColumn("r", F.row_number().over(top)).where("r = 1").select("a", "b"))
         good = staged(verified(pairs, sets, num, den))
