@@ -138,7 +138,7 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = SLICE_BYTES) -> DataFrame:
     """df's columns carry, followed by what the function that make() returns in each task gives for slices of text_col. No shuffle."""
     carried = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("__sliced"))
     schema = T.StructType([*carried.schema.fields[:-1], *fields])
@@ -147,7 +147,7 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: list[T.Str
         each = make()
         names = [f.name for f in schema.fields]
         for batch in batches:
-            for part in slices(batch, "__sliced"):
+            for part in slices(batch, "__sliced", limit):
                 made = each(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
 

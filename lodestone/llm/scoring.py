@@ -17,7 +17,8 @@ from .tokens import byte_level_pieces, encoder
 CONTEXT_WEIGHT, TOKEN_WEIGHT = 16.0, 0.5
 #: Bigrams whose losses are broadcast at most; beyond them texts' bigrams are joined with the model.
 BROADCAST_BIGRAMS = 1 << 23
-COMPACT = 1 << 22  # bigrams that a task gathers before it adds them up
+COMPACT = 1 << 21  # bigrams that a task gathers before it adds them up
+STEP_BYTES = 2 << 20  # text that a task counts or scores at once
 
 LOSSES = [T.StructField("n_tokens", T.LongType()), T.StructField("target_bits", T.DoubleType()), T.StructField("background_bits", T.DoubleType())]
 
@@ -53,26 +54,30 @@ def count_bigrams(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = bigrams(path, vocabulary)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
-        def added() -> np.ndarray:
-            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return np.stack([keys, *(np.bincount(where, np.concatenate([h[i] for h in held]), len(keys)).astype(np.int64) for i in (1, 2))])
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.argsort(keys, kind="stable")
+            keys, n = keys[by], n[by]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else by
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 keys, bounds = of(part.column(0))
                 target = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
-                held.append(np.stack([keys, target, np.ones(len(keys), np.int64)]))
-                waiting += len(keys)
+                held.append(np.unique(keys * 2 + target, return_counts=True))
+                waiting += len(held[-1][0])
                 if waiting > COMPACT:
                     held = [added()]
-                    waiting = held[0].shape[1]
+                    waiting = len(held[0][0]) // 2
         if held:
-            out = added()
-            for at in range(0, out.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in out], ["bigram", "target", "background"])
+            keys, n = added()
+            for at in range(0, len(keys), 100_000):
+                k, c = keys[at : at + 100_000], n[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(np.where(k & 1, c, 0)), pa.array(c)], ["bigram", "target", "background"])
 
     partial = docs.select("text", "is_target").mapInArrow(count, "bigram long, target long, background long")
     return partial.groupBy("bigram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
@@ -146,7 +151,7 @@ def score(docs: DataFrame, target: Column, path: str, *, score_docs: DataFrame |
 
             return each
 
-        losses = map_texts(scored, "text", [id_col], LOSSES, make)
+        losses = map_texts(scored, "text", [id_col], LOSSES, make, STEP_BYTES)
     else:
         losses = joined_losses(scored, id_col, counts, model, path)
     return losses.withColumn("difference", F.col("target_bits") - F.col("background_bits"))
@@ -178,7 +183,7 @@ def joined_losses(scored: DataFrame, id_col: str, counts: DataFrame, model: Word
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits[0]), pa.array(bits[1])], ["__text_key", "t", "b"])
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField("bigram", T.LongType()), T.StructField("n", T.LongType())])))]
-    grams = staged(map_texts(numbered, "text", ["__id", "__text_key"], fields, make))
+    grams = staged(map_texts(numbered, "text", ["__id", "__text_key"], fields, make, STEP_BYTES))
     flat = grams.dropDuplicates(["__text_key"]).select("__text_key", F.explode("grams").alias("g")).select("__text_key", F.col("g.bigram").alias("bigram"), F.col("g.n").alias("n"))
     known = flat.join(counts, "bigram", "left").select("__text_key", "bigram", "n", F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("background", F.lit(0)).alias("background"))
     sums = known.mapInArrow(losses, "__text_key string, t double, b double").groupBy("__text_key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))

@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
 
     cache_dir holds Parquet of (version, digest, n_tokens). Content is normalised to UTF-8 with null as the empty text, no
     further, since anything else could change a count. Digests of docs are joined with those stored for this tokenizer's
-    version; one row of each distinct miss is encoded and the counts are appended to the cache before they are joined
+    version; of each distinct miss the row of the smallest id is encoded (rows alike in both are, and are stored once) and the counts are appended to the cache before they are joined
     back, so that a rerun or a lost executor finds them stored.
 
     Null text and empty text: 0 bytes, 0 tokens. Repeated rows and ids, and null ids: each row has its own result. Very
@@ -157,7 +157,7 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
         return count
 
     counts = map_texts(chosen, "__text", ["digest"], [T.StructField("n_tokens", T.LongType())], make)
-    counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
+    counts.dropDuplicates(["digest"]).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     return light.join(cached(), "digest").select(F.col("__id").alias(id_col), "n_bytes", "digest", "n_tokens")
 
 
