@@ -230,13 +230,13 @@ def test_toxicity_on_held_out_rows(spark):
         rows.append((i, " ".join(w), int(i % 4 == 0)))
     df = spark.createDataFrame(rows, "id long, text string, toxic int")
     out = zlib.crc32
-    model = toxicity.train(df.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1))
+    model = toxicity.train(df, df.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1), id_col="id")
     score = {r.id: r.score for r in toxicity.score(df, model, id_col="id").collect()}
     held = [r for r in rows if out(str(r[0]).encode()) % 3 == 1]
     assert all((score[i] >= 0.7) == bool(y) for i, _, y in held)
     assert {r.doc_id: r.score for r in toxicity.score(hard(spark), model).collect()}[1] < 0.7
     assert toxicity.score(empty(spark), model).count() == 0
-    assert toxicity.train(df.limit(0)) is not None
+    assert toxicity.train(df.limit(0), df.limit(0), id_col="id") is not None
 
 
 def test_language_on_held_out_rows(spark):
