@@ -20,7 +20,7 @@ FAMILIES = {
     "romance": ("es", "fr", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
-FEATURES = 1 << 16
+FEATURES = 1 << 14
 #: Bounds of the training sample: documents of each language, and bytes of a document that can be in it.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_TEXT_BYTES = 1 << 20
@@ -46,7 +46,7 @@ def feature_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         before[n:] = now[:-n] if n < len(data) else before[n:]
         before[since < n] = 32
         gram = gram | (before << np.uint32(8 * n))
-        out.append(((gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(16)).astype(np.int64))
+        out.append(((gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(18)).astype(np.int64))
     return np.stack(out), off
 
 
@@ -89,7 +89,7 @@ def fitted(x: np.ndarray, positive: np.ndarray, scale: np.ndarray, rounds: int =
     """Dual coordinate descent for the L2-regularised hinge loss; classes weigh alike."""
     y = np.where(positive, 1.0, -1.0)
     cost = np.where(positive, c * len(y) / (2 * max(1, positive.sum())), c * len(y) / (2 * max(1, (~positive).sum())))
-    z = x * scale
+    z = x * scale  # 4 bytes a value: the sample by FEATURES, which bounds what the driver holds
     norms = (z * z).sum(1) + 1
     w, b, alpha, rng = np.zeros(z.shape[1]), 0.0, np.zeros(len(y)), np.random.default_rng(7)
     for _ in range(rounds):
