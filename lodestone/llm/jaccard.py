@@ -230,36 +230,38 @@ def shared_least_sql(num: int, den: int) -> str:
 
 
 def cross_pairs(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of rows of unlike components that share prefix shingles, with how many, from the postings of a bucket of shingles."""
-    token, ids, comp, n, length = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("token", "id", "component", "n", "l"))
+    """Pairs of rows of unlike components, with the shingles they must share, from the postings of a bucket of shingles.
+
+    A row's postings in all buckets have one order for all rows; after counts those from this one on. From the first that two
+    rows share each must have as many as they must share, so that only postings that early in both rows make a pair.
+    """
+    token, ids, comp, n, length, after = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("token", "id", "component", "n", "l", "after"))
     by = np.lexsort([ids, token])
-    token, ids, comp, n, length = token[by], ids[by], comp[by], n[by], length[by]
+    token, ids, comp, n, length, after = token[by], ids[by], comp[by], n[by], length[by], after[by]
     bound = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-    done: list[np.ndarray] = []
     held: list[np.ndarray] = []
-
-    def settle() -> None:
-        if held:
-            pairs, where = np.unique(np.concatenate([h[:3] for h in held], axis=1), axis=1, return_inverse=True)
-            done.append(np.vstack([pairs, np.bincount(where.reshape(-1), weights=np.concatenate([h[3] for h in held])).astype(np.int64)]))
-            held.clear()
-
     waiting = 0
     for start, stop in pairwise(bound.tolist()):
         for at in range(start, stop - 1):
             rest = slice(at + 1, stop)
             fits = (comp[rest] != comp[at]) & (ids[rest] != ids[at]) & (den * np.minimum(n[rest], n[at]) >= num * np.maximum(n[rest], n[at]))
             other = np.flatnonzero(fits) + at + 1
-            if len(other):
-                need = np.maximum(np.minimum(length[other], length[at]), shared_least((n[other], length[other]), (n[at], length[at]), num, den, np.maximum))
-                held.append(np.stack([np.full(len(other), ids[at]), ids[other], need, np.ones(len(other), np.int64)]))
-                waiting += len(other)
+            need = np.maximum(np.minimum(length[other], length[at]), shared_least((n[other], length[other]), (n[at], length[at]), num, den, np.maximum))
+            can = np.minimum(after[other], after[at]) >= need
+            if can.any():
+                held.append(np.stack([np.full(int(can.sum()), ids[at]), ids[other[can]], need[can]]))
+                waiting += held[-1].shape[1]
         if waiting > MOST_PAIRS:
-            settle()
-            waiting = 0
-    settle()
-    out = np.concatenate(done, axis=1) if done else np.zeros((4, 0), np.int64)
-    return pa.table({"a": out[0], "b": out[1], "need": out[2], "shared": out[3]})
+            held = [least_needs(np.concatenate(held, axis=1))]
+            waiting = held[0].shape[1] // 2
+    a, b, need = least_needs(np.concatenate(held, axis=1)) if held else np.zeros((3, 0), np.int64)
+    return pa.table({"a": a, "b": b, "need": need})
+
+
+def least_needs(rows: np.ndarray) -> np.ndarray:
+    """Each pair (the first two rows) once, with the least of the third row."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))]
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,10 +334,15 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     # what is left: sets of unlike components that share as many prefix shingles as the smaller l asks
     placed = live.join(named_comp, F.col("id") == F.col("node"), "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("component"))
     placed = staged(placed)
-    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rest = placed.join(mixed_tokens, "token", "left_semi").withColumn("bucket", F.pmod("token", F.lit(buckets)))
-    counted = rest.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long, shared long")
-    enough = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("often")).where("x <> y").select("token", "often")
+    own = Window.partitionBy("id")
+    later = F.count("*").over(own) - F.row_number().over(own.orderBy("often", "token")) + 1  # rare shingles stand first
+    rest = staged(placed.join(mixed_tokens, "token").withColumn("after", later))
+    bucketed = rest.withColumn("bucket", F.pmod("token", F.lit(buckets)))
+    met = bucketed.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long").groupBy("a", "b").agg(F.min("need").alias("need"))
+    tokens = rest.groupBy("id").agg(F.collect_set("token").alias("tokens"))
+    of = lambda name, out: tokens.select(F.col("id").alias(name), F.col("tokens").alias(out))
+    enough = met.join(of("a", "left"), "a").join(of("b", "right"), "b").where(F.size(F.array_intersect("left", "right")) >= F.col("need")).select("a", "b")
     again = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = staged(verified(staged(enough.join(again, ["a", "b"], "left_anti")), sets, num, den))
     final = components(links.unionByName(late)) if late.limit(1).count() else named_comp
