@@ -41,3 +41,23 @@ def slug(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words between white space, 1 at least."""
     return F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")))
+
+
+def long_words(text: Column) -> Column:
+    """The set of a-z and 0-9 words of four characters or more, in lower case."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda t: F.length(t) >= 4))
+
+
+def percent_encoded(text: Column) -> Column:
+    """Percent-encoding of all but letters, digits and _.-~"""
+    out = F.url_encode(text)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def rejoined_prose(text: Column) -> Column:
+    """Text as one line: words cut at a line's end are joined again, white space is single blanks."""
+    joined = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "([A-Za-z])-\n([a-z])", "$1$2")
+    return F.trim(F.regexp_replace(joined, "[ \t\n]+", " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,27 @@ def cluster_bootstrap(clusters: DataFrame, key: str, draws: int, seed: str) -> D
     u = draw(seed, F.col("draw"), F.col(key)) / F.lit(2.0**32)
     weighed = each.withColumn("w", sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)))
     return weighed.groupBy("draw").agg((F.sum(F.col("w") * F.col("total")) / F.sum(F.col("w") * F.col("size"))).alias("mean"))
+
+
+def mcnemar(b: Column, c: Column) -> Column:
+    """Exact two-sided p of b against c discordant pairs; 1 where there are none. A fold of min(b, c) steps in logarithms."""
+    n, k = b + c, F.least(b, c).cast("int")
+    start = F.struct((-n * F.lit(math.log(2))).alias("log"), F.exp(-n * F.lit(math.log(2))).alias("tail"))
+
+    def step(s: Column, i: Column) -> Column:
+        log = s["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (s["tail"] + F.exp(log)).alias("tail"))
+
+    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step)["tail"]))
+
+
+def weighted_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
+    """(n, agreement, kappa) of two ratings 1 .. levels with linear weights; null kappa where chance agrees fully."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    weight = lambda x, y: 1 - F.abs(x - y) / F.lit(float(levels - 1))
+    total = cells.agg(F.sum("n").alias("total"), F.sum(F.col("n") * weight(F.col("a"), F.col("b"))).alias("same"))
+    left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
+    chance = left.crossJoin(F.broadcast(right)).agg(F.sum(F.col("na") * F.col("nb") * weight(F.col("a"), F.col("b"))).alias("chance"))
+    p, e = F.col("same") / F.col("total"), F.col("chance") / F.col("total") / F.col("total")
+    return total.crossJoin(F.broadcast(chance)).select(F.col("total").alias("n"), p.alias("agreement"), F.when(e < 1, (p - e) / F.nullif(1 - e, F.lit(0.0))).alias("kappa"))

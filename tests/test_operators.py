@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import metrics, spans, stats
+from lodestone.operators import joins, metrics, ranking, spans, stats
 from lodestone.operators.search import fused
 from lodestone.streaming.learner import states, stream_states
 
@@ -51,3 +51,27 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").agg(F.max_by(F.struct("attempts", "score", "level"), "attempts").alias("s")).select("user_id", "s.*")
     want = states(events, ["user_id"], ["event_id"], F.col("good") == 1)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_overlapping_spans_meet_once(spark):
+    left = spark.createDataFrame([(1, 0, 25), (1, 30, 30), (2, 5, 6), (None, 0, 9)], "doc int, start int, end int")
+    right = spark.createDataFrame([(1, 0, 25), (1, 24, 60), (1, 25, 26), (2, 0, None), (None, 0, 9)], "doc int, other_start int, other_end int")
+    got = joins.overlapping(left, right, ["doc"], 10).select("doc", "start", "end", "other_start", "other_end").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 25, 0, 25), (1, 0, 25, 24, 60)]
+
+
+def test_complete_rank_needs_whole_paths(spark):
+    hits = spark.createDataFrame([("q", "a", "s", "x", 1), ("q", "a", "t", "x", None), ("q", "b", "s", "x", 4), ("q", "b", "s", "y", 2), ("q", "b", "t", "x", 3), ("r", "a", "s", "x", None)], "q string, p string, s string, c string, rank int")
+    assert {r.q: r.complete_rank for r in ranking.complete_rank(hits, "q", "p", "s", "c", "rank").collect()} == {"q": 3, "r": None}
+
+
+def test_mcnemar(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 0), (2, 8), (5, 5), (0, 10)], "b long, c long")
+    got = [round(r.p, 9) for r in rows.select(stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()]
+    assert got == [1.0, 1.0, 0.109375, 1.0, 0.001953125]
+
+
+def test_coverage_takes_both_sides_and_nulls(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (2,), (3,), (None,)], "k int")
+    assert sorted(map(tuple, joins.coverage(a, b, ["k"]).collect())) == [(1, "missing"), (3, "unexpected")]
+    assert joins.coverage(a.limit(0), b.limit(0), ["k"]).count() == 0
