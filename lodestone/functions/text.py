@@ -61,3 +61,11 @@ def rejoined_prose(text: Column) -> Column:
     """Text as one line: words cut at a line's end are joined again, white space is single blanks."""
     joined = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "([A-Za-z])-\n([a-z])", "$1$2")
     return F.trim(F.regexp_replace(joined, "[ \t\n]+", " "))
+
+
+def readability(text: Column) -> Column:
+    """A struct of the numbers of a-z words, sentences (1 at least) and syllables (vowel groups, 1 at least in a word)."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    groups = lambda w: F.greatest(F.lit(1), F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0))))
+    sentences = F.greatest(F.lit(1), F.size(F.regexp_extract_all(text, F.lit("[.!?]+"), F.lit(0))))
+    return F.struct(F.size(found).alias("words"), sentences.alias("sentences"), F.aggregate(found, F.lit(0), lambda s, w: s + groups(w)).alias("syllables"))

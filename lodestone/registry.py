@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.plans import corpus, evaluation, reports, search, state  # noqa: E402, F401
+from lodestone.plans import assessment, corpus, evaluation, reports, search, state  # noqa: E402, F401
