@@ -72,12 +72,85 @@ def deduplicate_lines(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: i
     return out.withColumn("n_lines", F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
 
 
+def lined(text: Column) -> Column:
+    """A text's lines (ls) and the places, from 1, of those with something other than white space (at); null for null."""
+    split = F.transform(F.array(F.split(text, "\n", -1)), lambda ls: F.struct(ls.alias("ls"), F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.get(ls, i - 1).rlike(r"\S")).alias("at")))
+    return F.when(text.isNotNull(), split[0])
+
+
+def windows(text: Column, least_lines: int) -> Column:
+    """Every run of least_lines filled lines of a text, with the lines between them, as (no, key): an array, empty for null.
+
+    The key is the SHA-256 of the run's bytes.
+    """
+
+    def of(s: Column) -> Column:
+        end = lambda k: F.get(s["at"], k + (least_lines - 1))
+        key = lambda i, k: F.unhex(F.sha2(F.array_join(F.slice(s["ls"], i, end(k) - i + 1), "\n").cast("binary"), 256))
+        starts = F.slice(s["at"], F.lit(1), F.greatest(F.size(s["at"]) - (least_lines - 1), F.lit(0)))
+        return F.transform(starts, lambda i, k: F.struct(k.alias("no"), key(i, k).alias("key")))
+
+    return F.coalesce(F.transform(F.array(lined(text)), of)[0], F.array())
+
+
+def without(text: Column, removed: Column, least_lines: int) -> Column:
+    """(n, kept_text): what is left of a text without the lines from the first to the last of each removed window."""
+
+    def of(s: Column) -> Column:
+        gone = F.flatten(F.transform(removed, lambda k: F.sequence(F.get(s["at"], k), F.get(s["at"], k + (least_lines - 1)))))
+        kept = F.array_except(F.sequence(F.lit(1), F.size(s["ls"])), gone)
+        return F.struct((F.size(s["ls"]) - F.size(kept)).alias("n"), F.array_join(F.transform(kept, lambda i: F.get(s["ls"], i - 1)), "\n").alias("kept_text"))
+
+    return F.transform(F.array(lined(text)), of)[0]
+
+
+def deduplicate_runs(docs: DataFrame, *, least_lines: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(id, text, n_lines, n_removed, kept_text, carried), one row per row of docs: whole shared runs of lines are out.
+
+    A line goes if it is in a run of least_lines filled lines (blank lines between them included) that stands byte by byte
+    at an earlier place: in a document of a smaller id, in one with the same id whose text has a smaller hash, or earlier
+    in the same text. Every window is looked up, so shared runs go whole, however short and wherever they begin. A line's
+    first place is never among what goes. Windows are the same if their SHA-256 is.
+
+    What stays: filled lines whose neighbours on both sides differ from those of all earlier places, so repeated lines on
+    their own, and blank lines at a run's ends. Null text: no lines, null kept text. Empty text: one line. Repeated rows
+    alike in id and text are one document and are treated alike; rows that share an id only are documents of their own.
+    Null ids come first. Very long texts: linear time. No rows: none come out. Further columns named in carry come along
+    in the struct carried; others are left out.
+    """
+    further = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    whole_rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), further.alias("carried")).withColumn("hash", F.xxhash64("text"))
+    parts = whole_rows.select("id", "hash", F.explode(windows(F.col("text"), least_lines)).alias("w"))
+    placed = parts.select(F.col("w.key").alias("key"), F.struct("id", "hash", F.col("w.no").alias("no")).alias("place"))
+    met = placed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    repeated = met.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first")
+    again = placed.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
+    removed = again.groupBy(F.col("place.id").alias("rid"), F.col("place.hash").alias("rhash")).agg(F.collect_set("place.no").alias("removed"))
+    joined = whole_rows.join(removed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash")), "left")
+    left = joined.select("id", "text", "carried", F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"), least_lines)).alias("left"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return left.select(
+        F.col("id").alias(id_col),
+        F.col("text").alias(text_col),
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce("left.n", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("left.kept_text")).alias("kept_text"),
+        "carried",
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the chunks of lines that stand earlier in the corpus."""
     kept = deduplicate_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines that stand earlier in the corpus, found at every line."""
+    kept = deduplicate_runs(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP8_SQL = """
 WITH lined AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL

@@ -10,7 +10,7 @@ from .decontamination import op4_benchmark_decontamination
 from .embeddings import op2_embedding_near_dedup
 from .jaccard import op6_ngram_jaccard_join
 from .language import op9_language_id
-from .lines import OP8_SQL, op8_line_dedup
+from .lines import OP8_SQL, op8_line_dedup, op8_line_run_dedup
 from .packing import op10_best_fit_packing
 from .scoring import op3_lm_scoring
 from .substrings import op5_substring_dedup
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_ngram_jaccard_join,
         op7_toxicity,
         op8_line_dedup,
+        op8_line_run_dedup,
         op9_language_id,
         op10_best_fit_packing,
     )

@@ -214,6 +214,50 @@ def test_line_dedup_of_hard_rows(spark):
     assert lines.deduplicate_lines(empty(spark)).count() == 0
 
 
+def runs_by_hand(rows):
+    """n_removed and what is kept, by windows of two filled lines; ids are unique."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        ls = text.split("\n")
+        at, gone = [k for k, x in enumerate(ls) if re.search(r"[^ \t\n\x0b\f\r]", x)], set()
+        for a, b in zip(at, at[1:]):
+            key = tuple(ls[a : b + 1])
+            gone.update(range(a, b + 1)) if key in seen else seen.add(key)
+        out[i] = (len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone))
+    return out
+
+
+def test_line_runs_go_whole(spark):
+    passage = [f"passage {i} " + "word " * 60 for i in range(5)]
+    rows = [*documents(), (90_000, "\n".join(["before", *passage, "after"]))]
+    # every part of two lines or more, between lines of its own; blank lines inside
+    rows += [(90_001 + 10 * a + n, "\n".join([f"own {a} {n}", *passage[a : a + n], f"end {a} {n}"])) for a in range(5) for n in range(1, 6 - a)]
+    rows += [(91_000, "x\n\nhead\n\ntail\n"), (91_001, "y\nhead\n\ntail\n\nz"), (91_002, "head\n\n\ntail"), (91_003, "")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in lines.deduplicate_runs(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == runs_by_hand(rows)
+    assert all(got[90_001 + 10 * a + n][1:] == (n, f"own {a} {n}\nend {a} {n}") for a in range(5) for n in range(2, 6 - a))
+
+
+def test_line_runs_of_hard_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(40))
+    docs = hard(spark).unionByName(spark.createDataFrame([(None, "a\nb"), (80, text), (81, "new\n" + text), (81, "new\n" + text), (81, "a\nb")], DOCS))
+    rows = {(r.doc_id, r.text): r for r in lines.deduplicate_runs(docs).collect()}
+    assert rows[80, text].n_removed == 0 and rows[81, "new\n" + text].n_removed == 40 and rows[81, "new\n" + text].kept_text == "new"
+    assert rows[None, "a\nb"].n_removed == 0 and rows[81, "a\nb"].n_removed == 2
+    assert rows[1, None].kept_text is None and rows[1, None].n_lines == 0 and rows[2, ""].n_lines == 1
+    assert lines.deduplicate_runs(docs).count() == docs.count() and lines.deduplicate_runs(empty(spark)).count() == 0
+
+
+def test_pipelines_line_stage_removes_whole_runs(spark):
+    docs = spark.createDataFrame([(1, "a 1\nb 2\nc 3", 11), (2, "x\na 1\nb 2\ny", 11)], "doc_id long, text string, n_chars long")
+    assert {tuple(r) for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()} == {(1, "a 1\nb 2\nc 3", 11), (2, "x\ny", 3)}
+
+
+def test_line_runs_plan_is_native(spark):
+    plan = lines.op8_line_run_dedup(spark, SF)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_line_dedup_plan_is_native(spark):
     plan = lines.op8_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
