@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +17,23 @@ from .common import ALNUM_LOWER, STEP, coded, hashed, held_out, map_texts, mixed
 #: Bounds of the training sample: labelled documents of each class, and bytes of a document that can be in it.
 SAMPLE_PER_CLASS = 3_000
 SAMPLE_TEXT_BYTES = 1 << 20
-#: Words over which log-likelihoods are compared at once and averaged; a text's score is that of its most toxic stretch, so one insult tells in a long text.
-STRETCH = 1
-#: What is taken off each count: words and bigrams with no more contexts in a class count
-#: through their backoff alone. Bigrams need more, since junk repeats them.
-DISCOUNT = 3.0
-BIGRAM_DISCOUNT = 20.0
+#: What cross-validation within the training sample chooses from: least weight of the shared word distribution, contexts
+#: that a bigram's backoff counts for, words of a stretch, and the weights of the best stretch's mean and of the whole
+#: text's mean next to the best word.
+BACKOFFS = (0.1, 0.3)
+CONTEXT_WEIGHTS = (1_000.0, 30_000.0, 1_000_000.0)
+STRETCHES = (2, 3, 5)
+STRETCH_SHARES = (0.0, 0.5, 1.0, 2.0)
+WHOLE_SHARES = (0.0, 0.25, 1.0)
+FOLDS = 3
+USUAL_DISCOUNT = 0.75  # where counts of counts say nothing
 THRESHOLD = 0.7
 CURVE_ROWS = 3  # of each class
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios, toxic to ordinary: of bigrams that a class has seen often, and of the words to which all others back off."""
+    """Log-likelihood ratios, toxic to ordinary, of bigrams and of the words to which all others back off; how texts are scored by them."""
 
     bigrams: np.ndarray
     bigram_ratio: np.ndarray
@@ -36,6 +41,8 @@ class Model:
     word_ratio: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
+    stretch: int = 1
+    shares: tuple[float, float] = (0.0, 0.0)
 
 
 def lookup(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,64 +70,79 @@ def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed(distinct)[codes] if len(codes) else np.zeros(0, np.uint64), per_text
 
 
-def fit_ratios(toxic: list[str], ordinary: list[str]) -> Model:
-    """Interpolated Kneser-Ney bigram models of both classes.
+def discount(counts: np.ndarray) -> float:
+    """Kneser and Ney's: from how many things were counted once and twice. Always under 1, so that what was seen once tells something."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return once / (once + 2 * twice) if once and twice else USUAL_DISCOUNT
 
-    Counts are of distinct contexts: a word counts as often as there are words that it follows, a bigram likewise, so
-    copies of a text and words that are repeated over and over weigh no more than one.
 
-    Both classes back off to one word distribution, of the counts that discounting took off in either class, and with one
-    weight for each context: that of the class which knows it less. So what neither class has seen often has a ratio of
-    about 1, however unlike the classes' sizes are.
+class Counts:
+    """What a class's texts count, by the number of distinct contexts, for both classes (toxic, ordinary).
+
+    A word counts as often as there are words that it follows, a bigram likewise, so copies of a text and words that are
+    repeated over and over weigh no more than one.
     """
-    sides = []
-    for texts in (toxic, ordinary):
-        keys, per_text = keys_of(pa.array(texts, pa.string()))
-        ahead = np.zeros((3, len(keys)), np.uint64)  # the word before the last, the last, this
-        for back in range(3):
-            ahead[2 - back, back:] = keys[: len(keys) - back]
-            since = np.arange(len(keys)) - np.repeat(per_text[:-1], np.diff(per_text))
-            ahead[2 - back, since < back] = 0
-        trigram = ahead[:, np.unique(mixed(mixed(ahead[0] + STEP) + ahead[1]) + ahead[2], return_index=True)[1]]
-        pair = mixed(trigram[1] + STEP) + trigram[2]
-        kinds = np.unique(pair, return_index=True)[1]
-        sides.append((trigram[2][kinds], trigram[1], trigram[2], pair))
-    vocabulary = np.unique(np.concatenate([s[0] for s in sides]))
-    # shared backoff: what is taken off the words' counts, over both classes, so that the models keep their words' sums
-    shared = sum(np.minimum(aligned(vocabulary, *counted(s[0])), DISCOUNT) for s in sides)
-    shared = shared / max(1.0, shared.sum())
-    unigram, rest = [], 1.0
-    for keys, _, _, _ in sides:
-        n = aligned(vocabulary, *counted(keys))
-        own = np.maximum(n - DISCOUNT, 0)
-        rest = min(rest, own.sum() / (n.sum() + 1))
-        unigram.append(own / max(1.0, own.sum()))
-    rest = 1 - min(rest, 0.9)
-    unigram = [(1 - rest) * u + rest * shared for u in unigram]
-    contexts = np.unique(np.concatenate([s[1] for s in sides]))
-    bigrams, where = np.unique(np.concatenate([s[3] for s in sides]), return_index=True)
-    firsts, seconds = np.concatenate([s[1] for s in sides])[where], np.concatenate([s[2] for s in sides])[where]
-    at_context, at_word = np.searchsorted(contexts, firsts), np.searchsorted(vocabulary, seconds)
-    weight, own = np.zeros(len(contexts)), []
-    for _, first, _, grams in sides:
-        n = np.maximum(aligned(bigrams, *counted(grams)) - BIGRAM_DISCOUNT, 0)
-        mass = np.bincount(at_context, n, len(contexts))
-        weight = np.maximum(weight, 1 - mass / (aligned(contexts, *counted(first)) + 1))
-        own.append(n / np.maximum(mass, 1)[at_context])
-    back = weight[at_context]
-    logs = [np.log((1 - back) * n + back * u[at_word]) for n, u in zip(own, unigram, strict=True)]
-    ratio = (logs[0] - logs[1]).astype(np.float32)
-    single = np.log(unigram[0] / unigram[1]).astype(np.float32)
-    telling = np.abs(ratio - single[at_word]) > 1e-3  # all others have what backing off gives
-    return Model(bigrams[telling], ratio[telling], vocabulary, single)
-
-
-def stretches(model: Model, texts: pa.Array, size: int = STRETCH) -> np.ndarray:
-    """Each text's highest length-normalised log-likelihood ratio over stretches of size words; 0 without words."""
-    keys, per_text = keys_of(texts)
-    out = np.zeros(len(texts))
-    if not len(keys):
-        return out
+
+    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
+        sides = []
+        for texts in (toxic, ordinary):
+            keys, per_text = keys_of(pa.array(texts, pa.string()))
+            ahead = np.zeros((3, len(keys)), np.uint64)  # the word before the last, the last, this
+            for back in range(3):
+                ahead[2 - back, back:] = keys[: len(keys) - back]
+                since = np.arange(len(keys)) - np.repeat(per_text[:-1], np.diff(per_text))
+                ahead[2 - back, since < back] = 0
+            trigram = ahead[:, np.unique(mixed(mixed(ahead[0] + STEP) + ahead[1]) + ahead[2], return_index=True)[1]]
+            pair = mixed(trigram[1] + STEP) + trigram[2]
+            kinds = np.unique(pair, return_index=True)[1]
+            sides.append((trigram[2][kinds], trigram[1], trigram[2], pair))
+        self.vocabulary = np.unique(np.concatenate([s[0] for s in sides]))
+        self.words = [aligned(self.vocabulary, *counted(s[0])) for s in sides]
+        contexts = np.unique(np.concatenate([s[1] for s in sides]))
+        self.bigrams, where = np.unique(np.concatenate([s[3] for s in sides]), return_index=True)
+        firsts, seconds = np.concatenate([s[1] for s in sides])[where], np.concatenate([s[2] for s in sides])[where]
+        self.at_context, self.at_word = np.searchsorted(contexts, firsts), np.searchsorted(self.vocabulary, seconds)
+        self.pairs = [aligned(self.bigrams, *counted(s[3])) for s in sides]
+        self.contexts = [aligned(contexts, *counted(s[1])) for s in sides]
+
+    def smoothed(self, backoff: float, context_weight: float) -> Model:
+        """Interpolated Kneser-Ney models of both classes, each with the discounts that its own counts of counts give.
+
+        Both classes back off to one word distribution, of the counts that discounting took off in either class, and with
+        one weight for each context: that of the class which knows it less. So what neither class has seen often has a
+        ratio near 1, however unlike the classes' sizes are, and every further context moves it.
+        """
+        off = [discount(n) for n in self.words]
+        shared = sum(np.minimum(n, d) for n, d in zip(self.words, off, strict=True))
+        shared = shared / max(1.0, shared.sum())
+        unigram, rest = [], 1.0
+        for n, d in zip(self.words, off, strict=True):
+            own = np.maximum(n - d, 0)
+            rest = min(rest, own.sum() / (n.sum() + 1))
+            unigram.append(own / max(1.0, own.sum()))
+        rest = 1 - min(rest, 1 - backoff)
+        unigram = [(1 - rest) * u + rest * shared for u in unigram]
+        weight, own = np.zeros(len(self.contexts[0])), []
+        for grams, first in zip(self.pairs, self.contexts, strict=True):
+            n = np.maximum(grams - discount(grams), 0)
+            mass = np.bincount(self.at_context, n, len(first))
+            weight = np.maximum(weight, 1 - mass / (first + context_weight))
+            own.append(n / np.maximum(mass, 1)[self.at_context])
+        back = weight[self.at_context]
+        logs = [np.log((1 - back) * n + back * u[self.at_word]) for n, u in zip(own, unigram, strict=True)]
+        ratio = (logs[0] - logs[1]).astype(np.float32)
+        single = np.log(unigram[0] / unigram[1]).astype(np.float32)
+        telling = np.abs(ratio - single[self.at_word]) > 1e-3  # all others have what backing off gives
+        return Model(self.bigrams[telling], ratio[telling], self.vocabulary, single)
+
+
+def fit_ratios(toxic: list[str], ordinary: list[str], backoff: float = BACKOFFS[0], context_weight: float = CONTEXT_WEIGHTS[1]) -> Model:
+    """The smoothed models of both classes' texts."""
+    return Counts(toxic, ordinary).smoothed(backoff, context_weight)
+
+
+def ratios(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Each word's log-likelihood ratio after the word before it."""
     ratio, _ = lookup(keys, model.words, model.word_ratio)
     if len(keys) > 1:
         inside = np.ones(len(keys) - 1, bool)
@@ -128,18 +150,68 @@ def stretches(model: Model, texts: pa.Array, size: int = STRETCH) -> np.ndarray:
         inside[ends[(ends > 0) & (ends < len(keys))] - 1] = False
         whole, known = lookup(mixed(keys[:-1] + STEP) + keys[1:], model.bigrams, model.bigram_ratio)
         ratio[1:] = np.where(inside & known, whole, ratio[1:])
+    return ratio
+
+
+def means(ratio: np.ndarray, per_text: np.ndarray, size: int | None) -> np.ndarray:
+    """Each text's highest mean over stretches of size words, or its whole mean for none; 0 without words."""
+    out, starts, n = np.zeros(len(per_text) - 1), per_text[:-1], np.diff(per_text)
+    if not len(ratio):
+        return out
     total = np.concatenate([[0], np.cumsum(ratio)])
-    starts = per_text[:-1]
-    n = np.diff(per_text)
+    if size is None:
+        return (total[per_text[1:]] - total[starts]) / np.maximum(n, 1)
     row = np.repeat(np.arange(len(n)), n)
-    end = np.minimum(np.arange(len(keys)) + size, per_text[1:][row])
+    end = np.minimum(np.arange(len(ratio)) + size, per_text[1:][row])
     begin = np.maximum(end - size, starts[row])
-    value = (total[end] - total[begin]) / (end - begin)
     some = np.flatnonzero(n)
-    out[some] = np.maximum.reduceat(value, starts[some])
+    out[some] = np.maximum.reduceat((total[end] - total[begin]) / (end - begin), starts[some])
     return out
 
 
+def stretches(model: Model, texts: pa.Array) -> np.ndarray:
+    """Each text's log-likelihood ratio: of its best word, and length-normalised over its best stretch and over all of it."""
+    keys, per_text = keys_of(texts)
+    ratio = ratios(model, keys, per_text)
+    lengths = zip(model.shares, (model.stretch, None), strict=True)
+    return means(ratio, per_text, 1) + sum(share * means(ratio, per_text, size) for share, size in lengths if share)
+
+
+def values_of_fold(rows: list[tuple[str, bool]], k: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """All settings, and by each the values of fold k's rows under a model of the others. A fold's counts go with it."""
+    inside = [r for i, r in enumerate(rows) if i % FOLDS != k]
+    counts = Counts([t for t, y in inside if y], [t for t, y in inside if not y])
+    keys, per_text = keys_of(pa.array([t for t, _ in rows[k::FOLDS]], pa.string()))
+    for backoff, context_weight in product(BACKOFFS, CONTEXT_WEIGHTS):
+        ratio = ratios(counts.smoothed(backoff, context_weight), keys, per_text)
+        word, whole = (means(ratio, per_text, size) for size in (1, None))
+        for size in STRETCHES:
+            best = means(ratio, per_text, size)
+            for shares in product(STRETCH_SHARES, WHOLE_SHARES):
+                yield (backoff, context_weight, size, shares), word + shares[0] * best + shares[1] * whole
+
+
+def chosen(rows: list[tuple[str, bool]]) -> tuple[Model, np.ndarray]:
+    """The model of all rows by the settings whose cross-validated curve loses least, and the rows' values in the folds that left them out."""
+    toxic = np.array([y for _, y in rows], bool)
+    tried: dict[tuple, np.ndarray] = {}
+    for k in range(FOLDS):
+        for settings, value in values_of_fold(rows, k):
+            tried.setdefault(settings, np.zeros(len(rows)))[k::FOLDS] = value
+    at = min(tried, key=lambda s: loss(tried[s], toxic))
+    model = fit_ratios([t for t, y in rows if y], [t for t, y in rows if not y], *at[:2])
+    model.stretch, model.shares = at[2:]
+    return model, tried[at]
+
+
+def loss(value: np.ndarray, toxic: np.ndarray) -> float:
+    """Log loss of a curve through value, with both classes weighing alike."""
+    none = np.zeros(0)
+    m = calibrated(Model(none, none, none, none), value, toxic)
+    p = np.clip(1 / (1 + np.exp(-np.clip(m.slope * value + m.offset, -30, 30))), 1e-9, 1 - 1e-9)
+    return sum(float(-np.log(x).mean()) for x in (p[toxic], 1 - p[~toxic]) if len(x))
+
+
 def calibrated(model: Model, value: np.ndarray, toxic: np.ndarray) -> Model:
     """A logistic curve through rows on which the model wasn't fitted; both classes weigh alike.
 
@@ -171,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
 
     About per_class rows of each class come to the driver, drawn evenly from labels by a hash of the id: this bounds the
     model and what is broadcast. The drawn ids, 4 x per_class at most, are broadcast to find their texts, so no text is
-    shuffled. Four fifths fit the counts, the rest the curve from ratios to scores.
+    shuffled. Cross-validation among them chooses the settings, and the curve from ratios to scores goes through the
+    values of the folds that left a row out; all of them fit the counts.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{label_col}`") == 1).alias("toxic")).where("id is not null and toxic is not null").distinct()
     marks = marks.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
@@ -182,9 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     rows = named.join(F.broadcast(drawn), "id").select("at", "text", "toxic").collect()
     rows = [r for r in rows if r.text]
     rows.sort(key=lambda r: (r.at, r.text))
-    fold = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if i % 5 == 0]
-    model = fit_ratios([r.text for r in fold[0] if r.toxic], [r.text for r in fold[0] if not r.toxic])
-    return calibrated(model, stretches(model, pa.array([r.text for r in fold[1]], pa.string())), np.array([r.toxic for r in fold[1]], bool))
+    model, value = chosen([(r.text, r.toxic) for r in rows])
+    return calibrated(model, value, np.array([r.toxic for r in rows], bool))
 
 
 def score_of(model: Model, texts: pa.Array) -> np.ndarray:

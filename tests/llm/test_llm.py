@@ -283,6 +283,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(df.limit(0), df.limit(0), id_col="id") is not None
 
 
+def test_rare_toxic_words_keep_evidence():
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(60)]
+    ordinary, toxic = ([" ".join(rng.choice(common, 40)) for _ in range(n)] for n in (200, 60))
+    for at, word in ((0, "vile"), (1, "vile"), (2, "vile"), (3, "odd")):
+        toxic[at] = f"c{at} {word} {toxic[at]}"
+    model = toxicity.fit_ratios(toxic, ordinary)
+    of = lambda w: float(toxicity.lookup(toxicity.hashed([w.encode()]), model.words, model.word_ratio)[0][0])
+    assert of("vile") > 0.5 > of("odd") > 0.1 > abs(of("c1"))
+    assert all(0 < toxicity.discount(n) < 1 for n in (np.array([1, 1, 1, 2]), np.array([1, 1]), np.array([2, 2]), np.zeros(0), np.array([1, 2, 5])))
+
+
+def test_stretches_of_mild_words_are_toxic():
+    rng = np.random.default_rng(6)
+    common, mild = [f"c{i}" for i in range(80)], [f"m{i}" for i in range(40)]
+    rows = []
+    for i in range(500):
+        w = list(rng.choice(common, 60))
+        if i % 4 == 0:
+            w[20:26] = rng.choice(mild, 6)
+        else:
+            for p in (10, 40):
+                w[p] = rng.choice(mild)
+        rows.append((" ".join(w), i % 4 == 0))
+    train, held = rows[:400], rows[400:]
+    model, value = toxicity.chosen(train)
+    toxicity.calibrated(model, value, np.array([y for _, y in train]))
+    score = toxicity.score_of(model, toxicity.pa.array([t for t, _ in held]))
+    assert model.shares != (0.0, 0.0) and np.mean((score >= 0.5) == np.array([y for _, y in held])) >= 0.85
+
+
 def test_language_on_held_out_rows(spark):
     rows = language.op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("held_out and length(text) > 30").collect()
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
