@@ -238,6 +238,13 @@ def test_line_runs_go_whole(spark):
     assert all(got[90_001 + 10 * a + n][1:] == (n, f"own {a} {n}\nend {a} {n}") for a in range(5) for n in range(2, 6 - a))
 
 
+def test_runs_of_few_lines_go_whole(spark):
+    one, two = ["same line"] * 9, ["first line", "second line"] * 5
+    rows = [(1, "\n".join(["head", *one, "tail"])), (2, "\n".join(["start", *one[:4], "end"])), (3, "\n".join(["top", *two, "foot"])), (4, "\n".join(["up", *two[:5], "down"]))]
+    got = {r.doc_id: r.kept_text for r in lines.deduplicate_runs(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: "head\nsame line\ntail", 2: "start\nend", 3: "top\nfirst line\nsecond line\nfoot", 4: "up\ndown"}
+
+
 def test_line_runs_of_hard_rows(spark):
     text = "\n".join(f"line {i}" for i in range(40))
     docs = hard(spark).unionByName(spark.createDataFrame([(None, "a\nb"), (80, text), (81, "new\n" + text), (81, "new\n" + text), (81, "a\nb")], DOCS))
