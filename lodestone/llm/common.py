@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that one step of a task holds at a time; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -24,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path in the folder that the cluster shares; a local one only where none is set, as in tests."""
+    """A new folder's path in the folder that the cluster shares, which spark.checkpoint.dir or setCheckpointDir names.
+
+    Only a local master, as in tests, gets a folder of its own where none is set; a cluster gets an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -36,7 +42,17 @@ def staged(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, and no lost executor takes it along."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what staged() wrote for frames that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_in)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -150,10 +166,30 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: list[T.Str
             for part in slices(batch, "__sliced", limit):
                 made = each(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
+        pa.default_memory_pool().release_unused()
 
     return carried.mapInArrow(run, schema)
 
 
+def col(name: str) -> F.Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of docs, with all their columns, that the function which make() returns in each task keeps by their texts. No shuffle."""
+    plain, at = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """The fold on which nothing is learnt: a third of the ids, by checksum. False where the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

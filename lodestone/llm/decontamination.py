@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_LOWER, map_texts, slices, table, words
+from .common import ALNUM_LOWER, filter_texts, map_texts, table, words
 
 #: Test texts that one pass searches for: a block of this many bytes is broadcast, and further blocks take passes of their own.
 BLOCK_BYTES = 8 << 20
@@ -208,21 +208,27 @@ def hit_words() -> F.Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no match of a test item is found (see find_matches)."""
-    spark, schema, out = docs.sparkSession, docs.schema, docs
+    """The rows of docs, with all their columns, in which no match of a test item is found (see find_matches).
+
+    Null and empty texts stay; repeated rows are judged alike. Empty tables: no rows, or all of docs. Columns may have any
+    names, dots included.
+    """
+    spark, out = docs.sparkSession, docs
     for rows in blocks(items, item_id_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(block_of(rows, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def make(shared=shared) -> Callable[[pa.Array], np.ndarray]:
             search = searcher(shared.value) if shared.value else None
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    clean = np.ones(part.num_rows, bool)
-                    if search:
-                        clean[search(part.column(part.schema.get_field_index(text_col)))[1][0]] = False
-                    yield part.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, schema)
+
+            def clean(texts: pa.Array) -> np.ndarray:
+                out = np.ones(len(texts), bool)
+                if search:
+                    out[search(texts)[1][0]] = False
+                return out
+
+            return clean
+
+        out = filter_texts(out, text_col, make)
     return out
 
 

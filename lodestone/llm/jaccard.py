@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED_LOWER, STEP, coded, gram_keys, hashed, map_texts, mixed, slices, staged, table, words
+from .common import SPACED_LOWER, STEP, coded, col, gram_keys, hashed, map_texts, mixed, release, slices, staged, table, words
 from .components import components
 
 SKETCH = 1 << 18
@@ -28,7 +28,8 @@ VERIFY = 8.0  # what a candidate costs, in postings read
 #: Keys that are broadcast at most, 8 bytes each; beyond them the rows are joined.
 BROADCAST_KEYS = 1 << 23
 MOST_PAIRS = 1 << 21  # pairs that a task counts at once
-SIX = 6  # bytes of a shingle's hash that verification compares
+GATHERED = 1 << 20  # postings that a task gathers before it sends them to their buckets
+BUCKET = 1 << 21  # shingles of the corpus for which there is a bucket of postings
 
 
 class Sets:
@@ -74,7 +75,7 @@ def row_keys(ids: np.ndarray, signatures: np.ndarray) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig) of docs (id, text); and in how many texts the shingles of each of SKETCH cells stand, all texts counted.
+    """(id, n, sig, key) of docs (id, text), key being row_keys of id and sig; and in how many texts the shingles of each of SKETCH cells stand, all texts counted.
 
     The sketch's size doesn't depend on docs: it is summed over all tasks piece by piece and comes to the driver.
     """
@@ -82,22 +83,25 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH, np.int64)
-        names = ["id", "n", "sig", "piece"]
+        names = ["id", "n", "sig", "key", "piece"]
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column(1), k)
                 cells += np.bincount((s.hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                both = np.ascontiguousarray(s.signatures().T)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), pa.array([b.tobytes() for b in both], pa.binary()), pa.nulls(part.num_rows, pa.int32())], names)
+                both = s.signatures()
+                sigs = pa.array([b.tobytes() for b in np.ascontiguousarray(both.T)], pa.binary())
+                keys = row_keys(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), both).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), sigs, pa.array(keys), pa.nulls(part.num_rows, pa.int32())], names)
         if cells.any():
             some = pa.array([packed(c) for c in np.split(cells, pieces)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.array(range(pieces), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32())], names)
+        pa.default_memory_pool().release_unused()
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(pa.decompress(c, 8 * SKETCH // pieces, "zstd", asbytes=True), np.int64) for c in group.column("sig").to_pylist())
         return pa.table({"piece": group.column("piece")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
-    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, piece int"))
+    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, piece int"))
     out = np.zeros(SKETCH, np.int64)
     for r in both.where("piece is not null").select("piece", "sig").groupBy("piece").applyInArrow(add, "piece int, cells binary").collect():
         out[r.piece * (SKETCH // pieces) : (r.piece + 1) * (SKETCH // pieces)] = np.frombuffer(r.cells, np.int64)
@@ -146,23 +150,36 @@ def live_postings(docs: DataFrame, cells: np.ndarray, k: int, num: int, den: int
     """Prefix shingles that two rows or more share, as LIVE. They travel packed, a row for each slice and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
+    kind = pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, ids, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])) if len(by) else by
+        out: dict[str, list] = {n: [] for n in kind.names}
+        for start, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
+            own = by[start:stop]
+            for name, value in zip(out, (bucket[own[0]], stop - start, token[own].tobytes(), packed(ids[own]), packed(size[own])), strict=True):
+                out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, schema=kind)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column(1), k)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 rows = np.flatnonzero((s.size > 0) & ~dropped(row_keys(ids, s.signatures())))
                 token, row, best = prefixes(s, rows, shared.value, num, den)
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                out: dict[str, list] = {n: [] for n in ("bucket", "count", "tokens", "ids", "sizes")}
-                for b, (start, stop) in enumerate(pairwise(cuts.tolist())):
-                    if start < stop:
-                        own = by[start:stop]
-                        for name, value in zip(out, (b, stop - start, token[own].tobytes(), packed(ids[row[own]]), packed((s.size * 8 + best)[row[own]])), strict=True):
-                            out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())]))
+                held.append((token, ids[row], (s.size * 8 + best)[row]))
+                waiting += len(token)
+                if waiting > GATHERED:
+                    yield dealt(held)
+                    held, waiting = [], 0
+        if held:
+            yield dealt(held)
+        pa.default_memory_pool().release_unused()
 
     def keep(group: pa.Table) -> pa.Table:
         sizes = group.column("count").to_pylist()
@@ -181,7 +198,7 @@ def bounded_keys(keys: DataFrame) -> np.ndarray | None:
     """The sorted keys, if there are no more than may be broadcast."""
     if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
         return None
-    return np.sort(np.fromiter((r[0] for r in keys.collect()), np.int64))
+    return np.sort(keys.toArrow().column(0).to_numpy())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,20 +210,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), f"V{SIX}") for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(widened(x, y)))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return both.mapInArrow(decide, "a long, b long")
 
 
-def widened(*parts: np.ndarray) -> np.ndarray:
-    out = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    out[:, :SIX] = np.concatenate([p.view(np.uint8).reshape(-1, SIX) for p in parts])
-    return out.view(np.uint64).reshape(-1)
-
-
 def left_over(n, length, num: int, den: int):
     """Shingles behind a prefix, for numbers, arrays and columns alike."""
     return -(-num * n // den) - length
@@ -273,25 +284,28 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
 
     Null texts and texts without words: 0 shingles, linked with nothing. Null ids: not linked, null component. Repeated
     rows: each has a result; rows that share an id share its links. Very long texts are read whole. No rows: none come
-    out. Ids are integers. Further columns are left out.
+    out. Ids are integers. Further columns, whatever their names, are left out.
     """
-    spark = docs.sparkSession
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = placed_rows(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), k, num, den)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, n, sig, component) for each row of named (id, text); see jaccard_components."""
+    spark = named.sparkSession
     base, cells = first_pass(named, k)
     usable = base.where("n > 0 and id is not null")
-    classes = usable.groupBy("sig").agg(F.min("id").alias("leader"), F.count("*").alias("copies"))
-    same = staged(usable.join(classes.where("copies > 1"), "sig").select("id", "leader", "sig"))
-    copies = same.where("id <> leader")
+    classes = staged(usable.groupBy("sig").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).where("copies > 1").select("sig", "leader"))
+    copies = usable.join(classes, "sig").where("id <> leader").select("id", "sig", "key")
     linkable = named.where("id is not null")
-    key_of = F.udf(lambda i, s: int(row_keys(np.array([i], np.int64), np.frombuffer(s, np.uint64).reshape(2, 1)).view(np.int64)[0]), "long")
-    keys = bounded_keys(copies.select(key_of("id", "sig"))) if copies.limit(1).count() else np.zeros(0, np.int64)
+    keys = bounded_keys(copies.select("key")) if classes.limit(1).count() else np.zeros(0, np.int64)
     if keys is None:  # too many to broadcast: the copies leave by a join
         with_sig = map_texts(linkable, "text", ["id", "text"], [T.StructField("sig", T.BinaryType())], lambda: lambda t: [pa.array([b.tobytes() for b in np.ascontiguousarray(Sets(t, k).signatures().T)], pa.binary())])
         linkable = with_sig.join(copies.select("id", "sig").distinct().hint("shuffle_hash"), ["id", "sig"], "left_anti").select("id", "text")
         keys = np.zeros(0, np.int64)
     out_keys = spark.sparkContext.broadcast(keys)
     dropped = lambda x: np.isin(x.view(np.int64), out_keys.value)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(cells.sum()) // BUCKET))
     live = staged(live_postings(linkable, cells, k, num, den, dropped, buckets))
 
     live_ids = live.select("id").distinct()
@@ -308,36 +322,38 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
             for part in slices(batch, "text"):
                 s = Sets(part.column(1), k)
                 own = ~dropped(row_keys(part.column(0).to_numpy(zero_copy_only=False), s.signatures())) & (s.size > 0)
-                low = s.hashes.view(np.uint8).reshape(-1, 8)[:, :SIX].copy()
-                sets = [low[s.ends[r] : s.ends[r + 1]].tobytes() for r in np.flatnonzero(own)]
+                sets = [s.hashes[s.ends[r] : s.ends[r + 1]].tobytes() for r in np.flatnonzero(own)]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(own)), pa.array(sets, pa.binary())], ["id", "hashes"])
+        pa.default_memory_pool().release_unused()
 
     sets = staged(texts.mapInArrow(gather, "id long, hashes binary"))
 
     # each set with the leader with which it shares most prefix shingles; twice, as the first leader may be none of its kind
-    links = same.select(F.col("id").alias("a"), F.col("leader").alias("b")).where("a <> b")
-    tried = None
+    links, tried, spent = None, None, []
     for _ in range(2):
         named_live = live if tried is None else live.join(tried.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-        first = named_live.groupBy("token").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("bn"), F.min_by("l", "id").alias("bl"))
+        first = staged(named_live.groupBy("token").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("bn"), F.min_by("l", "id").alias("bl")))
         met = named_live.join(first, "token").where("id <> b").groupBy(F.col("id").alias("a"), "b")
         shared = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("bn").alias("bn"), F.first("bl").alias("bl"))
         need = F.expr(shared_least_sql(num, den))
         shared = shared.where((F.col("shared") >= need) & (den * F.least("n", "bn") >= num * F.greatest("n", "bn")))
-        top = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-        pairs = staged(shared.withColumn("r", F.row_number().over(top)).where("r = 1").select("a", "b"))
+        best = shared.groupBy("a").agg(F.min(F.struct(-F.col("shared"), "b")).alias("best"))
+        pairs = staged(best.select("a", "best.b"))
         good = staged(verified(pairs, sets, num, den))
-        links = links.unionByName(good)
+        links = good if links is None else links.unionByName(good)
         tried = pairs.join(good, ["a", "b"], "left_anti") if tried is None else tried.unionByName(pairs.join(good, ["a", "b"], "left_anti"))
+        spent += [first, pairs, good]
     named_comp = components(links)
 
     # what is left: sets of unlike components that share as many prefix shingles as the smaller l asks
     placed = live.join(named_comp, F.col("id") == F.col("node"), "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("component"))
     placed = staged(placed)
-    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("often")).where("x <> y").select("token", "often")
+    release(live)
+    mixed_tokens = staged(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("often")).where("x <> y").select("token", "often"))
     own = Window.partitionBy("id")
     later = F.count("*").over(own) - F.row_number().over(own.orderBy("often", "token")) + 1  # rare shingles stand first
     rest = staged(placed.join(mixed_tokens, "token").withColumn("after", later))
+    release(placed, mixed_tokens)
     bucketed = rest.withColumn("bucket", F.pmod("token", F.lit(buckets)))
     met = bucketed.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long").groupBy("a", "b").agg(F.min("need").alias("need"))
     tokens = rest.groupBy("id").agg(F.collect_set("token").alias("tokens"))
@@ -346,14 +362,32 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     again = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = staged(verified(staged(enough.join(again, ["a", "b"], "left_anti")), sets, num, den))
     final = components(links.unionByName(late)) if late.limit(1).count() else named_comp
-    out = base.join(final, base["id"] == final["node"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    final = staged(final)
+    release(rest, sets, *spent)
+    # copies take their leader's component: a class of any size is never a set of links
+    led = base.join(classes, "sig", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("leader", "id")).otherwise(F.col("id")))
+    out = led.join(final, F.col("root") == F.col("node"), "left")
+    return out.select("id", "n", "sig", F.when(F.col("id").isNotNull(), F.coalesce("component", "root")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, without the rows that are in a component with a smaller id. Null ids stay."""
-    gone = jaccard_components(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col).where(f"component_id < {id_col}").select(id_col).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    """docs, with all their columns, without the rows that are in a component with a smaller id.
+
+    Of rows alike in id and shingle set one stays. Rows with null ids stay, and so do rows without words. No rows: none
+    come out. Columns may have any names, dots included.
+    """
+    placed = staged(placed_rows(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), k, num, den))
+    gone = placed.where("component < id").select(F.col("id").alias("__gone")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    by, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = plain.join(gone.hint("shuffle_hash"), F.col(by).cast("long") == F.col("__gone"), "left_anti")
+    twice = staged(placed.where("n > 0 and id is not null and component = id").groupBy("id", "sig").count().where("count > 1").select(F.col("id").alias("__twice")).distinct())
+    if twice.limit(1).count():
+        alike = kept.join(twice, F.col(by).cast("long") == F.col("__twice"), "left_semi")
+        signed = map_texts(alike, text, names, [T.StructField("sig", T.BinaryType())], lambda: lambda t: [pa.array([b.tobytes() for b in np.ascontiguousarray(Sets(t, k).signatures().T)], pa.binary())])
+        kept = kept.join(twice, F.col(by).cast("long") == F.col("__twice"), "left_anti").unionByName(signed.dropDuplicates([by, "sig"]).select(*names))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

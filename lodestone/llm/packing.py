@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, table
-from .tokens import encoder, spaced_pieces, summed
+from .tokens import ENCODE_BYTES, encoder, spaced_pieces, summed
 
 #: Bins that a task holds open.
 OPEN_BINS = 4096
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bins = encoder(path, spaced_pieces), OpenBins(capacity, open_bins)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", ENCODE_BYTES):
                 yield placed(part, encode, bins)
 
     def placed(part: pa.RecordBatch, encode, bins: OpenBins) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, offsets_of, slices, staged, table
-from .tokens import byte_level_pieces, encoder
+from .tokens import ENCODE_BYTES, byte_level_pieces, encoder
 
 #: Weight of the word model in each context's bigram model, and of each token in the word models.
 CONTEXT_WEIGHT, TOKEN_WEIGHT = 16.0, 0.5
@@ -46,7 +46,7 @@ def encoded(docs: DataFrame, text_col: str, carry: list[str], path: str, vocabul
 
         return each
 
-    return map_texts(docs, text_col, carry, [T.StructField("tokens", T.BinaryType())], make)
+    return map_texts(docs, text_col, carry, [T.StructField("tokens", T.BinaryType())], make, ENCODE_BYTES)
 
 
 def id_type(vocabulary: int) -> type[np.unsignedinteger]:

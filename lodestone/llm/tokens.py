@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, map_texts, scratch_dir, table, text_bytes, words
+from .common import SPACED, STEP, map_texts, mixed, scratch_dir, table, text_bytes, words
 
-#: Pieces that a task remembers; beyond them it starts anew, which costs time and changes nothing.
-REMEMBERED = 1_500_000
+#: Text that is encoded at once.
+ENCODE_BYTES = 4 << 20
+#: Pieces that a task remembers, about 40 MB; beyond them it starts anew, which costs time and changes nothing.
+REMEMBERED = 1 << 20
 
 
 def byte_level_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -79,6 +81,60 @@ def glued(tokenizer, run: Callable, pieces: list[str]) -> list[bytes]:
     return out
 
 
+def digests(strings: pa.Array) -> np.ndarray:
+    """128 bits of each string, as two rows: sums over its bytes of numbers mixed from the byte and its place."""
+    data, off = text_bytes(strings)
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(off[:-1], np.diff(off)).astype(np.uint64)
+    x = mixed(((place + np.uint64(1)) << np.uint64(8)) + data)
+    out = np.zeros((2, len(strings)), np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[0, some] = np.add.reduceat(x, off[some])
+        out[1, some] = np.add.reduceat(mixed(x + STEP), off[some])
+    return out
+
+
+class Remembered:
+    """Ids of strings by their 128-bit digests, in sorted runs of numbers: a fifth of a dict's memory."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.runs: list[np.ndarray] = []  # rows: two digests, start in ids, number of ids
+        self.ids, self.used = np.zeros(1 << 10, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key's ids start and how many there are; -1 for unknown keys."""
+        start, n = np.full(keys.shape[1], -1, np.int64), np.zeros(keys.shape[1], np.int64)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run[0], keys[0]), run.shape[1] - 1)
+            hit = (run[0, at] == keys[0]) & (run[1, at] == keys[1])
+            start[hit], n[hit] = run[2, at[hit]], run[3, at[hit]]
+        return start, n
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Remembers new keys; where the ids of each start and how many there are."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        if self.used + len(flat) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(flat)), np.uint32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(flat)] = flat
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        run = np.stack([*keys, start.astype(np.uint64), n.astype(np.uint64)])
+        while self.runs and 2 * run.shape[1] >= self.runs[-1].shape[1]:
+            run = np.concatenate([self.runs.pop(), run], axis=1)
+        self.runs.append(run[:, np.argsort(run[0], kind="stable")])
+        return start, n
+
+    def size(self) -> int:
+        return sum(run.shape[1] for run in self.runs)
+
+
 def encoder(path: str, pieces_of: Callable) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """A function of texts that gives every piece's number, the pieces' ids one after another with their offsets, and each text's piece offsets."""
     import os
@@ -88,23 +144,24 @@ def encoder(path: str, pieces_of: Callable) -> Callable[[pa.Array], tuple[np.nda
 
     tokenizer = Tokenizer.from_file(path)
     run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    known: dict[str, bytes] = {}
+    known = Remembered(REMEMBERED)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         pieces, per_text = pieces_of(texts)
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        missing = [p for p in distinct if p not in known]
-        if len(known) + len(missing) > REMEMBERED:
+        keys = digests(coded.dictionary)
+        start, n = known.find(keys)
+        new = np.flatnonzero(start < 0)
+        if known.size() + len(new) > known.limit and known.runs:
             known.clear()
-            missing = distinct
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            known.update(zip(some, glued(tokenizer, run, some), strict=True))
-        ids = [known[p] for p in distinct]
-        ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:])
-        return coded.indices.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(ids), np.uint32), ends, per_text
+            new = np.arange(len(start))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            start[some], n[some] = known.add(keys[:, some], glued(tokenizer, run, coded.dictionary.take(pa.array(some)).to_pylist()))
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        ids = known.ids[np.repeat(start - ends[:-1], n) + np.arange(int(ends[-1]))]
+        return coded.indices.to_numpy(zero_copy_only=False), ids, ends, per_text
 
     return encode
 
@@ -156,19 +213,20 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
 
         return count
 
-    counts = map_texts(chosen, "__text", ["digest"], [T.StructField("n_tokens", T.LongType())], make)
+    counts = map_texts(chosen, "__text", ["digest"], [T.StructField("n_tokens", T.LongType())], make, ENCODE_BYTES)
     counts.dropDuplicates(["digest"]).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     return light.join(cached(), "digest").select(F.col("__id").alias(id_col), "n_bytes", "digest", "n_tokens")
 
 
 def has_files(spark: SparkSession, path: str) -> bool:
-    from py4j.protocol import Py4JError
     from pyspark.errors import AnalysisException
 
     try:
         return bool(spark.read.schema("version string").parquet(path).inputFiles())
-    except (AnalysisException, Py4JError):
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_LOWER, STEP, coded, hashed, held_out, map_texts, mixed, slices, table, words
+from .common import ALNUM_LOWER, STEP, coded, filter_texts, hashed, held_out, map_texts, mixed, table, words
 
 #: Bounds of the training sample: labelled documents of each class, and bytes of a document that can be in it.
 SAMPLE_PER_CLASS = 3_000
@@ -276,15 +276,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under threshold."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    """The rows of docs, with all their columns, whose score is under threshold; a score of just threshold goes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                yield part.filter(pa.array(score_of(shared.value, part.column(at)) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts and texts without words have the score of a log-likelihood ratio of 0. Repeated rows are judged
+    alike. No rows: none come out. Columns may have any names, dots included.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, text_col, lambda: lambda texts: score_of(shared.value, texts) < threshold)
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
