@@ -1,9 +1,13 @@
-"""Operator 7: toxicity by two Kneser-Ney models, of toxic and of ordinary text, that share their backoff."""
+"""Operator 7: toxicity by two Kneser-Ney models, of toxic and of ordinary text, that share their backoff.
+
+A text is judged by its log-likelihoods under both, each divided by the number of words: over the whole text, and over the
+stretches of two to sixteen words in which it is most like toxic text, as a rude sentence hides in a long text's mean.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -17,14 +21,12 @@ from .common import ALNUM_LOWER, STEP, coded, filter_texts, hashed, held_out, ma
 #: Bounds of the training sample: labelled documents of each class, and bytes of a document that can be in it.
 SAMPLE_PER_CLASS = 3_000
 SAMPLE_TEXT_BYTES = 1 << 20
-#: What cross-validation within the training sample chooses from: least weight of the shared word distribution, contexts
-#: that a bigram's backoff counts for, words of a stretch, and the weights of the best stretch's mean and of the whole
-#: text's mean next to the best word.
+#: What cross-validation within the training sample chooses from: least weight of the shared word distribution, and
+#: contexts that a bigram's backoff counts for.
 BACKOFFS = (0.1, 0.3)
 CONTEXT_WEIGHTS = (1_000.0, 30_000.0, 1_000_000.0)
-STRETCHES = (2, 3, 5)
-STRETCH_SHARES = (0.0, 0.5, 1.0, 2.0)
-WHOLE_SHARES = (0.0, 0.25, 1.0)
+#: Words over which log-likelihoods are compared: the best stretch of so many, and the whole text.
+LENGTHS = (2, 4, 8, 16, None)
 FOLDS = 3
 USUAL_DISCOUNT = 0.75  # where counts of counts say nothing
 THRESHOLD = 0.7
@@ -39,10 +41,8 @@ class Model:
     bigram_ratio: np.ndarray
     words: np.ndarray
     word_ratio: np.ndarray
-    slope: float = 1.0
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS)))  # of a text's value at each length
     offset: float = 0.0
-    stretch: int = 1
-    shares: tuple[float, float] = (0.0, 0.0)
 
 
 def lookup(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,31 +105,37 @@ class Counts:
         self.pairs = [aligned(self.bigrams, *counted(s[3])) for s in sides]
         self.contexts = [aligned(contexts, *counted(s[1])) for s in sides]
 
-    def smoothed(self, backoff: float, context_weight: float) -> Model:
-        """Interpolated Kneser-Ney models of both classes, each with the discounts that its own counts of counts give.
+    def parts(self, backoff: float, context_weight: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Both classes' word distributions and discounted shares of bigrams, and the backoff's weight in each context.
 
-        Both classes back off to one word distribution, of the counts that discounting took off in either class, and with
-        one weight for each context: that of the class which knows it less. So what neither class has seen often has a
-        ratio near 1, however unlike the classes' sizes are, and every further context moves it.
+        A class's p(word | context) is (1 - weight) x share + weight x p(word). Discounts are those that the class's own
+        counts of counts give. Both classes back off to one word distribution, of the counts that discounting took off in
+        either class, and with one weight for each context: that of the class which knows it less. So what neither class
+        has seen often has a ratio near 1, however unlike the classes' sizes are, and every further context moves it.
         """
         off = [discount(n) for n in self.words]
         shared = sum(np.minimum(n, d) for n, d in zip(self.words, off, strict=True))
-        shared = shared / max(1.0, shared.sum())
+        shared = shared / max(shared.sum(), 1e-300)
         unigram, rest = [], 1.0
         for n, d in zip(self.words, off, strict=True):
             own = np.maximum(n - d, 0)
             rest = min(rest, own.sum() / (n.sum() + 1))
-            unigram.append(own / max(1.0, own.sum()))
+            unigram.append(own / max(own.sum(), 1e-300))
         rest = 1 - min(rest, 1 - backoff)
         unigram = [(1 - rest) * u + rest * shared for u in unigram]
-        weight, own = np.zeros(len(self.contexts[0])), []
+        weight, shares = np.zeros(len(self.contexts[0])), []
         for grams, first in zip(self.pairs, self.contexts, strict=True):
             n = np.maximum(grams - discount(grams), 0)
             mass = np.bincount(self.at_context, n, len(first))
             weight = np.maximum(weight, 1 - mass / (first + context_weight))
-            own.append(n / np.maximum(mass, 1)[self.at_context])
+            shares.append(n / np.maximum(mass, 1e-300)[self.at_context])
+        return unigram, shares, weight
+
+    def smoothed(self, backoff: float, context_weight: float) -> Model:
+        """Interpolated Kneser-Ney models of both classes, as the logarithms of their ratio."""
+        unigram, shares, weight = self.parts(backoff, context_weight)
         back = weight[self.at_context]
-        logs = [np.log((1 - back) * n + back * u[self.at_word]) for n, u in zip(own, unigram, strict=True)]
+        logs = [np.log((1 - back) * n + back * u[self.at_word]) for n, u in zip(shares, unigram, strict=True)]
         ratio = (logs[0] - logs[1]).astype(np.float32)
         single = np.log(unigram[0] / unigram[1]).astype(np.float32)
         telling = np.abs(ratio - single[self.at_word]) > 1e-3  # all others have what backing off gives
@@ -169,72 +175,59 @@ def means(ratio: np.ndarray, per_text: np.ndarray, size: int | None) -> np.ndarr
     return out
 
 
-def stretches(model: Model, texts: pa.Array) -> np.ndarray:
-    """Each text's log-likelihood ratio: of its best word, and length-normalised over its best stretch and over all of it."""
-    keys, per_text = keys_of(texts)
+def compared(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Each text's toxic log-likelihood less its ordinary one, a word, over its best stretch of each length and over all of it."""
     ratio = ratios(model, keys, per_text)
-    lengths = zip(model.shares, (model.stretch, None), strict=True)
-    return means(ratio, per_text, 1) + sum(share * means(ratio, per_text, size) for share, size in lengths if share)
-
-
-def values_of_fold(rows: list[tuple[str, bool]], k: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """All settings, and by each the values of fold k's rows under a model of the others. A fold's counts go with it."""
-    inside = [r for i, r in enumerate(rows) if i % FOLDS != k]
-    counts = Counts([t for t, y in inside if y], [t for t, y in inside if not y])
-    keys, per_text = keys_of(pa.array([t for t, _ in rows[k::FOLDS]], pa.string()))
-    for backoff, context_weight in product(BACKOFFS, CONTEXT_WEIGHTS):
-        ratio = ratios(counts.smoothed(backoff, context_weight), keys, per_text)
-        word, whole = (means(ratio, per_text, size) for size in (1, None))
-        for size in STRETCHES:
-            best = means(ratio, per_text, size)
-            for shares in product(STRETCH_SHARES, WHOLE_SHARES):
-                yield (backoff, context_weight, size, shares), word + shares[0] * best + shares[1] * whole
+    return np.stack([means(ratio, per_text, n) for n in LENGTHS], 1)
 
 
 def chosen(rows: list[tuple[str, bool]]) -> tuple[Model, np.ndarray]:
     """The model of all rows by the settings whose cross-validated curve loses least, and the rows' values in the folds that left them out."""
     toxic = np.array([y for _, y in rows], bool)
-    tried: dict[tuple, np.ndarray] = {}
-    for k in range(FOLDS):
-        for settings, value in values_of_fold(rows, k):
-            tried.setdefault(settings, np.zeros(len(rows)))[k::FOLDS] = value
+    tried = {s: np.zeros((len(rows), len(LENGTHS))) for s in product(BACKOFFS, CONTEXT_WEIGHTS)}
+    for k in range(FOLDS):  # a fold's counts go with it
+        inside = [r for i, r in enumerate(rows) if i % FOLDS != k]
+        counts = Counts([t for t, y in inside if y], [t for t, y in inside if not y])
+        keys, per_text = keys_of(pa.array([t for t, _ in rows[k::FOLDS]], pa.string()))
+        for settings, values in tried.items():
+            values[k::FOLDS] = compared(counts.smoothed(*settings), keys, per_text)
     at = min(tried, key=lambda s: loss(tried[s], toxic))
-    model = fit_ratios([t for t, y in rows if y], [t for t, y in rows if not y], *at[:2])
-    model.stretch, model.shares = at[2:]
-    return model, tried[at]
+    return fit_ratios([t for t, y in rows if y], [t for t, y in rows if not y], *at), tried[at]
+
+
+def curve(model: Model, values: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(values @ model.weights + model.offset, -30, 30)))
 
 
-def loss(value: np.ndarray, toxic: np.ndarray) -> float:
-    """Log loss of a curve through value, with both classes weighing alike."""
+def loss(values: np.ndarray, toxic: np.ndarray) -> float:
+    """Log loss of a curve through values, with both classes weighing alike."""
     none = np.zeros(0)
-    m = calibrated(Model(none, none, none, none), value, toxic)
-    p = np.clip(1 / (1 + np.exp(-np.clip(m.slope * value + m.offset, -30, 30))), 1e-9, 1 - 1e-9)
+    p = np.clip(curve(calibrated(Model(none, none, none, none), values, toxic), values), 1e-9, 1 - 1e-9)
     return sum(float(-np.log(x).mean()) for x in (p[toxic], 1 - p[~toxic]) if len(x))
 
 
-def calibrated(model: Model, value: np.ndarray, toxic: np.ndarray) -> Model:
-    """A logistic curve through rows on which the model wasn't fitted; both classes weigh alike.
+def calibrated(model: Model, values: np.ndarray, toxic: np.ndarray) -> Model:
+    """A logistic curve through the values of rows on which the model wasn't fitted; both classes weigh alike.
 
-    A curve needs CURVE_ROWS rows of each class, and must rise: with fewer, or if it doesn't, all scores are 0.5, so that
-    nothing is called toxic on no evidence.
+    A curve needs CURVE_ROWS rows of each class, and must rise with what it is for: with fewer, or if toxic rows don't
+    stand higher than others, all scores are 0.5, so that nothing is called toxic on no evidence.
     """
-    model.slope = model.offset = 0.0
-    if min(toxic.sum(), (~toxic).sum()) < CURVE_ROWS:
+    model.weights, model.offset = np.zeros(values.shape[1]), 0.0
+    if min(toxic.sum(), (~toxic).sum()) < CURVE_ROWS or (values[toxic].mean(0) <= values[~toxic].mean(0)).all():
         return model
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
-    center, spread = value.mean(), value.std() + 1e-9
-    x, w, b = (value - center) / spread, 1.0, 0.0
+    center, spread = values.mean(0), values.std(0) + 1e-9
+    z = np.concatenate([(values - center) / spread, np.ones((len(values), 1))], axis=1)
+    w, ridge = np.zeros(z.shape[1]), np.diag([1e-3] * values.shape[1] + [1e-9])
     for _ in range(200):  # Newton's steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(w * x + b, -30, 30)))
-        g = np.array([(weight * (p - toxic) * x).sum() + 1e-3 * w, (weight * (p - toxic)).sum()])
-        h = weight * p * (1 - p)
-        hessian = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-9]])
-        step = np.linalg.solve(hessian, g)
-        w, b = w - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (p - toxic)) + ridge @ w)
+        w -= step
         if np.abs(step).max() < 1e-8:
             break
-    if w > 0:
-        model.slope, model.offset = float(w / spread), float(b - w * center / spread)
+    if (z[toxic] @ w).mean() > (z[~toxic] @ w).mean():
+        model.weights = w[:-1] / spread
+        model.offset = float(w[-1] - center @ model.weights)
     return model
 
 
@@ -252,16 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     share = lambda side: min(1 << 20, -(-(per_class << 20) // counts.get(side, 1)))
     drawn = marks.where(F.col("at") < F.when(F.col("toxic"), share(True)).otherwise(share(False))).orderBy("at", "id").limit(4 * per_class)
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    rows = named.join(F.broadcast(drawn), "id").select("at", "text", "toxic").collect()
-    rows = [r for r in rows if r.text]
-    rows.sort(key=lambda r: (r.at, r.text))
-    model, value = chosen([(r.text, r.toxic) for r in rows])
-    return calibrated(model, value, np.array([r.toxic for r in rows], bool))
+    found = named.join(F.broadcast(drawn), "id").where("text <> ''").select("at", "text", "toxic").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    del found
+    model, values = chosen([(text, toxic) for _, text, toxic in rows])
+    return calibrated(model, values, np.array([toxic for _, _, toxic in rows], bool))
 
 
 def score_of(model: Model, texts: pa.Array) -> np.ndarray:
-    value = stretches(model, texts)
-    return 1 / (1 + np.exp(-np.clip(model.slope * value + model.offset, -30, 30)))
+    return curve(model, compared(model, *keys_of(texts)))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
