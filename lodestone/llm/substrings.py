@@ -1,10 +1,16 @@
 """Operator 5: removal of repeated passages by suffix trees over groups of suffixes that share a prefix.
 
-Suffixes are cut off at the window's length, since a word is removed for what stands in a window and not behind it. A
-suffix belongs to the group of its least k-gram, which is the prefix of the sparse suffix that begins there; only groups
-with more than one member are gathered at all. In a group, variable-length prefixes split the suffixes further until a
-part fits in memory; the part's sorted suffixes and the depths at which neighbours part are its suffix tree, whose nodes
-as deep as a window are repeats.
+The suffixes that are gathered are sparse: those that begin with the k-gram that is the least, by hash, of some window. A
+window that stands in two places has the same least k-gram in both, so both places belong to suffixes with a common
+prefix. Each such suffix travels with the words of the windows that it stands for, once, instead of once for each word.
+
+Prefixes have variable lengths. Suffixes form a group by their first k words, where no more than a given number of them do;
+groups are dealt over as many buckets as keep each at a bounded size, whatever the corpus's size. Where more do, the prefix
+is lengthened to the whole window: then all members of a group are alike, and Spark's aggregation keeps the first alone.
+
+A bucket's suffixes, sorted, and the depths to which neighbours agree are its suffix tree. Internal nodes as deep as a
+window are the repeats; a node's leaves are its places, of which all but the first are removed. Words of neighbouring
+suffixes overlap, so the repeats of their nodes join to the maximal repeat when they are removed.
 """
 
 from __future__ import annotations
@@ -18,15 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, coded, gram_keys, hashed, map_texts, staged, table, words
+from .common import SPACED, coded, col, gram_keys, hashed, map_texts, release, slices, staged, table, words
 
 WINDOW = 20
 #: Words of the k-grams by which suffixes are grouped.
 GRAM = 5
-#: Members from which a group's equal stretches are merged across tasks before the group is gathered.
-HOT = 2000
-#: Suffixes of a part of a group that is sorted at once.
-PART = 1 << 18
+#: Suffixes with which a group's prefix is lengthened to the window, and those of a bucket of groups.
+GROUP, BUCKET = 1 << 12, 1 << 15
 LEAST, MOST = np.uint64(0), np.uint64(2**64 - 1)
 LOW_ID = np.iinfo(np.int64).min
 
@@ -53,7 +57,8 @@ class Suffixes:
         if not self.valid.any():
             return
         codes, distinct = coded(self.words)
-        grams = np.append(gram_keys(hashed(distinct)[codes], gram), np.full(gram - 1, MOST))
+        self.keys = hashed(distinct)[codes]
+        grams = np.append(gram_keys(self.keys, gram), np.full(gram - 1, MOST))
         grams[np.arange(n) + gram > end] = MOST
         wide = window - gram + 1
         m = sliding(grams, wide, np.minimum)
@@ -61,24 +66,24 @@ class Suffixes:
         self.group[~self.valid] = LEAST
         # places of k-grams that are the least of a window: those that the highest of their windows' least ones equals
         behind = np.concatenate([np.zeros(wide - 1, np.uint64), self.group])
-        self.least = grams[(sliding(behind, wide, np.maximum) == grams) & (grams != MOST)]
-        self.least_row = self.row[(sliding(behind, wide, np.maximum) == grams) & (grams != MOST)]
+        some = (sliding(behind, wide, np.maximum) == grams) & (grams != MOST)
+        self.least, self.least_row = grams[some], self.row[some]
 
     def among(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows are in the groups that keys has for their text, and which of those groups are hot."""
+        """Which windows are in the groups that keys has for their text, and which of those groups are wide."""
         ends = pc.list_value_length(keys).fill_null(0).to_numpy(zero_copy_only=False)
         flat = keys.drop_null().flatten()
-        key, hot = flat.field("key").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("hot").to_numpy(zero_copy_only=False)
+        key, wide = flat.field("key").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("wide").to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(ends)), ends)
         by = np.lexsort([key, row])
         bound = np.searchsorted(row[by], np.arange(len(ends) + 1))
-        inside, is_hot = np.zeros(len(self.group), bool), np.zeros(len(self.group), bool)
+        inside, is_wide = np.zeros(len(self.group), bool), np.zeros(len(self.group), bool)
         for r in np.flatnonzero(ends).tolist():
             own, place = key[by[bound[r] : bound[r + 1]]], slice(self.per_text[r], self.per_text[r + 1])
             at = np.minimum(np.searchsorted(own, self.group[place]), len(own) - 1)
             inside[place] = own[at] == self.group[place]
-            is_hot[place] = inside[place] & hot[by[bound[r] : bound[r + 1]]][at]
-        return inside & self.valid, is_hot & self.valid
+            is_wide[place] = inside[place] & wide[by[bound[r] : bound[r + 1]]][at]
+        return inside & self.valid, is_wide & self.valid
 
 
 def group_keys(texts: pa.Array, window: int, gram: int) -> pa.Array:
@@ -95,14 +100,23 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
 
 
-STRETCHES = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "id", "hash", "start")] + [T.StructField("stretch", T.StringType()), T.StructField("hot", T.BooleanType())])
+STRETCHES = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "id", "hash", "start", "times")] + [T.StructField("stretch", T.StringType())])
+WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("high", "low", "id", "hash", "start", "times")])
 FIRSTS = "id long, hash long, start long, n long"
 
 
+def places(batch: pa.RecordBatch, s: Suffixes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and hashes of the texts of words, and the words' numbers in their texts."""
+    row = s.row[at]
+    ids, hashes = batch.column(0).fill_null(LOW_ID).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    return ids[row], hashes[row], at - s.per_text[:-1][row]
+
+
 def stretches(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
-    """The runs of windows of repeated groups, as text, for columns id, hash, text, keys; equal ones of the slice once."""
+    """The suffixes of repeated groups with their windows' words, for columns id, hash, text, keys; equal ones of the slice once."""
     s = Suffixes(batch.column(2), window, gram)
-    inside, hot = s.among(batch.column(3))
+    inside, wide = s.among(batch.column(3))
+    inside &= ~wide
     new = inside.copy()
     new[1:] &= ~inside[:-1] | (s.group[1:] != s.group[:-1]) | (s.row[1:] != s.row[:-1])
     stop = inside.copy()
@@ -111,137 +125,188 @@ def stretches(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
     size = last - first + window
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
     text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), s.words.take(pa.array(spread(first, size)))), " ") if len(first) else pa.array([], pa.string())
-    row = s.row[first]
-    ids, hashes = batch.column(0).fill_null(LOW_ID).to_numpy(zero_copy_only=False)[row], batch.column(1).to_numpy(zero_copy_only=False)[row]
-    start = first - s.per_text[:-1][row]
+    ids, hashes, start = places(batch, s, first)
     code = text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     by = np.lexsort([start, hashes, ids, code])
-    keep = by[np.append(True, code[by][1:] != code[by][:-1])] if len(by) else by
-    columns = [s.group[first].view(np.int64)[keep], ids[keep], hashes[keep], start[keep]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), text.take(pa.array(keep)).cast(pa.string()), pa.array(hot[first][keep])], STRETCHES.names)
-
-
-def parts(letters: np.ndarray, at: np.ndarray, window: int, most: int) -> Iterator[np.ndarray]:
-    """at, split by as many first letters as it takes until a part has most suffixes or its suffixes share the window."""
-    waiting = [(at, 0)]
-    while waiting:
-        own, depth = waiting.pop()
-        if len(own) <= most or depth >= window:
-            yield own
-            continue
-        letter = letters[own + depth]
-        by = np.argsort(letter, kind="stable")
-        for part in np.split(own[by], np.flatnonzero(np.diff(letter[by])) + 1):
-            waiting.append((part, depth + 1))
-        small = [i for i, (p, d) in enumerate(waiting) if d == depth + 1 and len(p) < most]
-        # neighbours that are small enough together are one part: their suffixes still sort by their first letters
-        if len(small) > 1:
-            joined, held = [], 0
-            rest = [w for i, w in enumerate(waiting) if i not in set(small)]
-            for i in small:
-                if held + len(waiting[i][0]) > most and joined:
-                    yield np.concatenate(joined)
-                    joined, held = [], 0
-                joined.append(waiting[i][0])
-                held += len(waiting[i][0])
-            if joined:
-                yield np.concatenate(joined)
-            waiting = rest
+    heads = np.flatnonzero(np.append(True, code[by][1:] != code[by][:-1])) if len(by) else by
+    keep, times = by[heads], np.diff(np.append(heads, len(by)))
+    columns = [s.group[first].view(np.int64)[keep], ids[keep], hashes[keep], start[keep], times]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), text.take(pa.array(keep)).cast(pa.string())], STRETCHES.names)
 
 
-def first_places(group: pa.Table, window: int) -> pa.Table:
-    """Of all windows in a group's stretches, the places where a word sequence stands first, as runs (id, hash, start, n)."""
+def windows(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
+    """The windows of wide groups by 128 bits of their words; equal ones of the slice once, at their first place."""
+    s = Suffixes(batch.column(2), window, gram)
+    at = np.flatnonzero(s.among(batch.column(3))[1])
+    none = np.zeros(0, np.uint64)
+    high, low = (gram_keys(s.keys ^ mask, window)[at] for mask in (LEAST, MOST)) if len(at) else (none, none)
+    ids, hashes, start = places(batch, s, at)
+    by = np.lexsort([start, hashes, ids, low, high])
+    heads = np.flatnonzero(np.append(True, (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1]))) if len(by) else by
+    columns = [x[by[heads]] for x in (high.view(np.int64), low.view(np.int64), ids, hashes, start)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.diff(np.append(heads, len(by))))], WINDOWS.names)
+
+
+class Tree:
+    """The suffix tree of a bucket, as far as its nodes are as deep as a window.
+
+    leaves are the places of all suffixes in stretches, sorted by the window's words and equal ones by place. node has each
+    leaf's node, the leaves that agree for a window or longer; head has each node's first leaf.
+    """
+
+    def __init__(self, letters: np.ndarray, at: np.ndarray, end: np.ndarray, order: list[np.ndarray], window: int) -> None:
+        bits = max(1, int(letters.max(initial=0)).bit_length())
+        each = 63 // bits
+        columns = []
+        for base in range(0, window, each):
+            column = np.zeros(len(at), np.int64)
+            for depth in range(base, min(window, base + each)):
+                column = (column << bits) | letters[at + depth]
+            columns.append(column)
+        self.leaves = np.lexsort([*order, *columns[::-1]])
+        above = np.ones(len(at), bool)  # whether a leaf and the one before part above the window's depth
+        for column in columns:
+            own = column[self.leaves]
+            above[1:] &= own[1:] == own[:-1]
+        above[1:] = ~above[1:]
+        self.node = np.cumsum(above) - 1
+        self.head = np.flatnonzero(above)
+        self.letters, self.at, self.end, self.window = letters, at, end, window
+
+    def sizes(self) -> np.ndarray:
+        """The leaves of each node."""
+        return np.diff(np.append(self.head, len(self.at)))
+
+    def depths(self) -> np.ndarray:
+        """The words to which all leaves of each node agree, as far as their stretches reach: the node's depth."""
+        letters, at, end = self.letters, self.at, self.end
+        # neighbours of a node agree further: until their words differ, or a stretch ends
+        here = np.flatnonzero(np.append(False, self.node[1:] == self.node[:-1]))
+        left, right = self.leaves[here - 1], self.leaves[here]
+        reach = np.minimum(end[left] - at[left], end[right] - at[right])
+        agree, open_ = np.full(len(here), self.window), np.flatnonzero(reach > self.window)
+        while len(open_):
+            same = letters[at[left[open_]] + agree[open_]] == letters[at[right[open_]] + agree[open_]]
+            open_ = open_[same]
+            agree[open_] += 1
+            open_ = open_[agree[open_] < reach[open_]]
+        alone = end[self.leaves[self.head]] - at[self.leaves[self.head]]  # a leaf of its own is as deep as its stretch
+        depth = np.where(self.sizes() > 1, np.iinfo(np.int64).max, alone)
+        np.minimum.at(depth, self.node[here], agree)
+        return depth
+
+
+def planted(group: pa.Table, window: int) -> tuple[Tree, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of a bucket's stretches, and of each of its suffixes the text's id, hash and number, the place in it, and the stretch."""
     text = group.column("stretch").combine_chunks()
     array, per_text, _ = words(text, SPACED)
-    letters, _ = coded(array)
-    letters = letters.astype(np.int64)
+    letters = coded(array)[0].astype(np.int64)
     many = np.diff(per_text) - window + 1
     at = spread(per_text[:-1], many)
     row = np.repeat(np.arange(len(many)), many)
     ids, hashes, start = (group.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("id", "hash", "start"))
-    of = np.zeros(len(letters), np.int64)
-    of[at] = np.arange(len(at))
     _, doc = np.unique(np.stack([ids, hashes], 1), axis=0, return_inverse=True)
     doc = doc.reshape(-1)[row]
     place = start[row] + at - per_text[:-1][row]
-    bits = max(1, int(letters.max(initial=0)).bit_length())
-    each = 63 // bits
-    first = np.zeros(len(at), bool)
-    for part in parts(letters, at, window, PART):
-        columns = []
-        for base in range(0, window, each):
-            column = np.zeros(len(part), np.int64)
-            for depth in range(base, min(window, base + each)):
-                column = (column << bits) | letters[part + depth]
-            columns.append(column)
-        own = of[part]
-        by = np.lexsort([place[own], doc[own], *columns[::-1]])  # leaves of the tree, equal ones by place
-        parted = np.zeros(len(part), bool)  # whether a leaf and the one before part above the window's depth
-        parted[0] = True
-        for column in columns:
-            parted[1:] |= column[by][1:] != column[by][:-1]
-        first[own[by[parted]]] = True
-    chosen = np.flatnonzero(first)
+    return Tree(letters, at, per_text[1:][row], [place, doc], window), ids[row], hashes[row], doc, place, row
+
+
+def first_places(group: pa.Table, window: int) -> pa.Table:
+    """Of all windows in a bucket's stretches, the places where a word sequence stands first, as runs (id, hash, start, n)."""
+    tree, ids, hashes, doc, place, _ = planted(group, window)
+    chosen = tree.leaves[tree.head]  # a node's first leaf in order of place
     by = chosen[np.lexsort([place[chosen], doc[chosen]])]
-    twice = np.append(True, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1]))
-    by = by[twice]
-    new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1] + 1))
+    new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] > place[by][:-1] + 1))
     head = by[new]
-    n = np.diff(np.append(np.flatnonzero(new), len(by)))
-    return pa.table({"id": ids[row[head]], "hash": hashes[row[head]], "start": place[head], "n": n})
+    starts = np.flatnonzero(new)
+    last = by[np.append(starts[1:], len(by)) - 1]
+    return pa.table({"id": ids[head], "hash": hashes[head], "start": place[head], "n": place[last] - place[head] + 1})
 
 
-KEPT = "n_words long, removed array<struct<start:long,words:long>>, kept_text string"
+def deep_nodes(group: pa.Table, window: int) -> pa.Table:
+    """The nodes of a bucket's tree with more than one place: the first ones and the nodes' depths."""
+    tree, ids, hashes, _, place, row = planted(group, window)
+    times = group.column("times").combine_chunks().to_numpy(zero_copy_only=False)[row]
+    some = np.add.reduceat(times[tree.leaves], tree.head) > 1
+    first = tree.leaves[tree.head][some]
+    return pa.table({"id": ids[first], "hash": hashes[first], "start": place[first], "n": tree.depths()[some]})
 
 
-def without_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, removed, kept_text), one row per row of docs: words under a window that stands earlier are removed.
+KEPT = "n_words long, removed array<struct<start:long,words:long>>, kept_text string"
 
-    Words stand between ASCII white space, as they are. A window is window consecutive words of one text; it is removed if
-    its words also begin earlier, by smaller id, then smaller hash of the text, then start. removed has the runs of removed
-    words; kept_text is the others, joined by one blank.
 
-    Null text: no words, empty kept text. Texts shorter than a window are kept. Rows alike in id and text are one document
-    and are treated alike; rows that share only an id are documents of their own. Null ids come first. Very long texts are
-    read whole. No rows: none come out. Ids are integers. Further columns are left out.
-    """
-    spark = docs.sparkSession
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("hash", F.xxhash64("text")).select("id", "hash", "text")
+def gathered(docs: DataFrame, window: int, gram: int, group: int, bucket: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with the keys of their repeated groups, stretches with their bucket, and windows of wide groups with their first place p and times."""
+    named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).withColumn("hash", F.xxhash64("text")).select("id", "hash", "text")
     keyed = map_texts(named, "text", ["id", "hash"], [T.StructField("keys", T.ArrayType(T.LongType()))], lambda: lambda texts: [group_keys(texts, window, gram)])
     keys = keyed.select(F.coalesce("id", F.lit(LOW_ID)).alias("id"), "hash", F.explode("keys").alias("key"))
-    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    per_doc = keys.join(repeated, "key").groupBy("id", "hash").agg(F.collect_set(F.struct("key", "hot")).alias("keys"))
+    # written before it is joined, so that Spark can split the rows of a key that very many texts have
+    repeated = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = repeated.where(F.col("n") <= group).agg(F.sum("n")).head()[0] or 0
+    marked = keys.join(repeated.select("key", (F.col("n") > group).alias("wide")), "key")
+    per_doc = marked.groupBy("id", "hash").agg(F.collect_set(F.struct("key", "wide")).alias("keys"))
     per_doc = staged(per_doc.select(F.col("id").alias("kid"), F.col("hash").alias("khash"), "keys"))
+    release(repeated)
     texts = named.select(F.coalesce("id", F.lit(LOW_ID)).alias("id"), "hash", "text", F.col("id").isNull().alias("no_id"))
     with_keys = texts.join(per_doc.hint("shuffle_hash"), (F.col("id") == F.col("kid")) & (F.col("hash") == F.col("khash")), "left")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import slices
+    def gather(make: Callable) -> Callable:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield make(part, window, gram)
+            pa.default_memory_pool().release_unused()
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield stretches(part, window, gram)
-
-    found = with_keys.where("keys is not null").select("id", "hash", "text", "keys").mapInArrow(gather, STRETCHES)
-    size = spark.conf.get("spark.sql.shuffle.partitions")
-    plain = found.where("not hot").select("key", "id", "hash", "start", "stretch")
-    merged = found.where("hot").groupBy("key", "stretch").agg(F.min(F.struct("id", "hash", "start")).alias("p")).select("key", "p.id", "p.hash", "p.start", "stretch")
-    members = plain.unionByName(merged).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(4 * int(size))))
-    firsts = members.groupBy("group").applyInArrow(lambda t: first_places(t, window), FIRSTS)
+        return each
+
+    some = lambda wide: with_keys.where(F.exists("keys", lambda k: k["wide"] == wide)).select("id", "hash", "text", "keys")
+    buckets = max(1, -(-members // bucket))
+    near = some(False).mapInArrow(gather(stretches), STRETCHES).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    far = some(True).mapInArrow(gather(windows), WINDOWS).groupBy("high", "low").agg(F.min(F.struct("id", "hash", "start")).alias("p"), F.sum("times").alias("times"))
+    return with_keys, near, far
+
+
+def without_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, removed, kept_text), one row per row of docs: words under a window that stands earlier are removed.
+
+    Words stand between ASCII white space, as they are. A window is window consecutive words of one text; it is removed if
+    its words also begin earlier, by smaller id, then smaller hash of the text, then start. removed has the runs of removed
+    words; kept_text is the others, joined by one blank. Within a bucket words are compared as they are; windows of groups
+    with more than group members are the same if 128 bits of their words are.
+
+    Null text: no words, empty kept text. Texts shorter than a window are kept. Rows alike in id and text are one document
+    and are treated alike; rows that share only an id are documents of their own. Null ids come first. Very long texts are
+    read whole. No rows: none come out. Ids are integers. Further columns, whatever their names, are left out.
+    """
+    with_keys, near, far = gathered(docs, window, gram, group, bucket, id_col, text_col)
+    firsts = near.groupBy("bucket").applyInArrow(lambda t: first_places(t, window), FIRSTS)
+    firsts = firsts.unionByName(far.select("p.id", "p.hash", "p.start", F.lit(1).cast("long").alias("n")))
     per_text = firsts.groupBy(F.col("id").alias("fid"), F.col("hash").alias("fhash")).agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     whole = with_keys.join(per_text.hint("shuffle_hash"), (F.col("id") == F.col("fid")) & (F.col("hash") == F.col("fhash")), "left")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *T._parse_datatype_string(KEPT).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import slices
-
         for batch in batches:
             for part in slices(batch, "text"):
                 yield kept_of(part, window, gram, schema.names)
+        pa.default_memory_pool().release_unused()
 
     return whole.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "hash", "text", "keys", "firsts").mapInArrow(cut, schema)
 
 
+def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, words): the first place of every word sequence of window words or more that stands in two places, by group.
+
+    These are the trees' deep internal nodes, with their depths; of a group whose prefix was lengthened to the window they
+    are as deep as the window. A sequence that reaches over several suffixes has a node at each, which overlap. For texts
+    and ids see without_repeats; each of rows alike in id and text is a place.
+    """
+    _, near, far = gathered(docs, window, gram, group, bucket, id_col, text_col)
+    nodes = near.groupBy("bucket").applyInArrow(lambda t: deep_nodes(t, window), FIRSTS)
+    nodes = nodes.unionByName(far.where("times > 1").select("p.id", "p.hash", "p.start", F.lit(window).cast("long").alias("n")))
+    return nodes.select(F.when(F.col("id") != LOW_ID, F.col("id")).alias(id_col), "start", F.col("n").alias("words"))
+
+
 def kept_of(batch: pa.RecordBatch, window: int, gram: int, names: list[str]) -> pa.RecordBatch:
     """The kept words of each text: of its windows in repeated groups, those that don't stand first are removed."""
     s = Suffixes(batch.column(2), window, gram)

@@ -156,9 +156,35 @@ def test_substring_dedup_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     made = [(10_000 + i, " ".join(rng.choice(list("ab" if i % 3 else "abcdefgh"), rng.integers(0, 90)))) for i in range(60)]
     rows = [*documents(), *made, (20_000, "x " * 100), (20_001, "x " * 19), (20_002, None), (20_003, "")]
-    kept = substrings.without_repeats(spark.createDataFrame(rows, DOCS), hot=3)
-    got = {r.doc_id: (r.n_words, sum(s.words for s in r.removed), r.kept_text) for r in kept.collect()}
-    assert got == removed_by_hand(rows)
+    docs, want = spark.createDataFrame(rows, DOCS), removed_by_hand(rows)
+    for sizes in ({}, {"group": 3, "bucket": 50}):  # short prefixes alone, and many groups with lengthened ones
+        kept = substrings.without_repeats(docs, **sizes)
+        assert {r.doc_id: (r.n_words, sum(s.words for s in r.removed), r.kept_text) for r in kept.collect()} == want
+
+
+def test_repeats_are_the_trees_deep_nodes(spark):
+    passage = " ".join(f"p{i}" for i in range(24))
+    docs = spark.createDataFrame([(1, f"a b c {passage} d"), (2, f"e {passage} f g"), (3, "nothing " * 5)], DOCS)
+    for sizes in ({}, {"group": 1}):
+        rows = substrings.repeats(docs, **sizes).collect()
+        assert {r.doc_id for r in rows} == {1} and {r.start for r in rows} == set(range(3, 8))
+        assert all(20 <= r.words <= 27 - r.start and (not sizes or r.words == 20) for r in rows)
+    assert max(r.words for r in substrings.repeats(docs).collect()) > 20
+
+
+def test_trees_nodes_are_repeats_with_their_depths():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 3, n) for n in (40, 60, 9, 5, 60)] + [np.zeros(30, np.int64)]
+    letters, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    at = np.concatenate([np.arange(e - len(t), e - 4) for t, e in zip(texts, ends)])
+    end = np.concatenate([np.full(max(0, len(t) - 4), e) for t, e in zip(texts, ends)])
+    tree = substrings.Tree(letters, at, end, [at], 5)
+    by = defaultdict(list)
+    for p, e in zip(at, end):
+        by[tuple(letters[p : p + 5])].append(letters[p:e].tolist())
+    got = {tuple(letters[at[tree.leaves[h]] :][:5]): d for h, d in zip(tree.head, tree.depths())}
+    common = lambda xs: next((i for i, x in enumerate(zip(*xs)) if len(set(x)) > 1), min(map(len, xs)))
+    assert got == {k: common(v) for k, v in by.items()} and len(tree.leaves) == len(at)
 
 
 def test_substring_dedup_of_hard_rows(spark):
