@@ -34,23 +34,3 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-class Forest:
-    """Union-find over 0 .. n-1 in one task; the root is the smallest member."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def link(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.parent[max(x, y)] = min(x, y)
-        return True

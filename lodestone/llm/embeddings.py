@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table
-from .components import Forest, components
+from .common import col, staged, table
+from .components import components
 
-#: Vectors for which there is a pivot, pivots of one label, and vectors of one side of a block of a cell.
+#: Vectors for which there is a pivot, pivots by which a cell is split at once, vectors of one side of a block of a cell.
 CELL, MAX_PIVOTS, BLOCK = 2048, 64, 2048
+#: Splits of a cell in turn, and border copies for each vector beyond which a cell is left unsplit.
+LEVELS, MOST_COPIES = 5, 4
 #: Added to distances, so that rounding of double precision can't lose a link; the cosine itself decides.
 SLACK = 1e-9
+CELL_KEY = ["label", "dim", "path"]
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, vec, label) of the rows that can link: with a label, finite components and a positive length."""
-    named = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec"), F.col(f"`{label_col}`").alias("label"))
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return named.where("id is not null and label is not null and vec is not null").where(finite & F.exists("vec", lambda x: x != 0))
+def usable(vec: Column, label: Column) -> Column:
+    """Whether a row can link: it has a label, finite components and a positive length."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(label.isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -29,44 +31,66 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def chosen_pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Pivots of each label and dimension: one for about CELL vectors, MAX_PIVOTS at most, spread by a hash."""
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    drawn = classes.join(sizes, ["label", "dim"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < 4.0 * (1 << 30) * F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / CELL)))
-    from pyspark.sql import Window
-
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("id"), "id")))
-    rows = ranked.where(F.col("k") <= F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / CELL))).select("label", "dim", "vec").collect()
-    out: dict[tuple, list] = {}
-    for r in rows:
-        out.setdefault((r.label, r.dim), []).append(r.vec)
-    return {k: unit(np.array(v)) for k, v in out.items()}
-
-
-def in_cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
-    """Each vector in the cell of its nearest pivot (home), and in every cell whose border is within radius."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    schema = T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
-
-    def run(batches):
-        for df in batches:
-            for (label, dim), part in df.groupby(["label", "dim"], sort=False):
-                p = shared.value.get((label, dim))
-                if p is None:  # no vector of a small label was drawn: one cell
-                    yield part.assign(cell=0, home=True)
-                    continue
-                x = unit(np.array(part["vec"].tolist()))
-                d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-                home = d.argmin(axis=1)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
-                # By the triangle inequality a vector is as far from a cell's border as half of what its pivot is farther
-                # than the home pivot; in Euclidean space by the factor (d1 + d2) / gap, which is at least 1, farther still.
-                near = d[np.arange(len(x)), home][:, None]
-                margin = np.where(gap > 0, (d * d - near * near) / (2 * np.maximum(gap, 1e-300)), 0)
-                row, cell = np.nonzero(margin <= radius + SLACK)
-                yield part.iloc[row].assign(cell=cell.astype(np.int32), home=home[row] == cell)
-
-    return classes.mapInPandas(run, schema)
+def split(full: DataFrame, radius: float) -> DataFrame:
+    """Cells (with n, their members) split by pivots of their own; parent is the path of the cell that was split.
+
+    A cell has a pivot for about CELL members, MAX_PIVOTS at most, spread by a hash. Its members are dealt over chunks of
+    about BLOCK, and every chunk meets the pivots, so that no task holds a cell. A member is at home in the cell of its
+    nearest pivot, and copied to every cell whose border is within radius.
+    """
+    pivots_of = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / CELL))
+    drawn = full.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n") < 4.0 * (1 << 30) * pivots_of)
+    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*CELL_KEY).orderBy(F.xxhash64("key"), "key")))
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    kept = ranked.where(F.col("k") <= pivots_of).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("pivot", F.lit(True))
+    dealt = full.withColumn("k", F.lit(0)).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), chunks).cast("int")).withColumn("pivot", F.lit(False))
+    out = T.StructType([*full.drop("n").schema.fields, T.StructField("parent", T.StringType())])
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        own, chosen = df[~df["pivot"]], df[df["pivot"]].sort_values("k")
+        own = own.assign(parent=own["path"])
+        if not len(own):
+            return own[out.names]
+        if not len(chosen):  # none was drawn: the cell stays as it is
+            return own.assign(path=own["path"] + "/0")[out.names]
+        p, x = unit(np.array(chosen["vec"].tolist())), unit(np.array(own["vec"].tolist()))
+        d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
+        home = d.argmin(axis=1)
+        gap = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
+        # By the triangle inequality a vector is as far from a cell's border as half of what its pivot is farther than the
+        # home pivot; in Euclidean space by the factor (d1 + d2) / gap, which is at least 1, farther still.
+        near = d[np.arange(len(x)), home][:, None]
+        margin = np.where(gap > 0, (d * d - near * near) / (2 * np.maximum(gap, 1e-300)), 0)
+        row, cell = np.nonzero(margin <= radius + SLACK)
+        at_home = own["home"].to_numpy()[row] & (home[row] == cell)
+        return own.iloc[row].assign(path=[f"{a}/{c}" for a, c in zip(own["path"].to_numpy()[row], cell.tolist(), strict=True)], home=at_home)[out.names]
+
+    return dealt.unionByName(kept).groupBy(*CELL_KEY, "chunk").applyInPandas(run, out)
+
+
+def in_cells(classes: DataFrame, radius: float) -> DataFrame:
+    """Each vector in its home cell, and in every cell whose border is within radius: classes with path and home.
+
+    At first a label's vectors of one dimension are a cell. A cell of more than 2 x CELL vectors is split, and its parts
+    in turn. What stays large after LEVELS splits, or what a split would copy more than MOST_COPIES times, as it does where
+    no vectors stand close together, stays a cell and is joined in blocks.
+    """
+    cells, done = classes.withColumn("path", F.lit("")).withColumn("home", F.lit(True)), []
+    for _ in range(LEVELS):
+        sizes = staged(cells.groupBy(*CELL_KEY).agg(F.count("*").alias("n")))
+        large = sizes.where(F.col("n") > 2 * CELL)
+        if not large.limit(1).count():
+            break
+        done.append(cells.join(sizes.where(F.col("n") <= 2 * CELL).select(*CELL_KEY), CELL_KEY, "left_semi"))
+        full = cells.join(large, CELL_KEY)
+        parts = staged(split(full, radius))
+        grown = parts.groupBy("label", "dim", F.col("parent").alias("path")).agg(F.count("*").alias("copies"))
+        worth = staged(grown.join(large, CELL_KEY).where(F.col("copies") <= MOST_COPIES * F.col("n")).select(*CELL_KEY))
+        done.append(full.drop("n").join(worth, CELL_KEY, "left_anti"))
+        cells = parts.join(worth.withColumnRenamed("path", "parent"), ["label", "dim", "parent"], "left_semi").select(*cells.columns)
+    for part in done:
+        cells = cells.unionByName(part.select(*cells.columns))
+    return cells
 
 
 def linked(cells: DataFrame, cosine: float) -> DataFrame:
@@ -75,38 +99,45 @@ def linked(cells: DataFrame, cosine: float) -> DataFrame:
     Home vectors are dealt over blocks, and each meets all the cell's vectors, block by block: however full a cell is, a
     task holds 2 x BLOCK vectors.
     """
-    from pyspark.sql import Window  # noqa: F401
-
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("members"))
-    dealt = cells.join(sizes, ["label", "dim", "cell"]).withColumn("s", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    sizes = cells.groupBy(*CELL_KEY).agg(F.count("*").alias("members"))
+    dealt = cells.join(staged(sizes), CELL_KEY).withColumn("s", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("key"), F.col("s")).cast("int"))
     every = F.sequence(F.lit(0), F.col("s") - 1)
-    key = ["label", "dim", "cell"]
-    right = dealt.select(*key, "id", "vec", "copies", F.lit(False).alias("left"), F.col("at").alias("j"), F.explode(every).alias("i"))
-    left = dealt.where("home").select(*key, "id", "vec", "copies", F.lit(True).alias("left"), F.col("at").alias("i"), F.explode(every).alias("j"))
+    right = dealt.select(*CELL_KEY, "key", "vec", "copies", F.lit(False).alias("left"), F.col("at").alias("j"), F.explode(every).alias("i"))
+    left = dealt.where("home").select(*CELL_KEY, "key", "vec", "copies", F.lit(True).alias("left"), F.col("at").alias("i"), F.explode(every).alias("j"))
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
         side = df["left"].to_numpy()
-        lid, rid = df["id"].to_numpy()[side], df["id"].to_numpy()[~side]
+        lid, rid = df["key"].to_numpy()[side], df["key"].to_numpy()[~side]
         if not len(lid) or not len(rid):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
-        x, y = np.array(df["vec"][side].tolist()), np.array(df["vec"][~side].tolist())
-        x, y = unit(x), unit(y)
-        copies = df["copies"].to_numpy()[~side]
-        n, a, b = np.zeros(len(lid), np.int64), [], []
-        ids, number = np.unique(np.concatenate([lid, rid]), return_inverse=True)
-        forest = Forest(len(ids))
+        x, y = (unit(np.array(df["vec"][s].tolist())) for s in (side, ~side))
+        hit = np.zeros((len(lid), len(rid)), bool)
         for at in range(0, len(lid), 256):
-            hit = x[at : at + 256] @ y.T >= cosine
-            hit &= lid[at : at + 256, None] != rid
-            n[at : at + 256] = hit @ copies
-            for i, j in zip(*np.nonzero(hit), strict=True):
-                if forest.link(int(number[at + i]), int(number[len(lid) + j])):
-                    a.append(lid[at + i])
-                    b.append(rid[j])
+            hit[at : at + 256] = (x[at : at + 256] @ y.T >= cosine) & (lid[at : at + 256, None] != rid)
+        n = hit @ df["copies"].to_numpy()[~side]
         some = n > 0
-        return pd.DataFrame({"a": np.concatenate([lid[some], np.array(a, np.int64)]), "b": pd.array([None] * int(some.sum()) + b, "Int64"), "n": pd.array([*n[some].tolist(), *[None] * len(a)], "Int64")})
-
-    return left.unionByName(right).groupBy(*key, "i", "j").applyInPandas(join, "a long, b long, n long")
+        node, label = joined(lid[some], rid, hit[some])
+        return pd.DataFrame({"a": np.concatenate([lid[some], node]), "b": pd.array([*[None] * int(some.sum()), *label.tolist()], "Int64"), "n": pd.array([*n[some].tolist(), *[None] * len(node)], "Int64")})
+
+    return left.unionByName(right).groupBy(*CELL_KEY, "i", "j").applyInPandas(join, "a long, b long, n long")
+
+
+def joined(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that hits join with smaller keys, and the smallest key that is reached from each inside the block."""
+    keys, number = np.unique(np.concatenate([left, right]), return_inverse=True)
+    of_left, of_right, label = number[: len(left)], number[len(left) :], np.arange(len(keys), dtype=np.int32)
+    while len(left):
+        new, most = label.copy(), np.int32(len(keys))
+        for at in range(0, len(left), 256):
+            own = slice(at, at + 256)
+            np.minimum.at(new, of_left[own], np.where(hit[own], label[of_right], most).min(1, initial=most))
+            np.minimum.at(new, of_right, np.where(hit[own], label[of_left[own]][:, None], most).min(0, initial=most))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label != np.arange(len(keys)))
+    return keys[node], keys[label[node]]
 
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -117,24 +148,24 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "
     for on the unit sphere; cells join independently. Every link is counted once for each end, in the end's home cell.
 
     Null, zero and empty vectors, null or non-finite components, null labels, null ids: no links, own component. Vectors
-    of unlike dimensions don't link. Repeated ids are vectors of their own that share a node. No rows: none come out.
-    Further columns are left out.
+    of unlike dimensions don't link. Each of the rows that share an id is a vector of its own, with its own links; kept
+    tells whether the id is the component's smallest. No rows: none come out. Further columns, whatever their names, are
+    left out.
     """
-    ids = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    rows = usable(vectors.withColumn(id_col, F.col(f"`{id_col}`").cast("long")), id_col, vector_col, label_col)
-    rows = rows.withColumn("same", F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v")))), 256))
-    member = staged(rows.withColumn("dim", F.size("vec")))
-    classes = member.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    whole = member.join(classes, ["same", "id"]).dropDuplicates(["id", "same"]).select("id", "label", "dim", "vec", "copies")
-    whole = staged(whole)
+    named = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vec"), col(label_col).alias("label"))
+    digest = F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v")))), 256)
+    rows = staged(named.withColumn("same", F.when(F.col("id").isNotNull() & usable(F.col("vec"), F.col("label")), digest)))
+    alike = rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    classes = staged(alike.withColumn("dim", F.size("vec")).withColumn("key", F.conv(F.substring("same", 1, 15), 16, 10).cast("long")))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    found = staged(linked(in_cells(whole, chosen_pivots(whole), radius), cosine))
-    outside = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    named = components(found.where("b is not null").select("a", "b"))
-    of_class = classes.join(outside, classes["id"] == outside["a"], "left").join(named, classes["id"] == named["node"], "left")
-    of_class = of_class.select("same", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked_rows = member.select("id", "same").join(of_class, "same").select(F.col("id").alias("at"), "n_links", "component_id")
-    out = ids.join(linked_rows.dropDuplicates(["at"]), F.col("id") == F.col("at"), "left")
+    found = staged(linked(in_cells(classes.select("key", "label", "dim", "vec", "copies"), radius), cosine))
+    counted = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    named_classes = components(found.where("b is not null").select("a", "b"))
+    placed = classes.select("same", "key", "least", "copies").join(counted, F.col("key") == F.col("a"), "left").join(named_classes, F.col("key") == F.col("node"), "left")
+    placed = staged(placed.select("same", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component")))
+    smallest = staged(placed.groupBy("component").agg(F.min("least").alias("component_id")))
+    of_class = staged(placed.join(smallest, "component").select("same", "n_links", "component_id"))
+    out = rows.select("id", "same").join(of_class, "same", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -91,15 +91,20 @@ def test_bins_close_the_fullest():
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
-    x = np.concatenate([base, base[:20] + rng.normal(scale=0.08, size=(20, 8)), base[:5], base[:5] * 3])
+    base = np.concatenate([base, base[rng.integers(0, 40, 150)] + rng.normal(scale=0.2, size=(150, 8))])
+    x = np.concatenate([base, base[:60] + rng.normal(scale=0.08, size=(60, 8)), base[:5], base[:5] * 3])
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 0), (903, x[0].tolist(), None), (904, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    old = embeddings.CELL, embeddings.BLOCK
-    embeddings.CELL, embeddings.BLOCK = 10, 16
-    try:
-        got = {r[0]: tuple(r)[1:] for r in embeddings.near_duplicates(df).collect()}
-    finally:
-        embeddings.CELL, embeddings.BLOCK = old
+    old = {k: getattr(embeddings, k) for k in ("CELL", "BLOCK", "MAX_PIVOTS", "MOST_COPIES")}
+    found = []
+    for sizes in ((2048, 2048, 64, 4), (10, 16, 4, 100), (10, 16, 4, 2)):  # one cell; cells split several times; some left
+        for k, v in zip(old, sizes):
+            setattr(embeddings, k, v)
+        try:
+            found.append({r[0]: tuple(r)[1:] for r in embeddings.near_duplicates(df).collect()})
+        finally:
+            for k, v in old.items():
+                setattr(embeddings, k, v)
     f = x.astype(np.float32).astype(float)
     unit = f / np.linalg.norm(f, axis=1, keepdims=True)
     near = (unit @ unit.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2)
@@ -107,7 +112,16 @@ def test_embeddings_match_brute_force(spark):
     comp = list(range(len(x)))
     for _ in x:
         comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
-    assert {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(900, 905)} == got
+    assert {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(900, 905)} == found[0] == found[1] == found[2]
+    assert any(c > 2 for c, _, _ in found[0].values())
+
+
+def test_embeddings_that_share_an_id_and_empty_tables(spark):
+    kind = "vec_id long, embedding array<float>, label int, `a.b` int, id long"
+    rows = [(1, [1.0, 0.0], 0, 1, 2), (1, [0.0, 1.0], 0, 1, 2), (2, [1.0, 0.01], 0, 1, 2), (3, [0.01, 1.0], 0, 1, 2), (4, [0.01, 1.0], 0, 1, 2), (4, None, 0, 1, 2), (None, [1.0, 0.0], 0, 1, 2)]
+    got = Counter(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, kind)).collect()))
+    assert got == Counter([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (4, 0, 4, True), (None, 0, None, True)])
+    assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
 
 
 def test_decontamination_matches_brute_force(spark):
