@@ -6,7 +6,6 @@ stretches of two to sixteen words in which it is most like toxic text, as a rude
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -16,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_LOWER, STEP, coded, filter_texts, hashed, held_out, map_texts, mixed, table, words
+from .common import ALNUM_LOWER, STEP, coded, filter_texts, hashed, held_out, map_texts, mixed, slices, table, words
 
 #: Bounds of the training sample: labelled documents of each class, and bytes of a document that can be in it.
-SAMPLE_PER_CLASS = 3_000
+SAMPLE_PER_CLASS = 2_500
 SAMPLE_TEXT_BYTES = 1 << 20
 #: What cross-validation within the training sample chooses from: least weight of the shared word distribution, and
 #: contexts that a bigram's backoff counts for.
@@ -54,10 +53,6 @@ def lookup(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.n
     return np.where(found, value[at], 0.0), found
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
 def aligned(known: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(known))
     out[np.searchsorted(known, keys)] = counts
@@ -70,6 +65,25 @@ def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed(distinct)[codes] if len(codes) else np.zeros(0, np.uint64), per_text
 
 
+class Sample:
+    """Labelled texts as the keys of their words, one text after another: far less than the texts with all that splits them."""
+
+    def __init__(self, keys: np.ndarray, per_text: np.ndarray, toxic: np.ndarray) -> None:
+        self.keys, self.per_text, self.toxic = keys, per_text, toxic
+
+    @staticmethod
+    def of(texts: pa.Array, toxic: np.ndarray) -> Sample:
+        parts = [keys_of(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 20)]
+        n = np.concatenate([np.diff(p) for _, p in parts]) if parts else np.zeros(0, np.int64)
+        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+        return Sample(keys, np.concatenate([[0], np.cumsum(n)]), np.asarray(toxic, bool))
+
+    def only(self, rows: np.ndarray) -> Sample:
+        """The rows where rows is true."""
+        n = np.diff(self.per_text)
+        return Sample(self.keys[np.repeat(rows, n)], np.concatenate([[0], np.cumsum(n[rows])]), self.toxic[rows])
+
+
 def discount(counts: np.ndarray) -> float:
     """Kneser and Ney's: from how many things were counted once and twice. Always under 1, so that what was seen once tells something."""
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
@@ -83,27 +97,28 @@ class Counts:
     repeated over and over weigh no more than one.
     """
 
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
+    def __init__(self, sample: Sample) -> None:
         sides = []
-        for texts in (toxic, ordinary):
-            keys, per_text = keys_of(pa.array(texts, pa.string()))
-            ahead = np.zeros((3, len(keys)), np.uint64)  # the word before the last, the last, this
-            for back in range(3):
-                ahead[2 - back, back:] = keys[: len(keys) - back]
-                since = np.arange(len(keys)) - np.repeat(per_text[:-1], np.diff(per_text))
-                ahead[2 - back, since < back] = 0
-            trigram = ahead[:, np.unique(mixed(mixed(ahead[0] + STEP) + ahead[1]) + ahead[2], return_index=True)[1]]
-            pair = mixed(trigram[1] + STEP) + trigram[2]
-            kinds = np.unique(pair, return_index=True)[1]
-            sides.append((trigram[2][kinds], trigram[1], trigram[2], pair))
-        self.vocabulary = np.unique(np.concatenate([s[0] for s in sides]))
-        self.words = [aligned(self.vocabulary, *counted(s[0])) for s in sides]
-        contexts = np.unique(np.concatenate([s[1] for s in sides]))
-        self.bigrams, where = np.unique(np.concatenate([s[3] for s in sides]), return_index=True)
-        firsts, seconds = np.concatenate([s[1] for s in sides])[where], np.concatenate([s[2] for s in sides])[where]
-        self.at_context, self.at_word = np.searchsorted(contexts, firsts), np.searchsorted(self.vocabulary, seconds)
-        self.pairs = [aligned(self.bigrams, *counted(s[3])) for s in sides]
-        self.contexts = [aligned(contexts, *counted(s[1])) for s in sides]
+        for side in (True, False):
+            own = sample.only(sample.toxic == side)
+            last, before = (np.concatenate([np.zeros(back, np.uint64), own.keys])[: len(own.keys)] for back in (1, 2))
+            first = own.per_text[:-1][np.diff(own.per_text) > 0]
+            last[first] = before[first] = 0
+            before[first[first + 1 < len(before)] + 1] = 0  # a second word has one word before it, or is the next text's first
+            pair = mixed(last + STEP) + own.keys
+            kept = np.unique(mixed(mixed(before + STEP) + last) + own.keys, return_index=True)[1]  # each trigram once
+            del before
+            pair, last, now = pair[kept], last[kept], own.keys[kept]
+            kinds, at, n = np.unique(pair, return_index=True, return_counts=True)
+            sides.append((kinds, n, last[at], now[at], np.unique(last, return_counts=True)))
+        self.vocabulary = np.unique(np.concatenate([s[3] for s in sides]))
+        self.words = [aligned(self.vocabulary, *np.unique(s[3], return_counts=True)) for s in sides]
+        contexts = np.unique(np.concatenate([s[4][0] for s in sides]))
+        self.contexts = [aligned(contexts, *s[4]) for s in sides]
+        self.bigrams, where = np.unique(np.concatenate([s[0] for s in sides]), return_index=True)
+        firsts, seconds = (np.concatenate([s[i] for s in sides])[where] for i in (2, 3))
+        self.at_context, self.at_word = (np.searchsorted(x, y).astype(np.int32) for x, y in ((contexts, firsts), (self.vocabulary, seconds)))
+        self.pairs = [aligned(self.bigrams, *s[:2]).astype(np.float32) for s in sides]
 
     def parts(self, backoff: float, context_weight: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Both classes' word distributions and discounted shares of bigrams, and the backoff's weight in each context.
@@ -142,9 +157,9 @@ class Counts:
         return Model(self.bigrams[telling], ratio[telling], self.vocabulary, single)
 
 
-def fit_ratios(toxic: list[str], ordinary: list[str], backoff: float = BACKOFFS[0], context_weight: float = CONTEXT_WEIGHTS[1]) -> Model:
+def fit_ratios(sample: Sample, backoff: float = BACKOFFS[0], context_weight: float = CONTEXT_WEIGHTS[1]) -> Model:
     """The smoothed models of both classes' texts."""
-    return Counts(toxic, ordinary).smoothed(backoff, context_weight)
+    return Counts(sample).smoothed(backoff, context_weight)
 
 
 def ratios(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -181,18 +196,17 @@ def compared(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray
     return np.stack([means(ratio, per_text, n) for n in LENGTHS], 1)
 
 
-def chosen(rows: list[tuple[str, bool]]) -> tuple[Model, np.ndarray]:
+def chosen(sample: Sample) -> tuple[Model, np.ndarray]:
     """The model of all rows by the settings whose cross-validated curve loses least, and the rows' values in the folds that left them out."""
-    toxic = np.array([y for _, y in rows], bool)
-    tried = {s: np.zeros((len(rows), len(LENGTHS))) for s in product(BACKOFFS, CONTEXT_WEIGHTS)}
+    fold = np.arange(len(sample.toxic)) % FOLDS
+    tried = {s: np.zeros((len(fold), len(LENGTHS))) for s in product(BACKOFFS, CONTEXT_WEIGHTS)}
     for k in range(FOLDS):  # a fold's counts go with it
-        inside = [r for i, r in enumerate(rows) if i % FOLDS != k]
-        counts = Counts([t for t, y in inside if y], [t for t, y in inside if not y])
-        keys, per_text = keys_of(pa.array([t for t, _ in rows[k::FOLDS]], pa.string()))
+        counts, own = Counts(sample.only(fold != k)), sample.only(fold == k)
         for settings, values in tried.items():
-            values[k::FOLDS] = compared(counts.smoothed(*settings), keys, per_text)
-    at = min(tried, key=lambda s: loss(tried[s], toxic))
-    return fit_ratios([t for t, y in rows if y], [t for t, y in rows if not y], *at), tried[at]
+            values[fold == k] = compared(counts.smoothed(*settings), own.keys, own.per_text)
+        del counts
+    at = min(tried, key=lambda s: loss(tried[s], sample.toxic))
+    return fit_ratios(sample, *at), tried[at]
 
 
 def curve(model: Model, values: np.ndarray) -> np.ndarray:
@@ -245,11 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     share = lambda side: min(1 << 20, -(-(per_class << 20) // counts.get(side, 1)))
     drawn = marks.where(F.col("at") < F.when(F.col("toxic"), share(True)).otherwise(share(False))).orderBy("at", "id").limit(4 * per_class)
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    found = named.join(F.broadcast(drawn), "id").where("text <> ''").select("at", "text", "toxic").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    found = named.join(F.broadcast(drawn), "id").where("text <> ''").select("at", "text", "toxic").toArrow().sort_by([("at", "ascending"), ("text", "ascending")])
+    sample = Sample.of(found.column("text").combine_chunks(), found.column("toxic").to_numpy())
     del found
-    model, values = chosen([(text, toxic) for _, text, toxic in rows])
-    return calibrated(model, values, np.array([toxic for _, _, toxic in rows], bool))
+    pa.default_memory_pool().release_unused()
+    model, values = chosen(sample)
+    return calibrated(model, values, sample.toxic)
 
 
 def score_of(model: Model, texts: pa.Array) -> np.ndarray:

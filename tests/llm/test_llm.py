@@ -330,13 +330,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(df.limit(0), df.limit(0), id_col="id") is not None
 
 
+def sample_of(toxic, ordinary):
+    return toxicity.Sample.of(toxicity.pa.array([*toxic, *ordinary]), [True] * len(toxic) + [False] * len(ordinary))
+
+
 def test_rare_toxic_words_keep_evidence():
     rng = np.random.default_rng(5)
     common = [f"c{i}" for i in range(60)]
     ordinary, toxic = ([" ".join(rng.choice(common, 40)) for _ in range(n)] for n in (200, 60))
     for at, word in ((0, "vile"), (1, "vile"), (2, "vile"), (3, "odd")):
         toxic[at] = f"c{at} {word} {toxic[at]}"
-    model = toxicity.fit_ratios(toxic, ordinary)
+    model = toxicity.fit_ratios(sample_of(toxic, ordinary))
     of = lambda w: float(toxicity.lookup(toxicity.hashed([w.encode()]), model.words, model.word_ratio)[0][0])
     assert of("vile") > 0.5 > of("odd") > 0.1 > abs(of("c1"))
     assert all(0 < toxicity.discount(n) < 1 for n in (np.array([1, 1, 1, 2]), np.array([1, 1]), np.array([2, 2]), np.zeros(0), np.array([1, 2, 5])))
@@ -355,8 +359,9 @@ def test_stretches_of_mild_words_are_toxic():
                 w[p] = rng.choice(mild)
         rows.append((" ".join(w), i % 4 == 0))
     train, held = rows[:400], rows[400:]
-    model, values = toxicity.chosen(train)
-    toxicity.calibrated(model, values, np.array([y for _, y in train]))
+    sample = toxicity.Sample.of(toxicity.pa.array([t for t, _ in train]), [y for _, y in train])
+    model, values = toxicity.chosen(sample)
+    toxicity.calibrated(model, values, sample.toxic)
     score = toxicity.score_of(model, toxicity.pa.array([t for t, _ in held]))
     assert np.mean((score >= 0.5) == np.array([y for _, y in held])) >= 0.85
 
@@ -395,14 +400,14 @@ def test_scores_match_brute_force_by_both_ways(spark):
 
 
 def test_toxicity_without_evidence_calls_nothing_toxic():
-    model = toxicity.calibrated(toxicity.fit_ratios(["a b"], ["c d"]), np.ones((3, len(toxicity.LENGTHS))), np.array([True, False, False]))
+    model = toxicity.calibrated(toxicity.fit_ratios(sample_of(["a b"], ["c d"])), np.ones((3, len(toxicity.LENGTHS))), np.array([True, False, False]))
     assert not model.weights.any() and model.offset == 0.0
 
 
 def test_kneser_ney_probabilities_and_scores_match_brute_force():
     rng = np.random.default_rng(8)
     toxic, ordinary = ([" ".join(rng.choice([f"w{i}" for i in range(n)], 12)) for _ in range(m)] for n, m in ((9, 25), (14, 40)))
-    counts = toxicity.Counts(toxic, ordinary)
+    counts = toxicity.Counts(sample_of(toxic, ordinary))
     word = lambda w: int(toxicity.hashed([w.encode()])[0])
     for settings in ((0.1, 1.0), (0.3, 50.0)):
         unigram, shares, weight = counts.parts(*settings)
