@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,11 @@ FAMILIES = {
     "romance": ("es", "fr", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
-FEATURES = 1 << 14
-#: Bounds of the training sample: documents of each language, and bytes of a document that can be in it.
+FEATURES = 1 << 16
+#: Bounds of the training sample: documents of each language, those that a family is told apart from, and bytes of a
+#: document that can be in it.
 SAMPLE_PER_LANGUAGE = 400
+SAMPLE_OF_OTHERS = 4_000
 SAMPLE_TEXT_BYTES = 1 << 20
 UNDETERMINED = "und"
 
@@ -46,7 +48,7 @@ def feature_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         before[n:] = now[:-n] if n < len(data) else before[n:]
         before[since < n] = 32
         gram = gram | (before << np.uint32(8 * n))
-        out.append(((gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(18)).astype(np.int64))
+        out.append(((gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(33 - FEATURES.bit_length())).astype(np.int32))
     return np.stack(out), off
 
 
@@ -60,14 +62,25 @@ def has_letter(texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray
     return out
 
 
-def frequencies(texts: pa.Array) -> np.ndarray:
-    """Each text's features: frequencies by square root, of length 1 for each order of n-grams."""
-    numbers, off = feature_numbers(texts)
-    out = np.zeros((len(texts), FEATURES), np.float32)
-    for i in range(len(texts)):
-        if off[i] < off[i + 1]:
-            out[i] = np.bincount(numbers[:, off[i] : off[i + 1]].ravel(), minlength=FEATURES) / (off[i + 1] - off[i])
-    return out
+class Frequencies:
+    """Texts' features, frequencies of hashed n-grams, with those alone that a text has: number and value, text by text."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        number, value, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+        for i in range(len(texts)):
+            numbers, off = feature_numbers(texts.slice(i, 1))
+            found, n = np.unique(numbers, return_counts=True)
+            number.append(found)
+            value.append((n / max(1, off[-1])).astype(np.float32))
+            ends.append(ends[-1] + len(found))
+        self.number, self.value, self.ends = np.concatenate(number), np.concatenate(value), ends
+
+    def scale(self) -> np.ndarray:
+        """For each feature what brings it near to unit spread; 0 for those that are the same in all texts."""
+        n = max(1, len(self.ends) - 1)
+        mean, square = (np.bincount(self.number, x.astype(np.float64), FEATURES) / n for x in (self.value, self.value**2))
+        spread = np.sqrt(np.maximum(square - mean * mean, 0))
+        return np.where(spread > 0, 1 / np.sqrt(spread + 1e-6), 0).astype(np.float32)
 
 
 @dataclass
@@ -85,57 +98,72 @@ class Model:
     second: list[list[tuple[int, int, Machine]]] = field(default_factory=list)
 
 
-def fitted(x: np.ndarray, positive: np.ndarray, scale: np.ndarray, rounds: int = 12, c: float = 1.0) -> Machine:
+def fitted(x: Frequencies, positive: np.ndarray, rounds: int = 12, c: float = 1.0) -> Machine:
     """Dual coordinate descent for the L2-regularised hinge loss; classes weigh alike."""
     y = np.where(positive, 1.0, -1.0)
     cost = np.where(positive, c * len(y) / (2 * max(1, positive.sum())), c * len(y) / (2 * max(1, (~positive).sum())))
-    z = x * scale  # 4 bytes a value: the sample by FEATURES, which bounds what the driver holds
-    norms = (z * z).sum(1) + 1
-    w, b, alpha, rng = np.zeros(z.shape[1]), 0.0, np.zeros(len(y)), np.random.default_rng(7)
+    scale = x.scale()
+    value = x.value * scale[x.number]
+    rows = [(x.number[a:b], value[a:b].astype(np.float64)) for a, b in pairwise(x.ends)]
+    norms = [float(v @ v) + 1 for _, v in rows]
+    w, b, alpha, rng = np.zeros(FEATURES), 0.0, np.zeros(len(y)), np.random.default_rng(7)
     for _ in range(rounds):
-        for i in rng.permutation(len(y)):
-            gradient = y[i] * (z[i] @ w + b) - 1
+        for i in rng.permutation(len(y)).tolist():
+            at, v = rows[i]
+            gradient = y[i] * (float(w[at] @ v) + b) - 1
             new = min(cost[i], max(0.0, alpha[i] - gradient / norms[i]))
             if (step := (new - alpha[i]) * y[i]) != 0:
-                w += step * z[i]
+                w[at] += step * v
                 b += step
                 alpha[i] = new
     return Machine((w * scale).astype(np.float32), float(b))
 
 
-def fit(rows: list, families: dict[str, tuple[str, ...]]) -> Model:
-    """rows: (language, text). Families without a sampled language are left out."""
-    family_of = {code: name for name, codes in families.items() for code in codes}
+def grouped(codes: list[str], families: dict[str, tuple[str, ...]]) -> list[list[str]]:
+    """The languages of each family; those without one are families of their own."""
+    family_of = {code: name for name, own in families.items() for code in own}
     groups: dict[str, list[str]] = {}
-    for code in sorted({r[0] for r in rows}):
+    for code in sorted(codes):
         groups.setdefault(family_of.get(code, f"={code}"), []).append(code)
-    x, language = frequencies(pa.array([r[1] for r in rows], pa.string())), np.array([r[0] for r in rows])
-    spread = x.std(0)
-    scale = np.where(spread > 0, 1 / np.sqrt(spread + 1e-6), 0).astype(np.float32)
-    names = list(groups.values())
-    model = Model(names, [fitted(x, np.isin(language, g), scale) for g in names])
-    for group in names:
-        pairs = []
-        for i, j in combinations(range(len(group)), 2):
-            own = np.isin(language, [group[i], group[j]])
-            pairs.append((i, j, fitted(x[own], language[own] == group[i], scale)))
-        model.second.append(pairs)
-    return model
-
-
-def sampled(labelled: DataFrame, per_language: int) -> list:
-    """At most about per_language labelled texts of each language, taken evenly by a hash of id and text."""
-    named = labelled.where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).withColumn("at", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)))
-    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for code, n in counts.items():
-        share = F.when(F.col("lang") == code, min(1 << 20, -(-(per_language << 20) // n))).otherwise(share)
-    return named.where(F.col("at") < share).select("lang", "text").collect()
+    return list(groups.values())
 
 
 def train(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """A model of labelled rows (id, text, lang), those with a null text or language left out."""
-    return fit(sampled(labelled.where("text is not null and lang is not null"), per_language), families)
+    """A model of labelled rows (id, text, lang), those with a null text or language left out.
+
+    About per_language texts of each language are learnt from, taken evenly by a hash of id and text, and of the other
+    families' texts about SAMPLE_OF_OTHERS for each family. Every machine is fitted in a task of its own, on rows that this
+    bounds; the driver gets the machines' weights. Rows alike in all columns count as they stand. No rows: an empty model.
+    """
+    spark = labelled.sparkSession
+    named = labelled.where("text is not null and lang is not null").where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).withColumn("at", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)))
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
+    groups = grouped(list(counts), families)
+    share = lambda code, most: min(1 << 20, -(-(most << 20) // counts[code]))
+    wanted, second = [], []  # (machine, language, whether it is the positive class, share of its texts)
+    for k, own in enumerate(groups):
+        others = max(1, len(counts) - len(own))
+        wanted += [(k, c, c in own, share(c, per_language if c in own else min(per_language, max(1, SAMPLE_OF_OTHERS // others)))) for c in counts]
+    for own in groups:
+        second.append([])
+        for i, j in combinations(range(len(own)), 2):
+            second[-1].append((i, j, len(groups) + sum(map(len, second))))
+            wanted += [(second[-1][-1][2], own[p], p == i, share(own[p], per_language)) for p in (i, j)]
+    if not wanted:
+        return Model([], [])
+    kind = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("positive", T.BooleanType()), T.StructField("share", T.LongType())])
+    rows = named.join(F.broadcast(spark.createDataFrame(wanted, kind)), "lang").where(F.col("at") < F.col("share")).select("machine", "positive", "at", "text")
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("at", "ascending"), ("text", "ascending")])
+        machine = fitted(Frequencies(group.column("text").combine_chunks()), group.column("positive").to_numpy())
+        return pa.table({"machine": group.column("machine")[:1], "weights": pa.array([machine.weights.tobytes()], pa.binary()), "bias": [machine.bias]})
+
+    found = rows.groupBy("machine").applyInArrow(fit, "machine int, weights binary, bias double").collect()
+    machines = {r.machine: Machine(np.frombuffer(r.weights, np.float32), r.bias) for r in found}
+    none = Machine(np.zeros(FEATURES, np.float32), 0.0)  # no text of it was drawn
+    of = lambda k: machines.get(k, none)
+    return Model(groups, [of(k) for k in range(len(groups))], [[(i, j, of(k)) for i, j, k in own] for own in second])
 
 
 def predictor(model: Model) -> Callable[[pa.Array], tuple[list[str], np.ndarray]]:

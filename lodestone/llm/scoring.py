@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, offsets_of, slices, staged, table
+from .common import col, map_texts, offsets_of, slices, staged, table
 from .tokens import ENCODE_BYTES, byte_level_pieces, encoder
 
 #: Weight of the word model in each context's bigram model, and of each token in the word models.
 CONTEXT_WEIGHT, TOKEN_WEIGHT = 16.0, 0.5
-#: Bigrams whose losses are broadcast at most; beyond them texts' bigrams are joined with the model.
-BROADCAST_BIGRAMS = 1 << 23
+#: Bigrams whose losses are broadcast at most, 24 bytes each; beyond them texts' bigrams are joined with the model.
+BROADCAST_BIGRAMS = 1 << 21
 COMPACT = 1 << 21  # bigrams that a task gathers before it adds them up
 STEP_BYTES = 2 << 20  # token ids that a task counts or scores at once
 
@@ -131,35 +131,41 @@ class Lookup:
         if not len(self.keys):
             return self.model.bits(keys, np.zeros((2, len(keys))))[:, place]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = self.losses[:, at].astype(np.float64)
+        out = self.losses[:, at]
         new = np.flatnonzero(self.keys[at] != keys)
         out[:, new] = self.model.bits(keys[new], np.zeros((2, len(new))))
         return out[:, place]
 
 
-def score(docs: DataFrame, target: Column, path: str, *, score_docs: DataFrame | None = None, broadcast: int = BROADCAST_BIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: Column | DataFrame, path: str, *, score_docs: DataFrame | None = None, broadcast: int = BROADCAST_BIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Loss of each text in bits a token, and their difference: (id, n_tokens, target_bits, background_bits, difference).
 
-    The target model counts the texts of docs where target holds, the background model counts all of them; both have one
+    The target model counts the texts of docs where target holds, or whose ids are in the first column of target; the background model counts all of them; both have one
     vocabulary, the tokenizer's, one order and one smoothing: p(w | v) = (c(v w) + 16 p(w)) / (c(v) + 16), where
     p(w) = (c(w) + 0.5) / (N + 0.5 V). The lower the difference, target less background, the more a text is like target.
-    Every text is encoded once, its ids written to the shared folder. score_docs are scored, or else docs. Up to broadcast
-    bigrams the model is broadcast, beyond that it is joined.
+    Every text is encoded once, its token ids written to the shared folder; only they meet ids of target, never the texts.
+    score_docs are scored, or else docs. Up to broadcast bigrams the model is broadcast, beyond that it is joined; losses
+    are in double precision either way.
 
     Null and empty texts: 0 tokens, losses and difference 0. A null target is false. Repeated rows and ids, and null ids:
     each row counts and has a result. Very long texts are read whole. No rows: none come out. Further columns are left out.
     """
     spark, vocabulary = docs.sparkSession, vocabulary_of(path)
-    marked = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.coalesce(target, F.lit(False)).alias("is_target"))
-    texts = staged(encoded(marked, "__text", ["__id", "is_target"], path, vocabulary))
+    by_id = isinstance(target, DataFrame)
+    named = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text"), *([] if by_id else [F.coalesce(target, F.lit(False)).alias("is_target")]))
+    texts = encoded(named, "__text", [c for c in named.columns if c != "__text"], path, vocabulary)
+    if by_id:
+        ids = target.select(col(target.columns[0]).alias("__target")).distinct().withColumn("is_target", F.lit(True))
+        texts = texts.join(ids.hint("shuffle_hash"), F.col("__id") == F.col("__target"), "left").select("__id", F.coalesce("is_target", F.lit(False)).alias("is_target"), "tokens")
+    texts = staged(texts)
     counts = staged(count_bigrams(texts, vocabulary))
     model = Words(counts, vocabulary)
     if score_docs is not None:
-        texts = encoded(score_docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), "__text", ["__id"], path, vocabulary)
+        texts = encoded(score_docs.select(col(id_col).alias("__id"), col(text_col).alias("__text")), "__text", ["__id"], path, vocabulary)
     if counts.count() <= broadcast:
         rows = counts.orderBy("bigram").toArrow()
         keys, both = rows.column(0).to_numpy(), np.stack([rows.column(1).to_numpy(), rows.column(2).to_numpy()])
-        shared = spark.sparkContext.broadcast(Lookup(keys, model.bits(keys, both).astype(np.float32), model))
+        shared = spark.sparkContext.broadcast(Lookup(keys, model.bits(keys, both), model))
 
         def make() -> Callable[[pa.Array], list[pa.Array]]:
             def each(tokens: pa.Array) -> list[pa.Array]:
@@ -214,7 +220,5 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more like the documents of good quality than like all documents each document is."""
     import public_tokenizers
 
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = docs.join(good.hint("shuffle_hash"), "doc_id", "left")
-    return score(marked, F.col("good"), public_tokenizers.path("byte_bpe_50k.json"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(table(spark, sf_dir, "documents"), good, public_tokenizers.path("byte_bpe_50k.json"))

@@ -392,10 +392,12 @@ def test_scores_match_brute_force_by_both_ways(spark):
                 table[key][0] += good(i)
     total = [sum(x[m] for x in word.values()) for m in (0, 1)]
     p = lambda m, a, b: (pair[a, b][m] + 16 * (word[b][m] + 0.5) / (total[m] + 0.5 * (v + 1))) / (context[a][m] + 16)
-    want = sorted((len(ids), *(round(sum(-np.log2(p(m, a, b)) for a, b in zip([v, *ids], ids)) / max(1, len(ids)), 4) for m in (0, 1))) for _, ids in listed)
+    want = sorted((len(ids), *(sum(-np.log2(p(m, a, b)) for a, b in zip([v, *ids], ids)) / max(1, len(ids)) for m in (0, 1))) for _, ids in listed)
+    ids = spark.createDataFrame([(3,), (5,), (5,), (77,), (None,)], "doc_id long")
     for limit in (1 << 20, 1):
-        rows = scoring.score(docs, F.col("doc_id").isin(3, 5), path, broadcast=limit).collect()
-        assert np.allclose(sorted((r.n_tokens, r.target_bits, r.background_bits) for r in rows), want, atol=1e-3)
+        for target in (F.col("doc_id").isin(3, 5), ids):
+            rows = scoring.score(docs, target, path, broadcast=limit).collect()
+            assert np.allclose(sorted((r.n_tokens, r.target_bits, r.background_bits) for r in rows), want, rtol=0, atol=1e-9)
     assert scoring.score(empty(spark), F.lit(True), path).count() == 0
 
 
