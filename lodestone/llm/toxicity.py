@@ -7,7 +7,6 @@ stretches of two to sixteen words in which it is most like toxic text, as a rude
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +19,7 @@ from .common import ALNUM_LOWER, STEP, coded, filter_texts, hashed, held_out, ma
 #: Bounds of the training sample: labelled documents of each class, and bytes of a document that can be in it.
 SAMPLE_PER_CLASS = 2_500
 SAMPLE_TEXT_BYTES = 1 << 20
-#: What cross-validation within the training sample chooses from: least weight of the shared word distribution, and
-#: contexts that a bigram's backoff counts for.
-BACKOFFS = (0.1, 0.3)
+#: What cross-validation within the training sample chooses from: contexts that a bigram's backoff counts for.
 CONTEXT_WEIGHTS = (1_000.0, 30_000.0, 1_000_000.0)
 #: Words over which log-likelihoods are compared: the best stretch of so many, and the whole text.
 LENGTHS = (2, 4, 8, 16, None)
@@ -120,7 +117,7 @@ class Counts:
         self.at_context, self.at_word = (np.searchsorted(x, y).astype(np.int32) for x, y in ((contexts, firsts), (self.vocabulary, seconds)))
         self.pairs = [aligned(self.bigrams, *s[:2]).astype(np.float32) for s in sides]
 
-    def parts(self, backoff: float, context_weight: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    def parts(self, context_weight: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Both classes' word distributions and discounted shares of bigrams, and the backoff's weight in each context.
 
         A class's p(word | context) is (1 - weight) x share + weight x p(word). Discounts are those that the class's own
@@ -136,7 +133,7 @@ class Counts:
             own = np.maximum(n - d, 0)
             rest = min(rest, own.sum() / (n.sum() + 1))
             unigram.append(own / max(own.sum(), 1e-300))
-        rest = 1 - min(rest, 1 - backoff)
+        rest = 1 - rest
         unigram = [(1 - rest) * u + rest * shared for u in unigram]
         weight, shares = np.zeros(len(self.contexts[0])), []
         for grams, first in zip(self.pairs, self.contexts, strict=True):
@@ -146,9 +143,9 @@ class Counts:
             shares.append(n / np.maximum(mass, 1e-300)[self.at_context])
         return unigram, shares, weight
 
-    def smoothed(self, backoff: float, context_weight: float) -> Model:
+    def smoothed(self, context_weight: float) -> Model:
         """Interpolated Kneser-Ney models of both classes, as the logarithms of their ratio."""
-        unigram, shares, weight = self.parts(backoff, context_weight)
+        unigram, shares, weight = self.parts(context_weight)
         back = weight[self.at_context]
         logs = [np.log((1 - back) * n + back * u[self.at_word]) for n, u in zip(shares, unigram, strict=True)]
         ratio = (logs[0] - logs[1]).astype(np.float32)
@@ -157,9 +154,9 @@ class Counts:
         return Model(self.bigrams[telling], ratio[telling], self.vocabulary, single)
 
 
-def fit_ratios(sample: Sample, backoff: float = BACKOFFS[0], context_weight: float = CONTEXT_WEIGHTS[1]) -> Model:
+def fit_ratios(sample: Sample, context_weight: float = CONTEXT_WEIGHTS[1]) -> Model:
     """The smoothed models of both classes' texts."""
-    return Counts(sample).smoothed(backoff, context_weight)
+    return Counts(sample).smoothed(context_weight)
 
 
 def ratios(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -199,14 +196,14 @@ def compared(model: Model, keys: np.ndarray, per_text: np.ndarray) -> np.ndarray
 def chosen(sample: Sample) -> tuple[Model, np.ndarray]:
     """The model of all rows by the settings whose cross-validated curve loses least, and the rows' values in the folds that left them out."""
     fold = np.arange(len(sample.toxic)) % FOLDS
-    tried = {s: np.zeros((len(fold), len(LENGTHS))) for s in product(BACKOFFS, CONTEXT_WEIGHTS)}
+    tried = {s: np.zeros((len(fold), len(LENGTHS))) for s in CONTEXT_WEIGHTS}
     for k in range(FOLDS):  # a fold's counts go with it
         counts, own = Counts(sample.only(fold != k)), sample.only(fold == k)
         for settings, values in tried.items():
-            values[fold == k] = compared(counts.smoothed(*settings), own.keys, own.per_text)
+            values[fold == k] = compared(counts.smoothed(settings), own.keys, own.per_text)
         del counts
     at = min(tried, key=lambda s: loss(tried[s], sample.toxic))
-    return fit_ratios(sample, *at), tried[at]
+    return fit_ratios(sample, at), tried[at]
 
 
 def curve(model: Model, values: np.ndarray) -> np.ndarray:

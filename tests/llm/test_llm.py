@@ -411,8 +411,8 @@ def test_kneser_ney_probabilities_and_scores_match_brute_force():
     toxic, ordinary = ([" ".join(rng.choice([f"w{i}" for i in range(n)], 12)) for _ in range(m)] for n, m in ((9, 25), (14, 40)))
     counts = toxicity.Counts(sample_of(toxic, ordinary))
     word = lambda w: int(toxicity.hashed([w.encode()])[0])
-    for settings in ((0.1, 1.0), (0.3, 50.0)):
-        unigram, shares, weight = counts.parts(*settings)
+    for settings in (1.0, 50.0):
+        unigram, shares, weight = counts.parts(settings)
         for u, n in zip(unigram, shares):
             total = (1 - weight) * np.bincount(counts.at_context, n, len(weight)) + weight * u.sum()
             assert np.allclose(total, 1) and np.isclose(u.sum(), 1)
@@ -427,19 +427,19 @@ def test_kneser_ney_probabilities_and_scores_match_brute_force():
         for s, (d0, _) in zip(sides, d):
             shared.update({w: min(n, d0) for w, n in s[0].items()})
         own = [{w: max(0, n - d0) for w, n in s[0].items()} for s, (d0, _) in zip(sides, d)]
-        rest = 1 - min(1 - settings[0], *(sum(o.values()) / (sum(s[0].values()) + 1) for o, s in zip(own, sides)))
+        rest = 1 - min((sum(o.values()) / (sum(s[0].values()) + 1) for o, s in zip(own, sides)))
         p1 = lambda k, w: (1 - rest) * own[k].get(w, 0) / sum(own[k].values()) + rest * shared[w] / sum(shared.values())
         mass = [Counter() for _ in sides]
         for m, s, (_, d1) in zip(mass, sides, d):
             for (b, _), n in s[1].items():
                 m[b] += max(0, n - d1)
-        back = lambda b: max(1 - m[b] / (s[2][b] + settings[1]) for m, s in zip(mass, sides))
+        back = lambda b: max(1 - m[b] / (s[2][b] + settings) for m, s in zip(mass, sides))
         p2 = lambda k, b, c: (1 - back(b)) * (max(0, sides[k][1][b, c] - d[k][1]) / mass[k][b] if mass[k][b] and sides[k][1][b, c] else 0) + back(b) * p1(k, c)
         known = sides[0][1].keys() | sides[1][1].keys()
         text = "w1 w3 w3 w8 w2 w13 w0 w5 nowhere w4"
         w = text.split()
         want = [0.0 if c == "nowhere" else np.log(p2(0, b, c) / p2(1, b, c)) if (b, c) in known and b else np.log(p1(0, c) / p1(1, c)) for b, c in zip(["", *w], w)]
-        model = counts.smoothed(*settings)
+        model = counts.smoothed(settings)
         got = toxicity.ratios(model, *toxicity.keys_of(toxicity.pa.array([text])))
         assert word("w1") in set(model.words.tolist()) and np.allclose(got, want, atol=2e-3)
         values = toxicity.compared(model, *toxicity.keys_of(toxicity.pa.array([text, ""])))
