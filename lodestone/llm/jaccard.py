@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from .common import SPACED_LOWER, STEP, coded, col, gram_keys, hashed, map_texts, mixed, release, slices, staged, table, words
 from .components import components
 
-SKETCH = 1 << 18
+SKETCH = 1 << 21  # cells of the frequency sketch, 4 bytes each; a shingle that 1 in 5,000 texts or so have stands out of its cell
+SHIFT = np.uint64(65 - SKETCH.bit_length())
 LONGEST = 4  # the largest l
 VERIFY = 8.0  # what a candidate costs, in postings read
 #: Keys that are broadcast at most, 8 bytes each; beyond them the rows are joined.
@@ -82,12 +83,12 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     pieces = 16
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH, np.int64)
+        cells = np.zeros(SKETCH, np.int32)
         names = ["id", "n", "sig", "key", "piece"]
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column(1), k)
-                cells += np.bincount((s.hashes >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                cells += np.bincount((s.hashes >> SHIFT).astype(np.int64), minlength=SKETCH).astype(np.int32)
                 both = s.signatures()
                 sigs = pa.array([b.tobytes() for b in np.ascontiguousarray(both.T)], pa.binary())
                 keys = row_keys(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), both).view(np.int64)
@@ -98,7 +99,7 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         pa.default_memory_pool().release_unused()
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(pa.decompress(c, 8 * SKETCH // pieces, "zstd", asbytes=True), np.int64) for c in group.column("sig").to_pylist())
+        total = sum(np.frombuffer(pa.decompress(c, 4 * SKETCH // pieces, "zstd", asbytes=True), np.int32).astype(np.int64) for c in group.column("sig").to_pylist())
         return pa.table({"piece": group.column("piece")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
     both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, piece int"))
@@ -114,8 +115,8 @@ def prefixes(s: Sets, rows: np.ndarray, cells: np.ndarray, num: int, den: int) -
     chosen[rows] = True
     own = chosen[s.row]
     hashes, row = s.hashes[own], s.row[own]
-    usual = max(1, int(cells.sum()) // SKETCH)
-    often = np.maximum(0, cells[(hashes >> np.uint64(46)).astype(np.int64)] - 2 * usual)
+    usual = max(1, int(cells.sum(dtype=np.int64)) // SKETCH)
+    often = np.maximum(0, cells[(hashes >> SHIFT).astype(np.int64)].astype(np.int64) - 2 * usual)
     level = np.where(often > 0, 1 + np.log2(np.maximum(often, 1)).astype(np.int64), 0)
     by = np.argsort(row * 64 + level, kind="stable")
     hashes, row, often = hashes[by], row[by], often[by]
@@ -148,7 +149,7 @@ LIVE = "token long, id long, n long, l int"
 
 def live_postings(docs: DataFrame, cells: np.ndarray, k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> DataFrame:
     """Prefix shingles that two rows or more share, as LIVE. They travel packed, a row for each slice and bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32))
 
     kind = pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -341,8 +342,9 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
         pairs = staged(best.select("a", "best.b"))
         good = staged(verified(pairs, sets, num, den))
         links = good if links is None else links.unionByName(good)
-        tried = pairs.join(good, ["a", "b"], "left_anti") if tried is None else tried.unionByName(pairs.join(good, ["a", "b"], "left_anti"))
-        spent += [first, pairs, good]
+        failed = staged(pairs.join(good, ["a", "b"], "left_anti"))
+        tried = failed if tried is None else tried.unionByName(failed)
+        spent += [first, pairs, good, failed]
     named_comp = components(links)
 
     # what is left: sets of unlike components that share as many prefix shingles as the smaller l asks
