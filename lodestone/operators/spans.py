@@ -28,3 +28,11 @@ def islands(spans: DataFrame, group: str, *, gap: int = 0) -> DataFrame:
     new = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
     numbered = spans.withColumn("__new", new).withColumn("island", F.sum("__new").over(order))
     return numbered.groupBy(group, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("spans"))
+
+
+def contiguous(spans: DataFrame, group: str, *, gaps: tuple[int, ...] = (0, 2)) -> DataFrame:
+    """Runs of a group's spans (start, end) that begin just where the one before ends, or one of gaps behind: (group, run, start, end, spans)."""
+    order = Window.partitionBy(group).orderBy("start", "end")
+    joins = (F.col("start") - F.lag("end").over(order)).isin(*gaps)
+    numbered = spans.withColumn("__new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("__new").over(order))
+    return numbered.groupBy(group, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("spans"))

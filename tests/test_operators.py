@@ -1,5 +1,7 @@
 """Small hand-made cases of operators' properties."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins, metrics, ranking, spans, stats
@@ -37,19 +39,45 @@ def test_no_variance_has_no_correlation(spark):
     assert stats.correlation(rows, ["g"], "x", "y").head()["r"] is None
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(u, i, int((u * 7 + i * i) % 5 > 1)) for u in range(4) for i in range(12)]
-    events = spark.createDataFrame(rows, "user_id int, event_id int, good int")
-    events.where("event_id < 6").coalesce(1).write.parquet(str(tmp_path / "in"))
+LOG = "user_id int, event_id int, kind string, good int, difficulty int, level int, start int"
+
+
+def told(spark, *events, start=0):
+    return spark.createDataFrame([(1, i, kind, good, difficulty, level, start) for i, (kind, good, difficulty, level) in enumerate(events)], LOG)
+
+
+def test_learner_levels_by_hand(spark):
+    right, wrong = ("submit", 1, 2, 0), ("submit", 0, 0, 0)
+    of = lambda events, start=0: {k: v for k, v in states(told(spark, *events, start=start), ["user_id"], ["event_id"]).head().asDict().items()}
+    assert of([right] * 2)["level"] == 0 and of([right] * 4)["level"] == 1  # 0.6, 0.68, 0.744, 0.7952
+    up = of([right] * 4)
+    assert (up["score"], up["since"], up["attempts"], up["right_ones"], up["coverage"]) == (0.5, 0, 4, 4, 0.0)
+    assert of([right] * 3)["level"] == 0  # a full window, but a score under the threshold
+    assert of([("submit", 1, 0, 0)] * 9)["level"] == 0  # no answer at the next level's difficulty
+    assert of([right] * 4 + [("revoke", None, 0, 0)])["level"] == 0 and of([right] * 4 + [("revoke", None, 0, 0)])["score"] == 0.744
+    over = of([right] * 3 + [("override", None, 0, 2), ("revoke", None, 0, 0)])
+    assert (over["level"], over["score"], over["attempts"], over["right_ones"]) == (2, 0.5, 2, 2)
+    assert of([("revoke", None, 0, 0), ("skip", None, 0, 0)], start=1)["level"] == 1
+    assert of([wrong] * 9, start=2)["level"] < 2 and of([("submit", 0, 2, 0)] * 9, start=1)["level"] == 1
+
+
+def test_streamed_learner_equals_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(u, i, rng.choice(["submit"] * 6 + ["skip", "override", "revoke"]), rng.random() < 0.6, rng.randrange(3), rng.randrange(3), u % 3) for u in range(4) for i in range(40)]
+    events = spark.createDataFrame([(u, i, k, int(g) if k == "submit" else None, d, v, s) for u, i, k, g, d, v, s in rows], LOG)
+    events.where("event_id < 17").coalesce(1).write.parquet(str(tmp_path / "in"))
+
     def once():
         stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
         out = stream_states(stream, ["user_id"], ["event_id"]).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
-        out.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination()
+        out.foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination()
+
     once()
-    events.where("event_id >= 6").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events.where("event_id >= 17").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     once()
-    last = spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").agg(F.max_by(F.struct("attempts", "score", "level"), "attempts").alias("s")).select("user_id", "s.*")
-    want = states(events, ["user_id"], ["event_id"], F.col("good") == 1)
+    columns = ["attempts", "right_ones", "score", "level", "since"]
+    last = spark.read.parquet(str(tmp_path / "out")).groupBy("user_id").agg(F.max_by(F.struct(*columns), "n").alias("s")).select("user_id", "s.*")
+    want = states(events, ["user_id"], ["event_id"]).select("user_id", *columns)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
 
 
