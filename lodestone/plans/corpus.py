@@ -107,19 +107,19 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The tables have no sections and record types of their own; these stand for them, by line and document.
 RECORDS = f"""{LINES}, r AS (SELECT l.doc_id, line_no::INT AS line_no, line, lang, source, ['paragraph', 'heading', 'formula', 'table', 'figure', 'paragraph', 'paragraph'][((l.doc_id + line_no) % 7 + 1)::INT] AS kind,
-['Glossary', 'Section  Summary', 'Conceptual Questions', 'Test Prep for AP Courses', 'Kinematics', 'Connection for AP Courses', 'Waves', 'Chapter Review'][((l.doc_id // 3) % 8 + 1)::INT] AS section,
+['Glossary', 'Section  Summary', 'Conceptual Questions', 'Test Prep for AP Courses', 'Kinematics', 'Connection for AP Courses', 'Waves', 'Chapter Review'][((l.doc_id // 3 + line_no // 12) % 8 + 1)::INT] AS section, line_no // 36 AS chapter,
 CASE WHEN line_no % 5 = 0 THEN 'Example ' || line WHEN line_no % 11 = 3 THEN 'Check Your Understanding ' || line WHEN line_no % 13 = 4 THEN 'Strategy' ELSE line END AS text FROM lines l JOIN documents USING (doc_id))"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, kind, section, text): lines as a parser's records, with kinds and sections by their numbers."""
+    """(doc_id, line_no, chapter, kind, section, text): lines as a parser's records, with kinds and sections by their numbers."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     kind = pick(("paragraph", "heading", "formula", "table", "figure", "paragraph", "paragraph"), (F.col("doc_id") + F.col("line_no")) % 7)
-    section = pick(("Glossary", "Section  Summary", "Conceptual Questions", "Test Prep for AP Courses", "Kinematics", "Connection for AP Courses", "Waves", "Chapter Review"), F.floor(F.col("doc_id") / 3) % 8)
+    section = pick(("Glossary", "Section  Summary", "Conceptual Questions", "Test Prep for AP Courses", "Kinematics", "Connection for AP Courses", "Waves", "Chapter Review"), (F.floor(F.col("doc_id") / 3) + F.floor(F.col("line_no") / 12)) % 8)
     head = F.when(F.col("line_no") % 5 == 0, F.concat(F.lit("Example "), "line")).when(F.col("line_no") % 11 == 3, F.concat(F.lit("Check Your Understanding "), "line")).when(F.col("line_no") % 13 == 4, "Strategy")
-    return lines.select("doc_id", "line_no", kind.alias("kind"), section.alias("section"), head.otherwise(F.col("line")).alias("text"))
+    return lines.select("doc_id", "line_no", F.floor(F.col("line_no") / 36).cast("int").alias("chapter"), kind.alias("kind"), section.alias("section"), head.otherwise(F.col("line")).alias("text"))
 
 
 @query(rf"""WITH {RECORDS}, k AS (SELECT doc_id, line_no, kind, section, text, trim(regexp_replace(lower(section), '\s+', ' ', 'g')) AS title, lower(trim(text)) AS body, replace(lower(section), 'ß', 'ss') AS raw FROM r)

@@ -103,3 +103,42 @@ def test_coverage_takes_both_sides_and_nulls(spark):
     a, b = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (2,), (3,), (None,)], "k int")
     assert sorted(map(tuple, joins.coverage(a, b, ["k"]).collect())) == [(1, "missing"), (3, "unexpected")]
     assert joins.coverage(a.limit(0), b.limit(0), ["k"]).count() == 0
+
+
+def runs_by_definition(tokens, target, most, least):
+    """Chunks of a segment straight from the rule: try every end, then look at the tail."""
+    size = lambda run: sum(tokens[i] for i in run)
+    left, out = list(range(len(tokens))), []
+    while left:
+        ends = [left[:n] for n in range(1, len(left) + 1)]
+        fitting = [e for e in ends if size(e) <= most]
+        until = next((i for i, e in enumerate(fitting) if size(e) >= target), len(fitting) - 1)
+        best = min((e for e in fitting[: until + 1] if size(e)), key=lambda e: (abs(target - size(e)), len(e)), default=None)
+        over = [e for e in ends if size(e) > most]
+        if best is None and not over:
+            break
+        out.append(best or over[0])
+        left = left[len(out[-1]) :]
+    if len(out) > 1 and size(out[-1]) < least:
+        if size(out[-2] + out[-1]) <= most:
+            out[-2:] = [out[-2] + out[-1]]
+        else:
+            while len(out[-2]) > 1 and size(out[-1]) < least and size(out[-2][:-1]) <= most and size(out[-2][-1:] + out[-1]) <= most:
+                out[-1], out[-2] = out[-2][-1:] + out[-1], out[-2][:-1]
+    return [r for r in out if size(r)]
+
+
+def test_chunks_follow_their_rule(spark):
+    from lodestone.operators import chunking
+
+    rng = random.Random(3)
+    rows = [(d, i, 1, rng.choice([0, 5, 20, 60, 130, 300]), False) for d in range(40) for i in range(rng.randrange(1, 15))]
+    blocks = spark.createDataFrame(rows, "doc_id int, line_no int, segment long, n_tokens int, inline_heading boolean")
+    got = {}
+    for r in chunking.grouped(blocks, target=120, most=160, least=40).collect():
+        got.setdefault(r.doc_id, {}).setdefault(r.chunk, []).append(r.line_no)
+    for d in range(40):
+        want = runs_by_definition([r[3] for r in rows if r[0] == d], 120, 160, 40)
+        assert [sorted(v) for _, v in sorted(got.get(d, {}).items())] == want
+    heads = spark.createDataFrame([(1, 0, 1, 3, True), (1, 1, 2, 3, True), (1, 2, 2, 200, False)], "doc_id int, line_no int, segment long, n_tokens int, inline_heading boolean")
+    assert {(r.line_no, r.chunk) for r in chunking.grouped(heads, target=120, most=160, least=40).collect()} == {(2, 1)}
