@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def judged(questions: DataFrame, hits: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(query, item, rank, relevant) with a row of nulls for a question without hits."""
-    marked = hits.join(relevant.select("query", "item").distinct().withColumn("relevant", F.lit(True)), ["query", "item"], "left")
+    """(query, item, rank, relevant): hits and relevant items of every question; rank is null for what wasn't found, and a question without either has a row of nulls."""
+    marked = hits.join(relevant.select("query", "item").distinct().withColumn("relevant", F.lit(True)), ["query", "item"], "full")
     return questions.join(marked, "query", "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
 
 
@@ -18,14 +18,12 @@ def reciprocal_rank(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query").agg(first.alias("first_rank")).withColumn("rr", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)))
 
 
-def at_k(rows: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
-    """(query, k, hit, recall, precision, returned): recall is null without relevant items, precision without hits."""
-    wanted = relevant.groupBy("query").agg(F.countDistinct("item").alias("wanted"))
-    spread = rows.join(wanted, "query", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    inside: Column = F.col("rank") <= F.col("k")
-    found = F.count_if(inside & F.col("relevant"))
-    out = spread.groupBy("query", "k").agg(found.alias("found"), F.count_if(inside).alias("returned"), F.max("wanted").alias("wanted"))
-    return out.select("query", "k", (F.col("found") > 0).cast("int").alias("hit"), (F.col("found") / F.col("wanted")).alias("recall"), F.try_divide("found", "returned").alias("precision"), "returned")
+def at_k(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """(query, k, hit, recall, precision, returned) of judged rows: recall is null without relevant items, precision without hits."""
+    spread = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    inside: Column = F.coalesce(F.col("rank") <= F.col("k"), F.lit(False))
+    out = spread.groupBy("query", "k").agg(F.count_if(inside & F.col("relevant")).alias("found"), F.count_if(inside).alias("returned"), F.count_if("relevant").alias("wanted"))
+    return out.select("query", "k", (F.col("found") > 0).cast("int").alias("hit"), F.try_divide("found", "wanted").alias("recall"), F.try_divide("found", "returned").alias("precision"), "returned")
 
 
 def share(condition: Column) -> list[Column]:

@@ -143,7 +143,7 @@ per_k AS (SELECT query, k, count(*) FILTER (WHERE rank <= k AND relevant) AS fou
 SELECT query AS item_id, k::INT AS k, (found > 0)::INT AS hit, round(found / wanted, 8) AS recall, round(found / nullif(returned, 0), 8) AS precision, returned::BIGINT AS returned
 FROM per_k LEFT JOIN wanted USING (query)""")
 def m3_m6_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.at_k(judged(spark, sf_dir), gold(spark, sf_dir), [1, 3, 5, 10])
+    rows = metrics.at_k(judged(spark, sf_dir), [1, 3, 5, 10])
     return rows.select(F.col("query").alias("item_id"), "k", "hit", F.round("recall", 8).alias("recall"), F.round("precision", 8).alias("precision"), "returned")
 
 
@@ -152,7 +152,7 @@ per_k AS (SELECT query, k, count(*) FILTER (WHERE rank <= k AND relevant) AS fou
 SELECT k::INT AS k, round(avg((found > 0)::INT), 8) AS mean_hit, round(avg(found / wanted), 8) AS mean_recall, count(wanted)::BIGINT AS recall_defined,
        round(avg(found / nullif(returned, 0)), 8) AS mean_precision, count(nullif(returned, 0))::BIGINT AS precision_defined FROM per_k LEFT JOIN wanted USING (query) GROUP BY k""")
 def m7_scored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.at_k(judged(spark, sf_dir), gold(spark, sf_dir), [1, 3, 5, 10]).groupBy("k")
+    rows = metrics.at_k(judged(spark, sf_dir), [1, 3, 5, 10]).groupBy("k")
     mean = lambda c: F.round(F.avg(c), 8).alias(f"mean_{c}")
     return rows.agg(mean("hit"), mean("recall"), F.count("recall").alias("recall_defined"), mean("precision"), F.count("precision").alias("precision_defined"))
 

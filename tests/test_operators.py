@@ -20,7 +20,7 @@ def test_empty_retrieval_is_null_not_zero(spark):
     questions = spark.createDataFrame([(1,)], "query int")
     hits = spark.createDataFrame([], "query int, item int, rank int")
     gold = spark.createDataFrame([(1, 5)], "query int, item int")
-    row = metrics.at_k(metrics.judged(questions, hits, gold), gold, [5]).head()
+    row = metrics.at_k(metrics.judged(questions, hits, gold), [5]).head()
     assert row["precision"] is None and row["recall"] == 0 and row["hit"] == 0
 
 
