@@ -202,8 +202,24 @@ def bounded_keys(keys: DataFrame) -> np.ndarray | None:
     return np.sort(keys.toArrow().column(0).to_numpy())
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id, their first column, is in ids: without a shuffle where the ids may be broadcast."""
+    keys = bounded_keys(ids)
+    if keys is None:
+        return rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), shared.value)))
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Each pair's sets meet by two joins."""
+    """The pairs (a, b) whose sets are similar enough. Each pair's sets meet by two joins, to which no other sets go."""
+    sets = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").select("a", "b", "left", "right")
 
