@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.plans import answers, assessment, chunks, corpus, evaluation, reports, screening, search, state  # noqa: E402, F401
+from lodestone.plans import answers, assessment, chunks, corpus, evaluation, inference, reports, screening, search, state  # noqa: E402, F401

@@ -142,3 +142,56 @@ def test_chunks_follow_their_rule(spark):
         assert [sorted(v) for _, v in sorted(got.get(d, {}).items())] == want
     heads = spark.createDataFrame([(1, 0, 1, 3, True), (1, 1, 2, 3, True), (1, 2, 2, 200, False)], "doc_id int, line_no int, segment long, n_tokens int, inline_heading boolean")
     assert {(r.line_no, r.chunk) for r in chunking.grouped(heads, target=120, most=160, least=40).collect()} == {(2, 1)}
+
+
+def test_near_titles_match_brute_force(spark):
+    import difflib
+
+    from lodestone.operators import merging
+
+    rng = random.Random(4)
+    titles = sorted({" ".join([rng.choice(["wave", "force"]), *rng.choices(["motion", "motions", "field", "fields", "first", "second", "elastic"], k=rng.randrange(1, 4))]) for _ in range(80)})
+    got = {(r.left_title, r.right_title): r.similarity for r in merging.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), distinctive=merging.DISTINCTIVE).collect()}
+    want = {}
+    for a in titles:
+        for b in titles:
+            ratio = difflib.SequenceMatcher(None, a, b).ratio()
+            if a < b and a.split()[0] == b.split()[0] and ratio >= 0.9 and not (set(a.split()) ^ set(b.split())) & set(merging.DISTINCTIVE):
+                want[a, b] = round(ratio, 3)
+    assert got == want and want
+
+
+def test_suppression_keeps_the_best_of_what_overlaps(spark):
+    from lodestone.operators import screening
+
+    rng = random.Random(5)
+    rows = [(q, r, rng.randrange(3), s, s + rng.randrange(1, 60)) for q in range(6) for r, s in enumerate(rng.choices(range(100), k=30), 1)]
+    got = {(r.query, r.rank) for r in screening.suppressed(spark.createDataFrame(rows, "query int, rank int, doc int, start int, end int"), 7).collect()}
+    want = set()
+    for q in range(6):
+        kept = []
+        for row in sorted(r for r in rows if r[0] == q):
+            same = [k for k in kept if k[2] == row[2] and min(k[4], row[4]) - max(k[3], row[3]) >= 0.85 * min(k[4] - k[3], row[4] - row[3])]
+            if not same and len(kept) < 7:
+                kept.append(row)
+        want |= {(q, r[1]) for r in kept}
+    assert got == want
+
+
+def test_components_follow_long_paths(spark):
+    from lodestone.operators import merging
+    from lodestone.sources.shared import written
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100)], "a long, b long")
+    assert {(r.node, r.component) for r in merging.components(edges, written).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
+    assert merging.components(edges.limit(0), written).count() == 0
+
+
+def test_quotes_with_gaps(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import merging
+
+    rows = spark.createDataFrame([(1, ["a b c", "d e f"]), (2, ["d e f", "a b c"]), (3, ["a b"]), (4, []), (5, ["a b c", "b c d"]), (6, ["a b c"])], "k int, f array<string>")
+    got = {r.k: r.g for r in rows.select("k", merging.grounded(F.col("f"), F.lit("x a b c d e f")).alias("g")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
