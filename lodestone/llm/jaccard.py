@@ -15,6 +15,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +23,14 @@ from pyspark.sql import types as T
 from .common import SPACED_LOWER, STEP, coded, col, gram_keys, hashed, map_texts, mixed, release, slices, staged, table, words
 from .components import components
 
-SKETCH = 1 << 21  # cells of the frequency sketch, 4 bytes each; a shingle that 1 in 5,000 texts or so have stands out of its cell
+SKETCH = 1 << 20  # cells of the frequency sketch, 4 bytes each; a shingle that 1 in 1,000 texts or so have stands out of its cell
 SHIFT = np.uint64(65 - SKETCH.bit_length())
 LONGEST = 4  # the largest l
 VERIFY = 8.0  # what a candidate costs, in postings read
 #: Keys that are broadcast at most, 8 bytes each; beyond them the rows are joined.
 BROADCAST_KEYS = 1 << 23
 MOST_PAIRS = 1 << 21  # pairs that a task counts at once
+ADDED = 64  # tasks whose sketches a group adds up
 GATHERED = 1 << 20  # postings that a task gathers before it sends them to their buckets
 BUCKET = 1 << 21  # shingles of the corpus for which there is a bucket of postings
 
@@ -84,7 +86,8 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH, np.int32)
-        names = ["id", "n", "sig", "key", "piece"]
+        names = ["id", "n", "sig", "key", "piece", "part"]
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column(1), k)
@@ -92,21 +95,31 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 both = s.signatures()
                 sigs = pa.array([b.tobytes() for b in np.ascontiguousarray(both.T)], pa.binary())
                 keys = row_keys(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), both).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), sigs, pa.array(keys), pa.nulls(part.num_rows, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), sigs, pa.array(keys), pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int32())], names)
         if cells.any():
             some = pa.array([packed(c) for c in np.split(cells, pieces)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32())], names)
         pa.default_memory_pool().release_unused()
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(pa.decompress(c, 4 * SKETCH // pieces, "zstd", asbytes=True), np.int32).astype(np.int64) for c in group.column("sig").to_pylist())
-        return pa.table({"piece": group.column("piece")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, piece int"))
-    out = np.zeros(SKETCH, np.int64)
-    for r in both.where("piece is not null").select("piece", "sig").groupBy("piece").applyInArrow(add, "piece int, cells binary").collect():
-        out[r.piece * (SKETCH // pieces) : (r.piece + 1) * (SKETCH // pieces)] = np.frombuffer(r.cells, np.int64)
-    return both.where("piece is null").drop("piece"), out
+        total = np.zeros(SKETCH // pieces, np.int64)
+        for c in group.column("sig").to_pylist():
+            total += np.frombuffer(pa.decompress(c, 4 * SKETCH // pieces, "zstd", asbytes=True), np.int32)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"piece": group.column("piece")[:1], "part": group.column("part")[:1], "sig": pa.array([packed(total)], pa.binary())})
+
+    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, piece int, part int"))
+    found = both.where("piece is not null").select("piece", "part", "sig")
+    last = found.agg(F.max("part")).head()[0] or 0
+    while True:  # a group adds the pieces of ADDED tasks, and then those sums likewise
+        found = found.withColumn("part", F.expr(f"part div {ADDED}").cast("int")).groupBy("piece", "part").applyInArrow(add, "piece int, part int, sig binary")
+        last //= ADDED
+        if not last:
+            break
+    out, rows = np.zeros(SKETCH, np.int32), found.toArrow()
+    for piece, cells in zip(rows.column("piece").to_pylist(), rows.column("sig").to_pylist(), strict=True):
+        out[piece * (SKETCH // pieces) : (piece + 1) * (SKETCH // pieces)] = np.frombuffer(pa.decompress(cells, 4 * SKETCH // pieces, "zstd", asbytes=True), np.int32)
+    return both.where("piece is null").drop("piece", "part"), out
 
 
 def prefixes(s: Sets, rows: np.ndarray, cells: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +162,7 @@ LIVE = "token long, id long, n long, l int"
 
 def live_postings(docs: DataFrame, cells: np.ndarray, k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> DataFrame:
     """Prefix shingles that two rows or more share, as LIVE. They travel packed, a row for each slice and bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     kind = pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -322,7 +335,7 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
         keys = np.zeros(0, np.int64)
     out_keys = spark.sparkContext.broadcast(keys)
     dropped = lambda x: np.isin(x.view(np.int64), out_keys.value)
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(cells.sum()) // BUCKET))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(cells.sum(dtype=np.int64)) // BUCKET))
     live = staged(live_postings(linkable, cells, k, num, den, dropped, buckets))
 
     live_ids = live.select("id").distinct()
