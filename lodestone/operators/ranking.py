@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 
 def complete_rank(hits: DataFrame, question: str, path: str, span: str, chunks: str, rank: str) -> DataFrame:
     """(question, complete_rank): the first rank at which some path has all its spans, each by all chunks of one set.
@@ -51,10 +53,18 @@ def largest_harmless(grid: DataFrame, loss: float) -> DataFrame:
 def placed(rows: DataFrame, *order: str) -> DataFrame:
     """rows with place, their number from 1 in a total order.
 
-    Rows are dealt by ranges of the order, sorted within, and numbered behind the sizes of the ranges before: no task holds
-    all rows. Ties have no order of their own.
+    Rows are dealt by ranges of the order, sorted within, written once, as their ranges mustn't change between two readings,
+    and numbered behind the sizes of the ranges before: no task holds all rows. Ties have no order of their own.
     """
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return sorted_rows.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    return ranged.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
+def placed_in_groups(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows with place, their number from 1 in their group's order, and size, the group's rows; however large a group is."""
+    numbered = placed(rows, group, *order)
+    first = numbered.groupBy(group).agg(F.min("place").alias("__first"), F.count("*").alias("size"))
+    return numbered.join(first, group).withColumn("place", F.col("place") - F.col("__first") + 1).drop("__first")

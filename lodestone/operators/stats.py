@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 
 def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson's correlation by group; null for fewer than 3 pairs or no variance."""
@@ -82,3 +84,22 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
     chance = left.crossJoin(F.broadcast(right)).agg(F.sum(F.col("na") * F.col("nb") * weight(F.col("a"), F.col("b"))).alias("chance"))
     p, e = F.col("same") / F.col("total"), F.col("chance") / F.col("total") / F.col("total")
     return total.crossJoin(F.broadcast(chance)).select(F.col("total").alias("n"), p.alias("agreement"), F.when(e < 1, (p - e) / F.nullif(1 - e, F.lit(0.0))).alias("kappa"))
+
+
+def quantiles(df: DataFrame, group: str, value: str, ps: list[float]) -> DataFrame:
+    """(group, p, q): exact quantiles with linear interpolation at (n - 1) p; nulls are left out.
+
+    Values are counted, dealt by ranges, and their running counts are summed over ranges, so that no task holds a group's
+    distinct values, however many they are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("g", "part").agg(F.sum("n").alias("m"))
+    order = Window.partitionBy("g").orderBy("part")
+    before = parts.select("g", "part", F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    running = ranged.withColumn("upto", upto).join(before, ["g", "part"]).withColumn("upto", F.col("upto") + F.col("before")).withColumn("p", F.explode(F.array(*map(F.lit, ps))))
+    at = (F.col("total") - 1) * F.col("p")
+    holds = lambda i: F.max(F.when((F.col("upto") - F.col("n") <= i) & (i < F.col("upto")), F.col("v")))
+    ends = running.groupBy("g", "p").agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max(at - F.floor(at)).alias("share"))
+    return ends.select(F.col("g").alias(group), "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("q"))

@@ -48,8 +48,12 @@ def m30_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(quantile_cont(abs(value), 0.5), 6) AS abs_q50 FROM events GROUP BY 1")
 def q1_q22_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q("value", 0.05).alias("q05"), q("value", 0.25).alias("q25"), q("value", 0.5).alias("q50"), q("value", 0.95).alias("q95"), q(F.abs("value"), 0.5).alias("abs_q50"))
+    events = table(spark, sf_dir, "events")
+    signed = stats.quantiles(events, "event_type", "value", [0.05, 0.25, 0.5, 0.95])
+    size = stats.quantiles(events.select("event_type", F.abs("value").alias("size")), "event_type", "size", [0.5]).withColumn("p", F.lit(-1.0))
+    pick = lambda p, name: F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 6).alias(name)
+    found = signed.unionByName(size).groupBy("event_type").agg(pick(0.05, "q05"), pick(0.25, "q25"), pick(0.5, "q50"), pick(0.95, "q95"), pick(-1.0, "abs_q50"))
+    return events.select("event_type").distinct().join(found, "event_type", "left")
 
 
 @query("""SELECT l_returnflag, count(*)::BIGINT AS n, round(CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0 THEN covar_pop(l_quantity, l_extendedprice) / sqrt(var_pop(l_quantity) * var_pop(l_extendedprice)) END, 8) AS r FROM lineitem GROUP BY 1""")

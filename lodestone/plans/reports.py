@@ -7,6 +7,7 @@ from lodestone.functions.text import long_words
 from lodestone.operators import joins, ranking, stats
 from lodestone.operators.spans import line_spans
 from lodestone.plans.corpus import LINES
+from lodestone.operators.ranking import placed_in_groups
 from lodestone.registry import query, table
 
 
@@ -168,10 +169,9 @@ def m16_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT source, doc_id FROM r JOIN (SELECT unnest(range(5)) AS s) ON i = round_even(s * (n - 1) / 4.0, 0)""")
 def c11_even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five documents of each source, evenly spaced by id (a sampling report)."""
-    w = Window.partitionBy("source")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: F.bround(s * (F.col("n") - 1) / 4.0, 0).cast("long"))
-    return rows.where(F.array_contains(at, F.col("i").cast("long"))).select("source", "doc_id")
+    rows = placed_in_groups(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: F.bround(s * (F.col("size") - 1) / 4.0, 0).cast("long"))
+    return rows.where(F.array_contains(at, F.col("place") - 1)).select("source", "doc_id")
 
 
 @query("""WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS s, sum(value) OVER (PARTITION BY user_id) AS t FROM events WHERE value > 0)
