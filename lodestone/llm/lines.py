@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 #: A chunk ends behind a line where the rolling hash of it and the line before is 0 modulo this.
 DIVISOR = 3
@@ -55,7 +55,8 @@ def deduplicate_lines(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: i
     parts = named.select("id", "hash", F.explode(chunks(F.col("text"), divisor)).alias("c")).where(F.col("c.filled") >= least_lines)
     placed = parts.select(F.md5(F.col("c.text").cast("binary")).alias("key"), F.struct("id", "hash", F.col("c.no").alias("no")).alias("place"), F.col("c.text").alias("chunk"))
     met = placed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), (F.min("chunk") == F.max("chunk")).alias("same"))
-    repeated = met.where(F.col("same") & ~F.col("first").eqNullSafe(F.col("last"))).select("key", "first")
+    # written before it is joined, so that Spark can split the places of a chunk that very many documents have
+    repeated = staged(met.where(F.col("same") & ~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"))
     again = placed.select("key", "place").join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
     removed = again.groupBy(F.col("place.id").alias("rid"), F.col("place.hash").alias("rhash")).agg(F.collect_set("place.no").alias("removed"))
     joined = whole_rows.join(removed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash")), "left")
@@ -123,7 +124,7 @@ def deduplicate_runs(docs: DataFrame, *, least_lines: int = LEAST_LINES, id_col:
     parts = whole_rows.select("id", "hash", F.explode(windows(F.col("text"), least_lines)).alias("w"))
     placed = parts.select(F.col("w.key").alias("key"), F.struct("id", "hash", F.col("w.no").alias("no")).alias("place"))
     met = placed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    repeated = met.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first")
+    repeated = staged(met.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"))
     again = placed.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
     removed = again.groupBy(F.col("place.id").alias("rid"), F.col("place.hash").alias("rhash")).agg(F.collect_set("place.no").alias("removed"))
     joined = whole_rows.join(removed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash")), "left")

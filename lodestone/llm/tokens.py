@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, STEP, map_texts, mixed, scratch_dir, table, text_bytes, words
+from .common import SPACED, STEP, map_texts, mixed, scratch_dir, staged, table, text_bytes, words
 
 #: Text that is encoded at once.
 ENCODE_BYTES = 4 << 20
@@ -215,7 +215,8 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
 
     counts = map_texts(chosen, "__text", ["digest"], [T.StructField("n_tokens", T.LongType())], make, ENCODE_BYTES)
     counts.dropDuplicates(["digest"]).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
-    return light.join(cached(), "digest").select(F.col("__id").alias(id_col), "n_bytes", "digest", "n_tokens")
+    counted = staged(cached())  # written before it is joined, so that Spark can split the rows of a text that very many have
+    return light.join(counted, "digest").select(F.col("__id").alias(id_col), "n_bytes", "digest", "n_tokens")
 
 
 def has_files(spark: SparkSession, path: str) -> bool:
