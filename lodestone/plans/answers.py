@@ -280,3 +280,67 @@ def m39_cost_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count("*").alias("cells"))
     money = lambda tokens, price: (F.col("cells") * tokens).cast("decimal(18,0)") * F.lit(price).cast("decimal(10,4)") / F.lit(1000000).cast("decimal(7,0)")
     return cells.select("arm", "cells", (F.col("cells") * 3500).alias("input_tokens"), (F.col("cells") * 700).alias("output_tokens"), (money(3500, "0.15") + money(700, "0.6")).cast("decimal(18,6)").cast("string").alias("cost"))
+
+
+@query(f"""WITH {RUNS}, {LINES}, g AS (SELECT run_id, bool_or(unmapped) AS unmapped FROM e GROUP BY 1),
+x AS (SELECT r.run_id, arm, CASE WHEN o_custkey % 23 = 0 THEN 'missing_gold' WHEN NOT answerable THEN 'unanswerable' WHEN answerable IS NULL THEN 'unresolved' WHEN g.run_id IS NULL THEN 'no_evidence' WHEN status = 'retrieval_error' THEN 'retrieval_error' WHEN unmapped THEN 'mapping_missing' ELSE 'included' END AS reason FROM r LEFT JOIN g ON g.run_id = r.run_id)
+SELECT arm, reason, count(*)::BIGINT AS runs FROM x GROUP BY GROUPING SETS ((arm, reason), (reason))""")
+def m7_exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why runs aren't scored: the first reason that holds, by arm and in all."""
+    mapped = evidence(spark, sf_dir).groupBy("run_id").agg(F.bool_or("unmapped").alias("unmapped"))
+    rows = runs(spark, sf_dir).join(mapped, "run_id", "left")
+    answerable = F.col("answerable")
+    reason = (
+        F.when(F.col("o_custkey") % 23 == 0, "missing_gold")
+        .when(~answerable, "unanswerable")
+        .when(answerable.isNull(), "unresolved")
+        .when(F.col("unmapped").isNull(), "no_evidence")
+        .when(F.col("status") == "retrieval_error", "retrieval_error")
+        .when(F.col("unmapped"), "mapping_missing")
+        .otherwise("included")
+    )
+    return rows.withColumn("reason", reason).groupingSets([["arm", "reason"], ["reason"]], "arm", "reason").agg(F.count("*").alias("runs"))
+
+
+@query(f"""WITH {LINES}, k2 AS (SELECT DISTINCT run_id, chunk FROM k WHERE chunk IS NOT NULL), s AS (SELECT e.run_id, path, avg((k2.chunk IS NOT NULL)::INT) AS share FROM e LEFT JOIN k2 ON k2.run_id = e.run_id AND k2.chunk = e.chunk GROUP BY ALL), b AS (SELECT run_id, max(share) AS recall FROM s GROUP BY 1),
+n AS (SELECT run_id, count(*) AS cited, count(*) FILTER (WHERE chunk IS NULL) AS noise FROM k GROUP BY 1) SELECT b.run_id, round(recall, 8) AS recall, round((cited - noise) / cited, 8) AS precision, round(noise / cited, 8) AS context_noise, coalesce(cited, 0)::BIGINT AS returned FROM b LEFT JOIN n USING (run_id)""")
+def m4_m5_best_path_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of spans cited of the best evidence path, and of citations that are evidence or noise; null where nothing is cited."""
+    checks = citation_checks(citations(spark, sf_dir), evidence(spark, sf_dir))
+    cited = checks.where("chunk is not null").select("run_id", "chunk").distinct().withColumn("cited", F.lit(1))
+    paths = evidence(spark, sf_dir).join(cited, ["run_id", "chunk"], "left").groupBy("run_id", "path").agg(F.avg(F.coalesce("cited", F.lit(0))).alias("share"))
+    best = paths.groupBy("run_id").agg(F.max("share").alias("recall"))
+    sums = checks.groupBy("run_id").agg(F.count("*").alias("n"), F.count("chunk").alias("good"))
+    rows = best.join(sums, "run_id", "left")
+    return rows.select("run_id", F.round("recall", 8).alias("recall"), F.round(F.col("good") / F.col("n"), 8).alias("precision"), F.round((F.col("n") - F.col("good")) / F.col("n"), 8).alias("context_noise"), F.coalesce("n", F.lit(0)).alias("returned"))
+
+
+@query("""WITH r AS (SELECT doc_id, count(quality) AS ratings, avg(quality) AS mean, min(quality) AS low, max(quality) AS high FROM labels GROUP BY 1)
+SELECT lang, source, count(*)::BIGINT AS expected, count(r.doc_id)::BIGINT AS rated, (count(*) - count(r.doc_id))::BIGINT AS missing, round(avg(mean), 8) AS mean, min(low)::INT AS least, max(high)::INT AS most FROM documents LEFT JOIN r USING (doc_id) GROUP BY ALL""")
+def m22_rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of each group of documents, with those that still lack one."""
+    ratings = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.lit(1).alias("one"), F.avg("quality").alias("mean"), F.min("quality").alias("low"), F.max("quality").alias("high"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(ratings, "doc_id", "left")
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("expected"), F.count("one").alias("rated"), F.count_if(F.col("one").isNull()).alias("missing"), F.round(F.avg("mean"), 8).alias("mean"), F.min("low").cast("int").alias("least"), F.max("high").cast("int").alias("most"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS run_id, l_linestatus AS corpus, l_returnflag AS topics, o_orderstatus AS state, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT CASE WHEN state = 'P' THEN 'NO_TOPIC_MAP' WHEN corpus <> state THEN 'CORPUS_VERSION_MISMATCH' WHEN topics = 'N' THEN 'TOPIC_REGISTRY_MISMATCH' ELSE 'VALID' END AS status, count(*)::BIGINT AS contexts FROM v GROUP BY 1""")
+def w8_context_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts whose versions belong together, and the first thing that is wrong with others; a line's and an order's state stand for versions."""
+    state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("state"))
+    rows = table(spark, sf_dir, "lineitem").join(state, "l_orderkey")
+    status = F.when(F.col("state") == "P", "NO_TOPIC_MAP").when(F.col("l_linestatus") != F.col("state"), "CORPUS_VERSION_MISMATCH").when(F.col("l_returnflag") == "N", "TOPIC_REGISTRY_MISMATCH").otherwise("VALID")
+    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("contexts"))
+
+
+@query(r"""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 5 THEN ['never', 'written'] ELSE list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 3, 9) END AS ws FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, nullif(regexp_extract(text, array_to_string(list_transform(ws, lambda w: '\Q' || w || '\E'), '\s+')), '') AS excerpt FROM q WHERE len(ws) > 0""")
+def p23_exact_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote as its document has it, where only white space may differ; null if its words don't stand there."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    own = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 3, 7)
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 6 == 5, F.array(F.lit("never"), F.lit("written"))).otherwise(own).alias("ws")).where(F.size("ws") > 0)
+    pattern = F.array_join(F.transform("ws", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+")
+    found = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
+    return rows.select("doc_id", F.nullif(found, F.lit("")).alias("excerpt"))

@@ -177,3 +177,15 @@ def g11_j7_leakage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = keyed.groupBy("h").agg((F.min("source") != F.max("source")).alias("copied"), F.bool_or(F.col("doc_id") % 10 == 0).alias("evidence"))
     gate = F.when((F.col("doc_id") % 10 == 0) & (F.col("line_no") % 3 == 0), "overlap").when(F.col("evidence"), "same_text").when(F.col("copied"), "cross_source_copy").otherwise("clear")
     return keyed.join(marks, "h").select("doc_id", "line_no", gate.alias("gate"))
+
+
+@query(rf"""WITH {SEGMENTS}, b AS (SELECT source, seg.doc_id, chapter, sha256(seg.text) AS h, length(trim(seg.text)) = 0 AS empty, len(regexp_extract_all(seg.text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS n FROM seg JOIN documents USING (doc_id)),
+d AS (SELECT source, h, count(*) AS c FROM b GROUP BY ALL), rep AS (SELECT source, sum(c - 1)::BIGINT AS repeated FROM d GROUP BY 1)
+SELECT source, count(*)::BIGINT AS chunks, count(*) FILTER (WHERE empty)::BIGINT AS empties, any_value(repeated) AS repeated, count(*) FILTER (WHERE n < 5)::BIGINT AS short, count(*) FILTER (WHERE n > 100)::BIGINT AS oversized, min(n)::BIGINT AS least, round(avg(n), 8) AS mean, round(quantile_cont(n, 0.5), 8) AS median, max(n)::BIGINT AS most, count(DISTINCT chapter)::BIGINT AS chapters FROM b JOIN rep USING (source) GROUP BY 1""")
+def c10_chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each source as chunks: how many are empty, repeated, short or too large, and their tokens. Medians come from counts of sizes."""
+    rows = segmented(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    sized = rows.select("source", "chapter", F.sha2("text", 256).alias("h"), (F.char_length(F.trim("text")) == 0).alias("empty"), F.size(texts.ruler_tokens(F.col("text"))).alias("n"))
+    copies = sized.groupBy("source", "h").agg(F.count("*").alias("c")).groupBy("source").agg(F.sum(F.col("c") - 1).alias("repeated"))
+    sums = sized.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if("empty").alias("empties"), F.count_if(F.col("n") < 5).alias("short"), F.count_if(F.col("n") > 100).alias("oversized"), F.min("n").cast("long").alias("least"), F.round(F.avg("n"), 8).alias("mean"), F.max("n").cast("long").alias("most"), F.countDistinct("chapter").alias("chapters"), F.round(F.percentile("n", 0.5), 8).alias("median"))
+    return sums.join(copies, "source")
