@@ -193,3 +193,32 @@ def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa
 def held_out(id_col: str = "doc_id") -> F.Column:
     """The fold on which nothing is learnt: a third of the ids, by checksum. False where the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+#: Bits of a key filter at most: 32 MB that every task can hold, however many keys there are.
+FILTER_BITS = 28
+
+
+class KeyFilter:
+    """Whether 64-bit keys may be in a set: a bit for each range of keys. It never misses one; how many others pass depends on its size."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.bits)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def key_filter(keys: DataFrame, name: str = "key", share: int = 5) -> KeyFilter:
+    """A filter of about 2^share bits a key for a column of well-mixed 64-bit keys, with FILTER_BITS at most.
+
+    It is gathered as words of 64 bits, summed up on the executors: no more than the filter's size comes to the driver.
+    """
+    n = keys.count()
+    bits = min(FILTER_BITS, max(16, (n << share).bit_length()))
+    at = F.shiftrightunsigned(F.col(name), 64 - bits)
+    found = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - bits}) & 63 as int))")).alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return KeyFilter(bits, words)

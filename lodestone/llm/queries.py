@@ -12,6 +12,7 @@ from .jaccard import op6_ngram_jaccard_join
 from .language import op9_language_id
 from .lines import OP8_SQL, op8_line_dedup, op8_line_run_dedup
 from .packing import op10_best_fit_packing
+from .parsing import op12_suffix_array_dedup
 from .scoring import op3_lm_scoring
 from .substrings import op5_substring_dedup
 from .tokens import op1_token_counts
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_run_dedup,
         op9_language_id,
         op10_best_fit_packing,
+        op12_suffix_array_dedup,
     )
 }
 
