@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP13_SQL, op13_phrase_collocations
 from .decontamination import op4_benchmark_decontamination
 from .embeddings import op2_embedding_near_dedup
 from .jaccard import op6_ngram_jaccard_join
@@ -17,6 +18,7 @@ from .scoring import op3_lm_scoring
 from .substrings import op5_substring_dedup
 from .tokens import op1_token_counts
 from .toxicity import op7_toxicity
+from .variants import op11_spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,8 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_run_dedup,
         op9_language_id,
         op10_best_fit_packing,
+        op11_spelling_variants,
         op12_suffix_array_dedup,
+        op13_phrase_collocations,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op13_phrase_collocations": OP13_SQL}
