@@ -71,3 +71,81 @@ def close_to(answer: Column, expected: Column, unit: Column, *, relative: float,
     value = F.regexp_extract(answer, pattern, 1).try_cast("double")
     near = F.abs(value - expected) <= F.greatest(relative * F.greatest(F.abs(value), F.abs(expected)), F.lit(absolute))
     return (F.regexp_extract(answer, pattern, 2) == unit) & near
+
+
+def answer_outcome(mode: Column, status: Column, has_options: Column, gold: Column, choice: Column) -> Column:
+    """What became of a run, by the first rule that holds: runs without generation, failures, abstentions, open questions, then the choice."""
+    return (
+        F.when(mode == "retrieval_only", "not_applicable")
+        .when(status == "retrieval_error", "retrieval_failed")
+        .when(status == "generation_error", "generation_failed")
+        .when(status == "parse_error", "format_failed")
+        .when(status == "abstained", "abstained")
+        .when(~has_options, "open_ended")
+        .when(gold.isNull(), "missing_gold")
+        .when(choice.isNull(), "missing_prediction")
+        .when(choice == gold, "correct")
+        .otherwise("wrong")
+    )
+
+
+def checked_runs(checks: DataFrame) -> DataFrame:
+    """(run_id, n_checks, n_invalid, resolved) of citation checks (run_id, citation, chunk, valid): resolved has the chunks in the citations' order."""
+    chunk = F.when(F.col("chunk").isNotNull(), F.struct("citation", "chunk"))
+    resolved = F.transform(F.array_sort(F.collect_list(chunk)), lambda x: x["chunk"])
+    return checks.groupBy("run_id").agg(F.count("*").alias("n_checks"), F.count_if(~F.col("valid")).alias("n_invalid"), resolved.alias("resolved"))
+
+
+def citation_validity(status: Column, n_checks: Column, n_invalid: Column, missing: Column, passed: Column, matches: Column) -> Column:
+    """Whether a run's citations hold: for an answer all of them, and a recorded validation that passed and agrees; for others only what is seen to be wrong, else null.
+
+    passed and matches are null for a run without a recorded validation.
+    """
+    held = (n_checks > 0) & (n_invalid == 0) & F.coalesce(passed & matches, F.lit(False))
+    return F.when(status == "answered", held).when(missing | (n_invalid > 0), False)
+
+
+def failure_labels(status: Column, answerable: Column, choice_correct: Column, output_flags: list[Column], citation_valid: Column, matches: Column, missing_citation: Column, mapping_missing: Column) -> Column:
+    """The set of what went wrong in a run, sorted. output_flags: whether each output is valid; null where there is none."""
+    no = lambda c: F.coalesce(~c, F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    wrong, refused = no(choice_correct), yes(answerable) & (status == "abstained")
+    rules = {
+        "retrieval_failure": status == "retrieval_error",
+        "generation_failure": status == "generation_error",
+        "gold_missed": wrong | refused,
+        "wrong_option": wrong,
+        "wrong_abstention": refused,
+        "answered_when_unanswerable": no(answerable) & (status == "answered"),
+        "invalid_output": F.greatest(status == "parse_error", *[no(f) for f in output_flags]),
+        "invalid_citation": no(citation_valid),
+        "citation_validation_mismatch": no(matches),
+        "missing_citation": yes(missing_citation),
+        "unresolved_answerability": answerable.isNull(),
+        "mapping_missing": yes(mapping_missing),
+    }
+    return F.array_compact(F.array(*[F.when(rules[name], name) for name in sorted(rules)]))
+
+
+def rubric_scores(verdicts: DataFrame, paths: DataFrame, errors: DataFrame) -> DataFrame:
+    """(run_id, score) of verdicts (run_id, criterion, core, verdict), required paths (run_id, path, criterion) and errors (run_id, critical, minor, needs_review).
+
+    Null where a verdict is uncertain or a review is needed; 0 for a critical error or a contradicted core criterion; 2 where
+    every criterion of one path is met, nothing is contradicted and there is no minor error; 1 where anything is met; else 0.
+    A criterion of a path without a verdict isn't met. Runs are those of errors.
+    """
+    is_ = lambda v: F.col("verdict") == v
+    some = verdicts.groupBy("run_id").agg(F.max(is_("uncertain")).alias("uncertain"), F.max(is_("contradicted")).alias("contradicted"), F.max(is_("contradicted") & F.col("core")).alias("core"), F.max(is_("met")).alias("met"))
+    met = verdicts.where(is_("met")).select("run_id", "criterion", F.lit(True).alias("held")).distinct()
+    each = paths.join(met, ["run_id", "criterion"], "left").groupBy("run_id", "path").agg((F.count("held") == F.count("*")).alias("whole"))
+    whole = each.groupBy("run_id").agg(F.max("whole").alias("whole"))
+    rows = errors.join(some, "run_id", "left").join(whole, "run_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    score = (
+        F.when(yes("needs_review") | yes("uncertain"), None)
+        .when(yes("critical") | yes("core"), 0)
+        .when(yes("whole") & ~yes("minor") & ~yes("contradicted"), 2)
+        .when(yes("met"), 1)
+        .otherwise(0)
+    )
+    return rows.select("run_id", score.alias("score"))

@@ -103,3 +103,32 @@ def quantiles(df: DataFrame, group: str, value: str, ps: list[float]) -> DataFra
     holds = lambda i: F.max(F.when((F.col("upto") - F.col("n") <= i) & (i < F.col("upto")), F.col("v")))
     ends = running.groupBy("g", "p").agg(holds(F.floor(at)).alias("low"), holds(F.ceil(at)).alias("high"), F.max(at - F.floor(at)).alias("share"))
     return ends.select(F.col("g").alias(group), "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("q"))
+
+
+def class_agreement(pairs: DataFrame, truth: str, guess: str, classes: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, class, support, predicted, hits, precision, recall, f1, n, accuracy, macro_f1, kappa): a candidate's classes against a reference's.
+
+    A class that neither side has has no F1 and isn't in the mean; one that is never hit has 0. Kappa is null where chance
+    alone agrees always. Pairs with a null are left out; every class of classes has a row, in each group that has pairs.
+    One aggregation into the cells of the confusion matrix, of which there are as many as pairs of classes.
+    """
+    by = by or []
+    names = F.array(*map(F.lit, classes))
+    cells = pairs.where(F.col(truth).isin(*classes) & F.col(guess).isin(*classes)).groupBy(*by, F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("m"))
+    each = cells.withColumn("class", F.explode(names))
+    is_t, is_g = F.col("t") == F.col("class"), F.col("g") == F.col("class")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
+    rows = each.groupBy(*by, "class").agg(total(is_t).alias("support"), total(is_g).alias("predicted"), total(is_t & is_g).alias("hits"), F.sum("m").alias("n"))
+    f1 = F.when((F.col("support") > 0) | (F.col("predicted") > 0), 2 * F.col("hits") / (F.col("support") + F.col("predicted")))
+    rows = rows.withColumn("precision", F.try_divide("hits", "predicted")).withColumn("recall", F.try_divide("hits", "support")).withColumn("f1", f1)
+    group = Window.partitionBy(*by)
+    n = F.col("n").cast("double")
+    rows = rows.withColumn("accuracy", F.sum("hits").over(group) / n).withColumn("macro_f1", F.avg("f1").over(group)).withColumn("chance", F.sum(F.col("support") * F.col("predicted").cast("double")).over(group) / n / n)
+    return rows.withColumn("kappa", F.when(F.col("chance") < 1, (F.col("accuracy") - F.col("chance")) / F.nullif(1 - F.col("chance"), F.lit(0.0)))).drop("chance")
+
+
+def confusion(pairs: DataFrame, truth: str, guess: str, classes: list[str]) -> DataFrame:
+    """(truth, guess, n): every cell of the confusion matrix, those without a pair too."""
+    found = pairs.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
+    grid = pairs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, classes))).alias("truth")).select("truth", F.explode(F.array(*map(F.lit, classes))).alias("guess"))
+    return grid.join(found, ["truth", "guess"], "left").select("truth", "guess", F.coalesce("n", F.lit(0)).alias("n"))

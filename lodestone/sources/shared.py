@@ -6,18 +6,22 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read again. Only a local master, as in tests, gets a folder where none is set."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Only a local master, as in tests, gets a folder where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,21 +73,24 @@ def replayed(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each event (keys, order, kind, good, difficulty, level, start) with the state after it: (keys, place, kind, move, ...).
 
     Events are dealt by keys, sorted, and pass through as they come: a task holds one state, and as many earlier ones as
-    there are revocations ahead, however many events a key has. start is the level before all events.
+    there are revocations ahead, however many events a key has. Those are a key's revocations less the ones that have come, so
+    no window goes over a key. start is the level before all events.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    ahead = F.count_if(F.col("kind") == "revoke").over(by.rowsBetween(1, Window.unboundedFollowing))
-    numbered = events.withColumn("place", F.row_number().over(by)).withColumn("ahead", ahead)
-    rows = numbered.select(*keys, "place", "kind", "good", "difficulty", "level", "start", "ahead").repartition(*keys).sortWithinPartitions(*keys, "place")
-    schema = T.StructType([*rows.select(*keys, "place", "kind").schema.fields, *T._parse_datatype_string(", ".join(map(" ".join, REPLAYED))).fields])
+    revoked = events.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count_if(F.col("kind") == "revoke").alias("revocations"))
+    rows = events.join(revoked, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "kind", "good", "difficulty", "level", "start", "revocations")
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("place", T.IntegerType()), *rows.select("kind").schema.fields, *T._parse_datatype_string(", ".join(map(" ".join, REPLAYED))).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, replay = None, None
+        last, replay, place, ahead = None, None, 0, 0
         for df in batches:
             out = []
-            for *key, place, kind, good, difficulty, level, start, ahead in zip(*(df[c].tolist() for c in df.columns), strict=True):
+            for *key, kind, good, difficulty, level, start, revocations in zip(*(df[c].tolist() for c in df.columns), strict=True):
+                key = [None if k != k else k for k in key]
                 if key != last:
-                    last, replay = key, Replay(int(start))
+                    last, replay, place, ahead = key, Replay(int(start)), 0, revocations
+                place += 1
+                ahead -= kind == "revoke"
                 move = replay.take(kind, int(good == 1), int(difficulty), int(level), int(ahead))
                 s = replay.now
                 out.append((*key, place, kind, move, s.level, s.score, s.since, s.attempts, s.right))
