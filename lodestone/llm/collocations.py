@@ -34,6 +34,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 SPLIT = byte_table(b" \t" + ENDS, lower=True)
 BREAK = ~byte_table(ENDS, lower=False)[0]
 UNKNOWN = "und"
+#: What a phrase's length adds to its fingerprint.
+LENGTHS = np.arange(64, dtype=np.uint64) * STEP
 BASE = STEP | np.uint64(1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
@@ -65,7 +67,7 @@ class Phrases:
 
     def prints(self, at: np.ndarray, n: int) -> np.ndarray:
         """The fingerprints of n words from each place, their language and n being part of them."""
-        return mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + self.seed[at] + np.uint64(n) * STEP)
+        return mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + self.seed[at] + LENGTHS[n])
 
     def passing(self, n: int, passed: KeyFilter) -> np.ndarray:
         """Where n words of one piece begin, both of whose phrases of a word less passed."""
@@ -220,14 +222,18 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS p
   FROM documents
-), listed AS (
-  SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]'), lambda x: x <> '') AS ws FROM pieces
+), split AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_split_to_array(p, '[ \t]') AS ws FROM pieces
+), spoken AS (
+  SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split
+), placed AS (
+  SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM spoken WHERE w <> '' WINDOW o AS (PARTITION BY piece ORDER BY i)
 ), grams AS (
-  SELECT lang, 1 AS m, unnest(ws) AS phrase FROM listed
+  SELECT lang, 1 AS m, w AS phrase FROM placed
   UNION ALL
-  SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM listed
+  SELECT lang, 2, w || ' ' || w2 FROM placed WHERE w2 IS NOT NULL
   UNION ALL
-  SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM listed
+  SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM placed WHERE w3 IS NOT NULL
 ), f AS (
   SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL
 ), candidates AS (
