@@ -1,6 +1,7 @@
 """Operator 6: exact Jaccard join of word shingles by adaptive multi-match prefixes.
 
-All shingles have one order, rare ones first by a sketch of their frequency over the corpus. Two sets that are similar
+All shingles have one order, rare ones first by a sketch of their frequency over the corpus and by what a first round of
+prefixes shows to be common: passages that many texts share stand in no sketch of bounded size. Two sets that are similar
 enough share at least l of the first |x| - ceil(t|x|) + l shingles of each. Each set takes the l for which the estimated
 cost of its prefix's candidates is least; two sets must share the smaller of their two l before they are verified.
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED_LOWER, STEP, coded, col, gram_keys, hashed, map_texts, mixed, release, slices, staged, table, words
+from .common import SPACED_LOWER, STEP, KeyFilter, coded, col, gram_keys, hashed, key_filter, map_texts, mixed, release, slices, staged, table, words
 from .components import components
 
 SKETCH = 1 << 20  # cells of the frequency sketch, 4 bytes each; a shingle that 1 in 1,000 texts or so have stands out of its cell
@@ -32,6 +33,7 @@ BROADCAST_KEYS = 1 << 23
 MOST_PAIRS = 1 << 21  # pairs that a task counts at once
 ADDED = 64  # tasks whose sketches a group adds up
 GATHERED = 1 << 20  # postings that a task gathers before it sends them to their buckets
+COMMON = (8, 64, 512, 4096)  # rows of a prefix shingle from which it counts as common, by degrees
 BUCKET = 1 << 21  # shingles of the corpus for which there is a bucket of postings
 
 
@@ -122,14 +124,16 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("piece is null").drop("piece", "part"), out
 
 
-def prefixes(s: Sets, rows: np.ndarray, cells: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefix shingles of the chosen rows as (hash, row), and each row's l."""
+def prefixes(s: Sets, rows: np.ndarray, cells: np.ndarray, marks: list[tuple[int, KeyFilter]], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix shingles of the chosen rows as (hash, row), and each row's l. marks: filters of shingles that so many rows or more are known to have."""
     chosen = np.zeros(len(s.size), bool)
     chosen[rows] = True
     own = chosen[s.row]
     hashes, row = s.hashes[own], s.row[own]
     usual = max(1, int(cells.sum(dtype=np.int64)) // SKETCH)
     often = np.maximum(0, cells[(hashes >> SHIFT).astype(np.int64)].astype(np.int64) - 2 * usual)
+    for least_often, mark in marks:
+        often = np.where(mark.has(hashes), np.maximum(often, least_often), often)
     level = np.where(often > 0, 1 + np.log2(np.maximum(often, 1)).astype(np.int64), 0)
     by = np.argsort(row * 64 + level, kind="stable")
     hashes, row, often = hashes[by], row[by], often[by]
@@ -160,9 +164,9 @@ def unpacked(column: pa.ChunkedArray, sizes: list[int], kind: type) -> np.ndarra
 LIVE = "token long, id long, n long, l int"
 
 
-def live_postings(docs: DataFrame, cells: np.ndarray, k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> DataFrame:
+def live_postings(docs: DataFrame, cells: np.ndarray, marks: list[tuple[int, KeyFilter]], k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> DataFrame:
     """Prefix shingles that two rows or more share, as LIVE. They travel packed, a row for each slice and bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    shared = docs.sparkSession.sparkContext.broadcast((cells, marks))
 
     kind = pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -185,7 +189,7 @@ def live_postings(docs: DataFrame, cells: np.ndarray, k: int, num: int, den: int
                 s = Sets(part.column(1), k)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 rows = np.flatnonzero((s.size > 0) & ~dropped(row_keys(ids, s.signatures())))
-                token, row, best = prefixes(s, rows, shared.value, num, den)
+                token, row, best = prefixes(s, rows, *shared.value, num, den)
                 held.append((token, ids[row], (s.size * 8 + best)[row]))
                 waiting += len(token)
                 if waiting > GATHERED:
@@ -336,7 +340,12 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     out_keys = spark.sparkContext.broadcast(keys)
     dropped = lambda x: np.isin(x.view(np.int64), out_keys.value)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(cells.sum(dtype=np.int64)) // BUCKET))
-    live = staged(live_postings(linkable, cells, k, num, den, dropped, buckets))
+    # the sketch's cells fill with the corpus, so prefixes first tell which of their own shingles are common, and are made anew
+    found = staged(live_postings(linkable, cells, [], k, num, den, dropped, buckets))
+    often = staged(found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON[0]))
+    marks = [(n, key_filter(often.where(F.col("n") >= n), "token")) for n in COMMON]
+    release(found, often)
+    live = staged(live_postings(linkable, cells, marks, k, num, den, dropped, buckets))
 
     live_ids = live.select("id").distinct()
     wanted = bounded_keys(live_ids)
