@@ -21,6 +21,12 @@ def duplicate_key(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(unicodedata.normalize("NFC", t).casefold().split()), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def compat_fold(text: pd.Series) -> pd.Series:
+    """Compatibility composition and full case folding; null stays null. Plain ASCII takes the short way."""
+    return text.map(lambda t: t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+
 # Typographic hyphens and quotes, and what stands for them.
 TYPOGRAPHY = {"‐": "-", "‑": "-", "‘": "'", "’": "'", "“": '"', "”": '"'}
 

@@ -44,8 +44,8 @@ def merged_ledgers(ledgers: list[DataFrame], key: str) -> DataFrame:
     union = ledgers[0]
     for other in ledgers[1:]:
         union = union.unionByName(other)
-    rest = [c for c in union.columns if c != key]
-    return union.groupBy(key).agg(F.count("*").alias("copies"), (F.countDistinct(F.xxhash64(*rest)) > 1).alias("conflict"))
+    rest = F.struct(*[c for c in union.columns if c != key])
+    return union.groupBy(key).agg(F.count("*").alias("copies"), (~F.min(rest).eqNullSafe(F.max(rest))).alias("conflict"))
 
 
 def _checked(rows: DataFrame, bad: Column, say: Column, keep: Column | None = None) -> DataFrame:

@@ -114,6 +114,52 @@ def _located(texts: pd.Series, quotes: pd.Series, least: pd.Series) -> pd.Series
     return pd.Series([[dict(zip(("status", "start", "end"), x)) for x in located(t, list(q), int(n))] for t, q, n in zip(texts, quotes, least)], dtype=object)
 
 
+def claims_of(text: str | None, quotes: list[str | None], places_: list[int | None]) -> list[tuple[bool, bool, int, int | None]]:
+    """(known, there, found, first) of quotes that are said to stand at some places: one pass over the text for all of them."""
+    import ahocorasick
+
+    if text is None:
+        return [(False, False, 0, None)] * len(quotes)
+    wanted = {q for q in quotes if q}
+    said = set(zip(quotes, places_))
+    found, free, first, there = Counter(), {}, {}, set()
+    if wanted:
+        automaton = ahocorasick.Automaton()
+        for q in wanted:
+            automaton.add_word(q, q)
+        automaton.make_automaton()
+        for last, q in automaton.iter(text):
+            start = last + 1 - len(q)
+            first.setdefault(q, start)
+            if (q, start) in said:
+                there.add((q, start))
+            if start >= free.get(q, 0):  # places that don't overlap, from the left
+                found[q] += 1
+                free[q] = last + 1
+    return [(True, (q, a) in there, found[q], first.get(q)) for q, a in zip(quotes, places_)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("known", T.BooleanType()), T.StructField("there", T.BooleanType()), T.StructField("found", T.LongType()), T.StructField("first", T.LongType())])))
+def _claimed(texts: pd.Series, quotes: pd.Series, places_: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("known", "there", "found", "first"), x)) for x in claims_of(t, list(q), [None if a is None or a != a else int(a) for a in p])] for t, q, p in zip(texts, quotes, places_)], dtype=object)
+
+
+def claimed_places(texts: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims (claim, doc_id, at, quote) with known (its text is there), there (the quote stands at that place), found and first.
+
+    found counts places that don't overlap, from the left; first is the first place of all. texts: doc_id, text. A text's
+    claims are dealt in blocks, each of which reads the text once. A null or empty quote is found nowhere; repeated rows of
+    texts repeat the claims.
+    """
+    parts = claims.groupBy(F.col("doc_id").alias("pid")).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = claims.join(parts, F.col("doc_id").eqNullSafe(F.col("pid"))).select("claim", "doc_id", "at", "quote", F.pmod(F.xxhash64("quote", "at"), F.col("parts")).alias("part"))
+    blocks = dealt.groupBy("doc_id", "part").agg(F.collect_list(F.struct("claim", "at", "quote")).alias("own"))
+    met = blocks.join(texts.select(F.col("doc_id").alias("tid"), "text"), F.col("doc_id") == F.col("tid"), "left")
+    found = met.select("doc_id", "own", _claimed("text", F.col("own.quote"), F.col("own.at")).alias("met"))
+    each = found.select("doc_id", F.explode(F.arrays_zip("own", "met")).alias("x"))
+    return each.select("x.own.claim", "doc_id", "x.own.at", "x.own.quote", "x.met.*")
+
+
 def locate_quotes(texts: DataFrame, quotes: DataFrame, *, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", quote_id: str = "quote_id", quote_col: str = "quote") -> DataFrame:
     """(quote_id, doc_id, status, start, end), one row per quote: where it stands in its text, in the text's own characters.
 

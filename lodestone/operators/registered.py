@@ -58,20 +58,74 @@ def clusters(pairs: DataFrame, levels: list[str]) -> DataFrame:
     return values.groupBy("question_id", "endpoint").agg(F.sum("diff").alias("total"), F.count("*").alias("size"))
 
 
-def resampled(parts: DataFrame, questions: DataFrame, draws: int, seed: str) -> DataFrame:
-    """(endpoint, draw, mean) of clusters (question_id, endpoint, total, size): each draw takes as many questions as there are, with replacement.
+def draws_of(questions: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(draw, question_id, times): each draw takes as many questions as there are, with replacement; how often those that it takes.
 
-    One set of draws serves all endpoints. Questions are numbered by ranges, and a draw's slots are counted by the question that
-    a hash gives them before they meet its clusters.
+    Questions are numbered by ranges, and a draw's slots are counted by the question that a hash gives them before they meet it.
     """
-    numbered = running_total(questions.select("question_id").distinct(), [], ["question_id"], None, "place").withColumn("pick", F.col("place") - 1)
-    n = questions.select("question_id").distinct().count()
+    distinct = questions.select("question_id").distinct()
+    numbered = running_total(distinct, [], ["question_id"], None, "place").withColumn("pick", F.col("place") - 1)
+    n = distinct.count()
     slots = numbered.select(F.col("pick").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     hits = slots.groupBy("draw", (draw(seed, F.col("draw"), F.col("slot")) % max(n, 1)).alias("pick")).agg(F.count("*").alias("times"))
-    met = hits.join(numbered.select("pick", "question_id"), "pick").join(parts, "question_id")
+    return hits.join(numbered.select("pick", "question_id"), "pick").select("draw", "question_id", "times")
+
+
+def resampled(parts: DataFrame, questions: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(endpoint, draw, mean) of clusters (question_id, endpoint, total, size): one set of draws serves all endpoints."""
+    met = draws_of(questions, draws, seed).join(parts, "question_id")
     return met.groupBy("endpoint", "draw").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("size"))).alias("mean"))
 
 
+def interval_of(means: DataFrame, est: DataFrame) -> DataFrame:
+    """(endpoint, low, high, p) of draws (endpoint, draw, mean) around estimates (endpoint, estimate): the middle 95 % and a two-sided p of centred draws."""
+    met = means.join(F.broadcast(est.select("endpoint", "estimate")), "endpoint")
+    far = F.abs(F.round(F.col("mean") - F.col("estimate"), 12)) >= F.abs(F.round("estimate", 12))
+    return met.groupBy("endpoint").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), ((F.count_if(far) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def paired_contrasts(values: DataFrame, arms: list[tuple[str, str]], *, draws: int = 2000, seed: str = "contrasts") -> DataFrame:
+    """One row for each pair of arms (contrast): pairs, missing, not_applicable, estimate, low, high, p and Holm's p over all of them.
+
+    values: question_id, arm, value, one each. A question with the value of one arm of a pair is missing there, one with neither isn't
+    applicable. All contrasts go through one resampling of questions; one of fewer than two pairs has no estimate.
+    """
+    names = sorted({x for pair in arms for x in pair})
+    wide = values.groupBy("question_id").agg(*[F.max(F.when(F.col("arm") == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(names)])
+    of = lambda x: F.col(f"v{names.index(x)}")
+    row = lambda a, b: F.struct(F.lit(f"{a} - {b}").alias("endpoint"), (of(a) - of(b)).alias("diff"), (of(a).isNull() != of(b).isNull()).alias("missing"), (of(a).isNull() & of(b).isNull()).alias("none"))
+    each = wide.select("question_id", F.explode(F.array(*[row(a, b) for a, b in arms])).alias("x")).select("question_id", "x.*")
+    counts = each.groupBy("endpoint").agg(F.count("diff").alias("pairs"), F.count_if("missing").alias("missing"), F.count_if("none").alias("not_applicable"), F.avg("diff").alias("estimate"))
+    counts = counts.withColumn("estimate", F.when(F.col("pairs") >= 2, F.col("estimate")))
+    parts = each.where("diff IS NOT NULL").select("question_id", "endpoint", F.col("diff").alias("total"), F.lit(1).alias("size"))
+    by = interval_of(resampled(parts, values, draws, seed), counts.where("estimate IS NOT NULL"))
+    rows = counts.join(by, "endpoint", "left")
+    tests = holm(rows.select("endpoint", F.coalesce("p", F.lit(1.0)).alias("p")), "endpoint", "p").select("endpoint", "adjusted")
+    out = rows.join(tests, "endpoint").withColumn("holm_p", F.when(F.col("p").isNotNull(), F.col("adjusted")))
+    return out.select(F.col("endpoint").alias("contrast"), "pairs", "missing", "not_applicable", "estimate", "low", "high", "p", "holm_p")
+
+
+def weighted_kappa_interval(ratings: DataFrame, levels: int, *, draws: int = 1000, seed: str = "kappa") -> DataFrame:
+    """(n, agreement, kappa, low, high) of ratings (question_id, a, b) from 1 to levels, with linear weights; questions are resampled whole.
+
+    Each draw is a confusion matrix of resampled counts. Draws in which chance agrees fully have no kappa and aren't counted.
+    """
+    cells = ratings.where("a IS NOT NULL AND b IS NOT NULL").groupBy("question_id", "a", "b").agg(F.count("*").alias("m"))
+    drawn = draws_of(ratings, draws, seed).join(cells, "question_id").groupBy("draw", "a", "b").agg(F.sum(F.col("times") * F.col("m")).alias("m"))
+    every = cells.groupBy("a", "b").agg(F.sum("m").alias("m")).select(F.lit(-1).alias("draw"), "a", "b", "m")
+    both = drawn.select("draw", "a", "b", "m").unionByName(every)
+    top = float(levels - 1)
+    total = both.groupBy("draw").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (1 - F.abs(F.col("a") - F.col("b")) / top)).alias("same"))
+    side = lambda c: both.groupBy("draw", F.col(c).alias("level")).agg(F.sum("m").alias("k"))
+    left, right = side("a").select("draw", F.col("level").alias("x"), F.col("k").alias("kx")), side("b").select("draw", F.col("level").alias("y"), F.col("k").alias("ky"))
+    chance = left.join(right, "draw").groupBy("draw").agg(F.sum(F.col("kx") * F.col("ky") * (1 - F.abs(F.col("x") - F.col("y")) / top)).alias("chance"))
+    p, e = F.col("same") / F.col("n"), F.col("chance") / F.col("n") / F.col("n")
+    rows = total.join(chance, "draw").select("draw", "n", p.alias("agreement"), F.when(e < 1, (p - e) / F.nullif(1 - e, F.lit(0.0))).alias("kappa"))
+    own = lambda c: F.max(F.when(F.col("draw") == -1, F.col(c))).alias(c)
+    of = F.when(F.col("draw") >= 0, F.col("kappa"))
+    return rows.agg(own("n"), own("agreement"), own("kappa"), F.percentile(of, 0.025).alias("low"), F.percentile(of, 0.975).alias("high"))
+
+
 def analysis(cells: DataFrame, *, treatment: str, control: str, levels: list[str], draws: int = 2000, seed: str = "registered", floors: dict[str, float] | None = None) -> DataFrame:
     """One row for each level's endpoint and for the worst and best case of correctness: estimate, interval, p, Holm's p and what follows.
 
@@ -84,9 +138,7 @@ def analysis(cells: DataFrame, *, treatment: str, control: str, levels: list[str
     pairs = contrasts(cells, treatment, control)
     parts = clusters(pairs, levels)
     est = parts.groupBy("endpoint").agg((F.sum("total") / F.sum("size")).alias("estimate"), F.count("*").alias("questions"), F.sum("size").alias("pairs")).where("questions >= 2")
-    means = resampled(parts, cells, draws, seed).join(F.broadcast(est), "endpoint")
-    far = F.abs(F.round(F.col("mean") - F.col("estimate"), 12)) >= F.abs(F.round("estimate", 12))
-    by = means.groupBy("endpoint").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), ((F.count_if(far) + 1) / (F.count("*") + 1)).alias("p"))
+    by = interval_of(resampled(parts, cells, draws, seed), est)
     spark = cells.sparkSession
     frame = spark.createDataFrame([(x, (floors or {}).get(x)) for x in (*levels, WORST, BEST)], "endpoint string, floor double")
     kinds = endpoint_pairs(pairs).where(F.col("level").isin(*levels)).groupBy(F.col("level").alias("endpoint"))

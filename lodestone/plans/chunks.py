@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as texts
-from lodestone.operators import chunking, joins
+from lodestone.operators import chunking, joins, quoting
 from lodestone.plans.corpus import RECORDS, records
 from lodestone.registry import query, table
 
@@ -102,10 +102,10 @@ def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, a, b): 200 characters of every 300."""
-    n = F.char_length("whole")
-    ks = F.explode(F.sequence(F.lit(0), F.floor((n - 17 + 299) / 300) - 1))
-    return docs.where(n > 17).select("doc_id", "whole", ks.alias("k")).withColumn("a", F.col("k") * 300 + 17).withColumn("b", F.least(F.col("k") * 300 + 217, n))
+    """(doc_id, k, a, b, said): 200 characters of every 300, cut out inside the document's row so that no span carries its text along."""
+    pieces = F.regexp_extract_all("whole", F.lit(r"(?s).{1,300}"), F.lit(0))
+    rows = docs.select("doc_id", F.posexplode(pieces).alias("k", "piece")).select("doc_id", "k", F.substring("piece", 18, 200).alias("said")).where("said <> ''")
+    return rows.withColumn("a", F.col("k") * 300 + 17).withColumn("b", F.col("a") + F.char_length("said"))
 
 
 @query(rf"""WITH {SEGMENTS}, {_SPAN_TEXT}, c AS (SELECT doc_id, segment, min(s) AS s, max(e) AS e FROM seg GROUP BY ALL),
@@ -122,12 +122,13 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = whole_texts(spark, sf_dir)
     spans = segmented(spark, sf_dir).groupBy("doc_id", "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     wanted = gold_spans(docs)
-    met = joins.overlapping(spans, wanted.select("doc_id", "k", F.col("a").alias("other_start"), F.col("b").alias("other_end"), "whole"), ["doc_id"], 512)
+    met = joins.overlapping(spans, wanted.select("doc_id", "k", F.col("a").alias("other_start"), F.col("b").alias("other_end"), "said"), ["doc_id"], 512)
     x, y = F.greatest("start", "other_start"), F.least("end", "other_end")
     held = (F.col("start") <= F.col("other_start")) & (F.col("end") >= F.col("other_end"))
-    parts = met.select("doc_id", "k", held.alias("holds"), chunking.substantive(F.substring("whole", (x + 1).cast("int"), (y - x).cast("int"))).alias("n"))
+    own = F.substring("said", (x - F.col("other_start") + 1).cast("int"), (y - x).cast("int"))
+    parts = met.select("doc_id", "k", held.alias("holds"), chunking.substantive(own).alias("n"))
     sums = parts.groupBy("doc_id", "k").agg(F.count("*").alias("chunks"), F.max("holds").alias("whole_in_one"), F.sum("n").alias("covered"))
-    total = chunking.substantive(F.substring("whole", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")))
+    total = chunking.substantive(F.col("said"))
     rows = wanted.select("doc_id", "k", total.alias("total")).join(sums, ["doc_id", "k"], "left")
     rows = rows.select("doc_id", "k", "total", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("whole_in_one", F.lit(False)).alias("whole_in_one"), F.coalesce("covered", F.lit(0)).alias("covered"))
     return rows.withColumn("status", F.when(F.col("covered") == 0, "none").when(F.col("covered") == F.col("total"), "full").otherwise("partial"))
@@ -150,17 +151,15 @@ def g7_j8_resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where quoted spans stand: where they say, at the one other place of their words, at several, or nowhere. Some are made wrong."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
     k = F.col("k")
-    own = gold_spans(docs)
-    size = F.when(k % 3 == 0, 4).otherwise(F.col("b") - F.col("a")).cast("int")
-    said = F.when(k % 5 == 3, "not there").otherwise(F.substring("whole", (F.col("a") + 1).cast("int"), size))
-    claims = own.select(F.col("doc_id").alias("own"), (F.col("doc_id") + F.when(k % 7 == 5, 100000000).otherwise(0)).alias("doc_id"), "k", (F.col("a") + F.when(k % 4 == 1, 3).when(k % 4 == 2, 1000000).otherwise(0)).alias("a"), said.alias("said"))
-    met = claims.join(docs.where("whole is not null"), "doc_id", "left")
-    n = F.char_length("said")
-    found = F.try_divide(F.char_length("whole") - F.char_length(F.replace(F.col("whole"), F.col("said"), F.lit(""))), n)
-    there = (F.col("a") + n <= F.char_length("whole")) & (F.substring("whole", (F.col("a") + 1).cast("int"), n) == F.col("said"))
-    status = F.when(F.col("whole").isNull(), "unknown_document").when(F.col("said") == "", "empty").when(there, "exact").when(found == 1, "relocated").when(found > 1, "ambiguous").otherwise("stale")
-    place = F.when(status == "exact", F.col("a")).when(status == "relocated", F.expr("locate(said, whole)") - 1)
-    return met.select(F.col("own").alias("doc_id"), k.cast("long").alias("k"), status.alias("status"), place.cast("long").alias("resolved"))
+    cut = F.when(k % 3 == 0, F.substring("said", 1, 4)).otherwise(F.col("said"))
+    said = F.when(k % 5 == 3, "not there").otherwise(cut)
+    a = F.col("a") + F.when(k % 4 == 1, 3).when(k % 4 == 2, 1000000).otherwise(0)
+    claims = gold_spans(docs).select(F.struct(F.col("doc_id").alias("own"), "k").alias("claim"), (F.col("doc_id") + F.when(k % 7 == 5, 100000000).otherwise(0)).alias("doc_id"), a.alias("at"), said.alias("quote"))
+    met = quoting.claimed_places(docs.where("whole is not null").select("doc_id", F.col("whole").alias("text")), claims)
+    found = F.col("found")
+    status = F.when(~F.col("known"), "unknown_document").when(F.col("quote") == "", "empty").when(F.col("there"), "exact").when(found == 1, "relocated").when(found > 1, "ambiguous").otherwise("stale")
+    place = F.when(status == "exact", F.col("at")).when(status == "relocated", F.col("first"))
+    return met.select("claim.own", "claim.k", status.alias("status"), place.cast("long").alias("resolved")).select(F.col("own").alias("doc_id"), F.col("k").cast("long").alias("k"), "status", "resolved")
 
 
 @query(rf"""WITH {RECORDS}, n AS (SELECT doc_id, line_no, source, line, md5(trim(regexp_replace(lower(line), '\s+', ' ', 'g'))) AS h FROM r WHERE length(trim(line)) >= 20),

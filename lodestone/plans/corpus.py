@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as texts
 from lodestone.functions import unicode
 from lodestone.functions.text import collapsed, ruler_tokens, slug, word_count
-from lodestone.operators.spans import islands, line_spans, without_adjacent_repeats
+from lodestone.operators.spans import cut, islands, line_spans, line_starts, without_adjacent_repeats
 from lodestone.registry import query, table
 
 NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -156,13 +156,11 @@ def p7_section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {LINES}, o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM lines)
 SELECT doc_id, o.line_no::INT AS line_no, substr(text, s::INT + 1, length(line)) AS slice, substr(line, 1, 20) || CASE WHEN length(line) > 20 THEN '...' ELSE '' END AS preview FROM o JOIN documents USING (doc_id)""")
 def p6_p41_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line cut from its text by its span, and its beginning. Each text is read once: spans are made inside its row."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    lines = F.split("text", "\n", -1)
-    ends = F.aggregate(F.transform(lines, F.char_length), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n + 1)))
-    spans = docs.select("doc_id", "text", F.posexplode(F.transform(lines, lambda x, i: F.struct(F.get(ends, i).alias("start"), F.char_length(x).alias("n")))).alias("line_no", "span"))
-    cut = F.substring("text", F.col("span.start") + 1, F.col("span.n"))
-    return spans.select("doc_id", "line_no", cut.alias("slice"), F.concat(F.substring(cut, 1, 20), F.when(F.col("span.n") > 20, "...").otherwise("")).alias("preview"))
+    """Every line cut from its text by its span, and its beginning. Spans and slices are made inside the text's row, in linear time."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", line_starts("text").alias("starts"))
+    ends = F.transform("starts", lambda x, i: F.coalesce(F.get("starts", i + 1) - 1, F.char_length("text")))
+    rows = docs.select("doc_id", F.posexplode(cut("text", "starts", ends)).alias("line_no", "slice"))
+    return rows.select("doc_id", "line_no", "slice", F.concat(F.substring("slice", 1, 20), F.when(F.char_length("slice") > 20, "...").otherwise("")).alias("preview"))
 
 
 @query(r"""WITH p AS (SELECT page_id, 'source=' || replace(url_encode(url), '+', '%20') || '|textbook=' || replace(url_encode(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')), '+', '%20') || '|chapter=' || (page_id % 12) || '|location=|span=0:' || length(html) AS locator FROM pages WHERE html IS NOT NULL)

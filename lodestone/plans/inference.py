@@ -7,7 +7,7 @@ from lodestone.functions import text as texts
 from lodestone.functions import unicode
 from lodestone.operators import merging, stats
 from lodestone.operators.ranking import placed
-from lodestone.plans.search import BM25, COVER, GOLD, covering, gold, lexical
+from lodestone.plans.search import BM25, COVER, GOLD, gold, lexicon
 from lodestone.registry import query, table
 from lodestone.sources.shared import written
 
@@ -55,7 +55,8 @@ p AS (SELECT w.query, coalesce(x.first <= 5, false) AS a, coalesce(y.first <= 5,
 
 def paired_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, a, b, ra, rb): whether and how early two rankings find an answer, for questions that have one."""
-    lists = lexical(spark, sf_dir, 20).select("query", "item", "rank", F.lit(0).alias("list")).unionByName(covering(spark, sf_dir, 20).select("query", "item", "rank", F.lit(1).alias("list")))
+    own = lexicon(spark, sf_dir)
+    lists = own.bm25(20).select("query", "item", "rank", F.lit(0).alias("list")).unionByName(own.coverage(20).select("query", "item", "rank", F.lit(1).alias("list")))
     met = gold(spark, sf_dir).distinct().join(lists, ["query", "item"], "left")
     first = lambda i: F.min(F.when(F.col("list") == i, F.col("rank")))
     firsts = met.groupBy("query").agg(first(0).alias("x"), first(1).alias("y"))

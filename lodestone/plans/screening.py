@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as texts
 from lodestone.operators import metrics, screening
 from lodestone.operators.search import fused, top
-from lodestone.plans.search import BM25, COVER, GOLD, covering, gold, lexical
+from lodestone.plans.search import BM25, COVER, GOLD, gold, lexical, lexicon
 from lodestone.registry import query, table
 
 
@@ -206,7 +206,8 @@ ft AS (SELECT w, query, min(rank) AS first FROM rk JOIN gold USING (query, item)
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(w, query, hit, rr) for each weight of the first of two rankings, over questions that have an answer. Both are ranked once for all weights."""
-    parts = [r.select("query", "item", "rank", F.lit(i).alias("list")) for i, r in enumerate((lexical(spark, sf_dir, 20), covering(spark, sf_dir, 20)))]
+    own = lexicon(spark, sf_dir)
+    parts = [r.select("query", "item", "rank", F.lit(i).alias("list")) for i, r in enumerate((own.bm25(20), own.coverage(20)))]
     spread = parts[0].unionByName(parts[1]).withColumn("w", F.explode(F.array(*map(F.lit, WEIGHTS))))
     share = F.when(F.col("list") == 0, F.col("w")).otherwise(1 - F.col("w"))
     scores = spread.groupBy("w", "query", "item").agg(F.round(F.sum(share / (60 + F.col("rank"))), 10).alias("score"), F.min("rank").alias("best"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOP_WORDS, query_terms, search_terms
 from lodestone.operators import metrics
-from lodestone.operators.search import bm25, coverage, fused, top
+from lodestone.operators.lexicon import Lexicon
+from lodestone.operators.search import fused, top
 from lodestone.registry import query, table
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -36,14 +37,16 @@ cover AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, o
 GOLD = "gold AS (SELECT item_id AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    return Lexicon(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", query_terms(F.col("text")), search_terms(F.col("text")))
+
+
 def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    scored = bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", query_terms(F.col("text")), search_terms(F.col("text")))
-    return top(scored.where("score > 0"), k, F.desc("score"), F.col("item"))
+    return lexicon(spark, sf_dir).bm25(k)
 
 
 def covering(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    scored = coverage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", query_terms(F.col("text")), search_terms(F.col("text")))
-    return top(scored, k, F.desc("score"), F.desc("overlap"), F.col("item"))
+    return lexicon(spark, sf_dir).coverage(k)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +92,8 @@ SELECT query AS item_id, item AS doc_id, rank::INT AS rank, score, CASE WHEN lo
 
 
 def _fusion(spark: SparkSession, sf_dir: str, weights: tuple[float, float]) -> DataFrame:
-    both = fused(lexical(spark, sf_dir, 20), covering(spark, sf_dir, 20), weights)
+    own = lexicon(spark, sf_dir)
+    both = fused(own.bm25(20), own.coverage(20), weights)
     hits = top(both, 5, F.desc("score"), F.col("best_rank"), F.col("item"))
     return hits.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), "rank", "score", "kind")
 

@@ -51,3 +51,35 @@ SELECT *, correct / cells AS strict_low, (correct + unscored) / cells AS strict_
 def q7_m36_coverage_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By condition, how many cells were answered and scored, and between what bounds correctness and adaptation lie."""
     return registered.coverage(cells(spark, sf_dir))
+
+
+_ARMS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+_DRAWS = "n AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS pick, count(*) OVER () AS n FROM (SELECT DISTINCT q FROM c)), h AS (SELECT draw, ('0x' || substr(md5('{seed}|' || draw || '|' || pick), 1, 8))::BIGINT % n AS pick, count(*) AS times FROM n, range({draws}) d(draw) GROUP BY ALL)"
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS q, o_orderpriority AS arm, avg(o_totalprice) / 1000 AS v FROM orders GROUP BY ALL), k AS (SELECT DISTINCT q FROM c), p AS (SELECT unnest({list(_ARMS)}) AS arm),
+e AS (SELECT k.q, p.arm || ' - 5-LOW' AS e, a.v - b.v AS d, (a.v IS NULL) <> (b.v IS NULL) AS miss, a.v IS NULL AND b.v IS NULL AS none FROM k CROSS JOIN p LEFT JOIN c a ON a.q = k.q AND a.arm = p.arm LEFT JOIN c b ON b.q = k.q AND b.arm = '5-LOW'),
+s AS (SELECT e, count(d)::BIGINT AS pairs, count(*) FILTER (WHERE miss)::BIGINT AS missing, count(*) FILTER (WHERE none)::BIGINT AS not_applicable, avg(d) AS estimate FROM e GROUP BY 1), {_DRAWS.format(seed='arms', draws=100)},
+m AS (SELECT e, draw, sum(times * d) / sum(times) AS mean FROM h JOIN n ON n.pick = h.pick JOIN e ON e.q = n.q WHERE d IS NOT NULL GROUP BY ALL),
+b AS (SELECT m.e, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, (1 + count(*) FILTER (WHERE abs(round(mean - estimate, 12)) >= abs(round(estimate, 12)))) / (count(*) + 1) AS p FROM m JOIN s ON s.e = m.e GROUP BY m.e),
+r AS (SELECT s.*, low, high, p, row_number() OVER (ORDER BY p, s.e) AS i FROM s JOIN b ON b.e = s.e)
+SELECT e AS contrast, pairs, missing, not_applicable, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, round(p, 8) AS p, round(max(least(1.0, (5 - i) * p)) OVER (ORDER BY p, e), 8) AS holm_p FROM r""")
+def q4_all_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pairs of arms at once: complete, missing and not applicable pairs, differences with intervals, p values and Holm's."""
+    values = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("question_id"), F.col("o_orderpriority").alias("arm")).agg((F.avg("o_totalprice") / 1000).alias("value"))
+    found = registered.paired_contrasts(values, [(a, "5-LOW") for a in _ARMS], draws=100, seed="arms")
+    return found.select("contrast", "pairs", "missing", "not_applicable", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], F.round("p", 8).alias("p"), F.round("holm_p", 8).alias("holm_p"))
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS q, (o_orderkey % 3 + 1)::INT AS a, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_totalprice > 180000 THEN (o_custkey % 3 + 1)::INT ELSE (o_orderkey % 3 + 1)::INT END AS b FROM orders), {_DRAWS.format(seed='kappa', draws=100)},
+x AS (SELECT draw, a, b, sum(times) AS m FROM h JOIN n ON n.pick = h.pick JOIN c ON c.q = n.q WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT -1, a, b, count(*) FROM c WHERE b IS NOT NULL GROUP BY ALL),
+t AS (SELECT draw, sum(m) AS n, sum(m * (1 - abs(a - b) / 2)) AS same FROM x GROUP BY 1), l AS (SELECT draw, a, sum(m) AS k FROM x GROUP BY ALL), r AS (SELECT draw, b, sum(m) AS k FROM x GROUP BY ALL),
+e AS (SELECT l.draw, sum(l.k * r.k * (1 - abs(a - b) / 2)) AS chance FROM l JOIN r ON r.draw = l.draw GROUP BY 1), k AS (SELECT t.draw, n, same / n AS p, (same / n - chance / n / n) / (1 - chance / n / n) AS kappa FROM t JOIN e ON e.draw = t.draw)
+SELECT max(n) FILTER (WHERE draw = -1)::BIGINT AS n, round(max(p) FILTER (WHERE draw = -1), 8) AS agreement, round(max(kappa) FILTER (WHERE draw = -1), 8) AS kappa, round(quantile_cont(kappa, 0.025) FILTER (WHERE draw >= 0), 8) AS low, round(quantile_cont(kappa, 0.975) FILTER (WHERE draw >= 0), 8) AS high FROM k""")
+def q12_kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linearly weighted kappa of two ratings with the interval of resampled clusters; customers are the clusters."""
+    key = F.col("o_orderkey") % 3 + 1
+    other = F.when(F.col("o_orderkey") % 7 == 0, None).when(F.col("o_totalprice") > 180000, F.col("o_custkey") % 3 + 1).otherwise(key)
+    ratings = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question_id"), key.alias("a"), other.alias("b"))
+    found = registered.weighted_kappa_interval(ratings, 3, draws=100, seed="kappa")
+    return found.select("n", *[F.round(c, 8).alias(c) for c in ("agreement", "kappa", "low", "high")])

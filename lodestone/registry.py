@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.plans import anchors, answers, assessment, chunks, corpus, evaluation, formulas, inference, judging, pairs, reports, screening, search, state, trial  # noqa: E402, F401
+from lodestone.plans import anchors, answers, assessment, chunks, corpus, evaluation, formulas, handoff, inference, judging, pairs, reports, screening, search, state, trial  # noqa: E402, F401
