@@ -9,15 +9,13 @@ are read once.
 from __future__ import annotations
 
 import re
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions import unicode
-from lodestone.functions.text import rejoined_prose
-
 # Spoken phrases and what they stand for, longer ones first where one begins another; words that are left when a
 # formula wasn't understood; units behind which a spoken minus is a dash; fractions of a text at most.
 SIGNS = {
@@ -203,18 +201,26 @@ def decimals(prose: str) -> str:
     return prose
 
 
+def one_line(text: str) -> str:
+    """Normal prose of a spoken text: as functions.text.rejoined_prose of its compatibility composition."""
+    lines = re.split(r"\s*\n\s*", normalize("NFKC", text).replace("\u00ad", "").replace("\r", "\n"))
+    out = []
+    for line, following in zip(lines, [*lines[1:], ""]):
+        cut = re.search(r"\w-$", line) and re.match("[a-z]", following)
+        out.append(line[:-1] if cut else line + " ")
+    return re.sub(r"[\t ]+", " ", "".join(out)).strip()
+
+
 @F.pandas_udf(T.StructType([T.StructField("shown", T.StringType()), T.StructField("trust", T.StringType())]))
-def _read(prose: pd.Series) -> pd.DataFrame:
-    known = {t: formula(t) for t in prose.dropna().unique()}
-    return pd.DataFrame([known.get(t, (None, None)) for t in prose], columns=["shown", "trust"])
+def _read(texts: pd.Series) -> pd.DataFrame:
+    known = {t: formula(one_line(t)) for t in texts.dropna().unique()}
+    return pd.DataFrame([known.get(t, (None, None)) for t in texts], columns=["shown", "trust"])
 
 
-def read_formula(spoken: Column) -> Column:
+def read_formula(text: Column) -> Column:
     """A struct (shown, trust) of a formula's spoken text: signs instead of words, and high, medium or low trust; null for null.
 
     Texts come in compatibility composition and as normal prose. medium: fractions were put together; low: words are left that name
     parts of a formula.
     """
-    return _read(rejoined_prose(unicode.nfkc(spoken)))
-
-
+    return _read(text)
