@@ -7,6 +7,8 @@ cost of its prefix's candidates is least; two sets must share the smaller of the
 
 Groups of near-copies aren't joined pair by pair. Each set is first verified against the leader with which it shares most;
 what those links join is one component, and afterwards only sets of unlike components that share enough are candidates.
+Prefix shingles that stand in the same rows are one posting with their number, a pair is made at the first posting that its
+rows share, and parities of the sets' hashes rule out most pairs that aren't similar before anything of them is sent.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,8 @@ ADDED = 64  # tasks whose sketches a group adds up
 GATHERED = 1 << 20  # postings that a task gathers before it sends them to their buckets
 COMMON = (8, 64, 512, 4096)  # rows of a prefix shingle from which it counts as common, by degrees
 BUCKET = 1 << 21  # shingles of the corpus for which there is a bucket of postings
+WORDS = 8  # words of 64 parities that stand for a set
+EARLIER = 32  # postings of a row that its later ones name at most; beyond them a pair may be made more than once
 
 
 class Sets:
@@ -74,6 +78,16 @@ class Sets:
                 out[i, some] = np.add.reduceat(mixed(self.hashes + np.array([i + 1], np.uint64) * STEP), self.ends[some])
         return out
 
+    def parities(self) -> np.ndarray:
+        """For each set, 64 * WORDS cells of its hashes: a bit that tells whether a cell has an odd number of them. Sets differ in as many shingles as bits, or more."""
+        out = np.zeros((len(self.size), WORDS), np.uint64)
+        word = self.row * WORDS + (self.hashes >> np.uint64(65 - WORDS.bit_length())).astype(np.int64)
+        start = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
+        if len(word):
+            bit = (self.hashes >> np.uint64(59 - WORDS.bit_length())) & np.uint64(63)
+            out.ravel()[word[start]] = np.bitwise_xor.reduceat(np.uint64(1) << bit, start)
+        return out
+
 
 def row_keys(ids: np.ndarray, signatures: np.ndarray) -> np.ndarray:
     return mixed(mixed(ids.view(np.uint64) + STEP) ^ signatures[0])
@@ -161,11 +175,43 @@ def unpacked(column: pa.ChunkedArray, sizes: list[int], kind: type) -> np.ndarra
     return np.concatenate([np.frombuffer(pa.decompress(b, n * width, "zstd", asbytes=True), kind) for b, n in zip(column.to_pylist(), sizes, strict=True)])
 
 
-LIVE = "token long, id long, n long, l int"
+OFTEN = "token long, n long"
+LIVE = "token long, id long, n long, l int, often long, first long, second long"
+
+
+def bucket_rows(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, id, n * 8 + l) of the postings of shingles that two rows or more share, by token, and where each token starts."""
+    sizes = group.column("count").to_pylist()
+    token = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("tokens").to_pylist()])
+    ids, size = unpacked(group.column("ids"), sizes, np.int64), unpacked(group.column("sizes"), sizes, np.int64)
+    by = np.argsort(token, kind="stable")
+    token, ids, size = token[by], ids[by], size[by]
+    same = token[1:] == token[:-1]
+    live = np.append(same, False) | np.append(False, same)
+    token, ids, size = token[live], ids[live], size[live]
+    return token, ids, size, np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+
+
+def common_tokens(group: pa.Table) -> pa.Table:
+    """Shingles of a bucket that COMMON[0] rows or more share, as OFTEN."""
+    token, _, _, start = bucket_rows(group)
+    n = np.diff(np.append(start, len(token)))
+    often = n >= COMMON[0]
+    return pa.table({"token": token[start[often]].view(np.int64), "n": n[often]})
 
 
-def live_postings(docs: DataFrame, cells: np.ndarray, marks: list[tuple[int, KeyFilter]], k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> DataFrame:
-    """Prefix shingles that two rows or more share, as LIVE. They travel packed, a row for each slice and bucket."""
+def live_tokens(group: pa.Table) -> pa.Table:
+    """Postings of a bucket that two rows or more share, as LIVE; first and second are 128 bits of the rows that have the shingle."""
+    token, ids, size, start = bucket_rows(group)
+    n = np.diff(np.append(start, len(token)))
+    rows = mixed(mixed(ids.view(np.uint64) + STEP) ^ size.view(np.uint64))
+    sums = [np.add.reduceat(x, start) if len(start) else x for x in (rows, mixed(rows + STEP))]
+    first, second, often = (np.repeat(x, n) for x in (*sums, n))
+    return pa.table({"token": token.view(np.int64), "id": ids, "n": size >> 3, "l": (size & 7).astype(np.int32), "often": often, "first": first.view(np.int64), "second": second.view(np.int64)})
+
+
+def bucketed_postings(docs: DataFrame, cells: np.ndarray, marks: list[tuple[int, KeyFilter]], k: int, num: int, den: int, dropped: Callable[[np.ndarray], np.ndarray], buckets: int) -> GroupedData:
+    """The prefix shingles of all rows by buckets. They travel packed, a row for each slice and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast((cells, marks))
 
     kind = pa.schema([("bucket", pa.int32()), ("count", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
@@ -199,17 +245,7 @@ def live_postings(docs: DataFrame, cells: np.ndarray, marks: list[tuple[int, Key
             yield dealt(held)
         pa.default_memory_pool().release_unused()
 
-    def keep(group: pa.Table) -> pa.Table:
-        sizes = group.column("count").to_pylist()
-        token = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("tokens").to_pylist()])
-        ids, size = unpacked(group.column("ids"), sizes, np.int64), unpacked(group.column("sizes"), sizes, np.int64)
-        by = np.argsort(token, kind="stable")
-        token, ids, size = token[by], ids[by], size[by]
-        same = token[1:] == token[:-1]
-        live = np.append(same, False) | np.append(False, same)
-        return pa.table({"token": token[live].view(np.int64), "id": ids[live], "n": size[live] >> 3, "l": (size[live] & 7).astype(np.int32)})
-
-    return docs.mapInArrow(emit, "bucket int, count int, tokens binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(keep, LIVE)
+    return docs.mapInArrow(emit, "bucket int, count int, tokens binary, ids binary, sizes binary").groupBy("bucket")
 
 
 def bounded_keys(keys: DataFrame) -> np.ndarray | None:
@@ -252,6 +288,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(decide, "a long, b long")
 
 
+def close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their parities don't rule out."""
+    bits = only(sets.select("id", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = pairs.join(bits.toDF("a", "n", "left"), "a").join(bits.toDF("b", "bn", "right"), "b")
+    unlike = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return both.where((num + den) * unlike <= (den - num) * (F.col("n") + F.col("bn"))).select("a", "b").distinct()
+
+
 def left_over(n, length, num: int, den: int):
     """Shingles behind a prefix, for numbers, arrays and columns alike."""
     return -(-num * n // den) - length
@@ -277,12 +321,17 @@ def shared_least_sql(num: int, den: int) -> str:
 def cross_pairs(group: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of rows of unlike components, with the shingles they must share, from the postings of a bucket of shingles.
 
-    A row's postings in all buckets have one order for all rows; after counts those from this one on. From the first that two
-    rows share each must have as many as they must share, so that only postings that early in both rows make a pair.
+    A row's postings in all buckets have one order for all rows; after counts the shingles of those from this one on, earlier
+    names those before. From the first that two rows share each must have as many as they must share, so that only postings
+    that early in both rows make a pair, and those that know of no posting before that both have.
     """
     token, ids, comp, n, length, after = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("token", "id", "component", "n", "l", "after"))
     by = np.lexsort([ids, token])
     token, ids, comp, n, length, after = token[by], ids[by], comp[by], n[by], length[by], after[by]
+    bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)[by]
+    names = group.column("earlier").combine_chunks()
+    name, name_at = names.flatten().to_numpy(), names.offsets.to_numpy() - names.offsets[0].as_py()
+    before = lambda i: name[name_at[by[i]] : name_at[by[i] + 1]].tolist()
     bound = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
     held: list[np.ndarray] = []
     waiting = 0
@@ -293,9 +342,15 @@ def cross_pairs(group: pa.Table, num: int, den: int) -> pa.Table:
             other = np.flatnonzero(fits) + at + 1
             need = np.maximum(np.minimum(length[other], length[at]), shared_least((n[other], length[other]), (n[at], length[at]), num, den, np.maximum))
             can = np.minimum(after[other], after[at]) >= need
-            if can.any():
-                held.append(np.stack([np.full(int(can.sum()), ids[at]), ids[other[can]], need[can]]))
-                waiting += held[-1].shape[1]
+            other, need = other[can], need[can]
+            can = (num + den) * np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[other] + n[at])
+            other, need = other[can], need[can]
+            if len(other):
+                known = set(before(at))
+                new = np.array([known.isdisjoint(before(i)) for i in other.tolist()], bool)
+                if new.any():
+                    held.append(np.stack([np.full(int(new.sum()), ids[at]), ids[other[new]], need[new]]))
+                    waiting += held[-1].shape[1]
         if waiting > MOST_PAIRS:
             held = [least_needs(np.concatenate(held, axis=1))]
             waiting = held[0].shape[1] // 2
@@ -341,11 +396,13 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     dropped = lambda x: np.isin(x.view(np.int64), out_keys.value)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(cells.sum(dtype=np.int64)) // BUCKET))
     # the sketch's cells fill with the corpus, so prefixes first tell which of their own shingles are common, and are made anew
-    found = staged(live_postings(linkable, cells, [], k, num, den, dropped, buckets))
-    often = staged(found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON[0]))
-    marks = [(n, key_filter(often.where(F.col("n") >= n), "token")) for n in COMMON]
-    release(found, often)
-    live = staged(live_postings(linkable, cells, marks, k, num, den, dropped, buckets))
+    found = staged(bucketed_postings(linkable, cells, [], k, num, den, dropped, buckets).applyInArrow(common_tokens, OFTEN))
+    marks = [(n, key_filter(found.where(F.col("n") >= n), "token")) for n in COMMON]
+    every = staged(bucketed_postings(linkable, cells, marks, k, num, den, dropped, buckets).applyInArrow(live_tokens, LIVE))
+    # shingles that stand in the same rows are one from here on, with their number as its weight
+    alike = staged(every.groupBy("first", "second").agg(F.min("token").alias("token"), (F.count("*") / F.first("often")).cast("long").alias("weight")).select("token", "weight"))
+    live = staged(every.join(alike, "token").select("token", "id", "n", "l", "weight"))
+    release(found, every, alike)
 
     live_ids = live.select("id").distinct()
     wanted = bounded_keys(live_ids)
@@ -362,10 +419,11 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 s = Sets(part.column(1), k)
                 own = ~dropped(row_keys(part.column(0).to_numpy(zero_copy_only=False), s.signatures())) & (s.size > 0)
                 sets = [s.hashes[s.ends[r] : s.ends[r + 1]].tobytes() for r in np.flatnonzero(own)]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(own)), pa.array(sets, pa.binary())], ["id", "hashes"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(s.parities()[own].view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(own)), pa.array(s.size[own]), bits, pa.array(sets, pa.binary())], ["id", "n", "bits", "hashes"])
         pa.default_memory_pool().release_unused()
 
-    sets = staged(texts.mapInArrow(gather, "id long, hashes binary"))
+    sets = staged(texts.mapInArrow(gather, "id long, n long, bits array<long>, hashes binary"))
 
     # each set with the leader with which it shares most prefix shingles; twice, as the first leader may be none of its kind
     links, tried, spent = None, None, []
@@ -373,32 +431,38 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
         named_live = live if tried is None else live.join(tried.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
         first = staged(named_live.groupBy("token").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("bn"), F.min_by("l", "id").alias("bl")))
         met = named_live.join(first, "token").where("id <> b").groupBy(F.col("id").alias("a"), "b")
-        shared = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("bn").alias("bn"), F.first("bl").alias("bl"))
+        shared = met.agg(F.sum("weight").alias("shared"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("bn").alias("bn"), F.first("bl").alias("bl"))
         need = F.expr(shared_least_sql(num, den))
         shared = shared.where((F.col("shared") >= need) & (den * F.least("n", "bn") >= num * F.greatest("n", "bn")))
         best = shared.groupBy("a").agg(F.min(F.struct(-F.col("shared"), "b")).alias("best"))
         pairs = staged(best.select("a", "best.b"))
-        good = staged(verified(pairs, sets, num, den))
+        near = staged(close(pairs, sets, num, den))
+        good = staged(verified(near, sets, num, den))
         links = good if links is None else links.unionByName(good)
         failed = staged(pairs.join(good, ["a", "b"], "left_anti"))
         tried = failed if tried is None else tried.unionByName(failed)
-        spent += [first, pairs, good, failed]
+        spent += [first, pairs, near, good, failed]
     named_comp = components(links)
 
     # what is left: sets of unlike components that share as many prefix shingles as the smaller l asks
-    placed = live.join(named_comp, F.col("id") == F.col("node"), "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("component"))
+    placed = live.join(named_comp, F.col("id") == F.col("node"), "left").select("token", "id", "n", "l", "weight", F.coalesce("component", "id").alias("component"))
     placed = staged(placed)
     release(live)
     mixed_tokens = staged(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("often")).where("x <> y").select("token", "often"))
-    own = Window.partitionBy("id")
-    later = F.count("*").over(own) - F.row_number().over(own.orderBy("often", "token")) + 1  # rare shingles stand first
-    rest = staged(placed.join(mixed_tokens, "token").withColumn("after", later))
+    # rows that share an id are told apart by size and parities, so that none speaks for another
+    own = Window.partitionBy("id", "n", "l", "bits").orderBy("often", "token")  # rare shingles stand first
+    full = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = placed.join(mixed_tokens, "token").join(sets.select("id", "n", "bits").distinct(), ["id", "n"])
+    ranked = known.withColumn("rank", F.row_number().over(own)).withColumn("after", F.sum("weight").over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    leading = F.collect_list(F.when(F.col("rank") <= EARLIER, F.col("token"))).over(full)
+    rest = staged(ranked.withColumn("earlier", leading).withColumn("earlier", F.slice("earlier", F.lit(1), F.least(F.col("rank") - 1, F.lit(EARLIER)))).drop("rank"))
     release(placed, mixed_tokens)
     bucketed = rest.withColumn("bucket", F.pmod("token", F.lit(buckets)))
     met = bucketed.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long").groupBy("a", "b").agg(F.min("need").alias("need"))
-    tokens = rest.groupBy("id").agg(F.collect_set("token").alias("tokens"))
+    tokens = rest.groupBy("id").agg(F.collect_set(F.struct("token", "weight")).alias("tokens"))
     of = lambda name, out: tokens.select(F.col("id").alias(name), F.col("tokens").alias(out))
-    enough = met.join(of("a", "left"), "a").join(of("b", "right"), "b").where(F.size(F.array_intersect("left", "right")) >= F.col("need")).select("a", "b")
+    both = F.aggregate(F.array_intersect("left", "right"), F.lit(0).cast("long"), lambda total, x: total + x["weight"])
+    enough = met.join(of("a", "left"), "a").join(of("b", "right"), "b").where(both >= F.col("need")).select("a", "b")
     again = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = staged(verified(staged(enough.join(again, ["a", "b"], "left_anti")), sets, num, den))
     final = components(links.unionByName(late)) if late.limit(1).count() else named_comp

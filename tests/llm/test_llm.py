@@ -1,12 +1,14 @@
 """The training-data operators against brute force, on the smallest tables and on small hand-made cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +240,46 @@ def test_jaccard_matches_brute_force(spark, k, num, den):
     assert {r[0]: tuple(r)[1:] for r in jaccard.jaccard_components(df, k=k, num=num, den=den).collect()} == linked_by_hand(rows, k, num, den)
 
 
+def test_pairs_that_share_much_are_made_once_and_only_if_they_may_be_similar(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passages = [" ".join(f"p{i}x{j}" for j in range(60)) for i in range(8)]
+    own = lambda n: " ".join(f"o{x}" for x in rng.integers(0, 1 << 40, n))
+    # families that share a passage of half their words, and pairs alike in all but a few words that no leader joins
+    rows = [(i, f"{passages[i % 8]} {own(60)}") for i in range(80)]
+    rows += [(100 + i, f"{t} {own(4)}") for i, (_, t) in enumerate(rows[::5])] + [(200 + i, f"{passages[i % 8]} {own(6)}") for i in range(32)]
+    rows += [(7, f"{passages[2]} {passages[3]} {own(5)}"), (300, f"{passages[2]} {passages[3]} {own(5)}")]  # two rows share an id
+    df, made, checked = spark.createDataFrame(rows, DOCS).repartition(3), spark.sparkContext.accumulator(0), []
+    cross, verify = jaccard.cross_pairs, jaccard.verified
+
+    def counted(group, num, den):
+        out = cross(group, num, den)
+        made.add(out.num_rows)
+        return out
+
+    monkeypatch.setattr(jaccard, "cross_pairs", counted)
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *x: (checked.append(pairs.count()), verify(pairs, *x))[1])
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    sets = [(i, {tuple(w[j : j + 4]) for j in range(len(w) - 3)}) for i, t in rows for w in [t.split()]]
+    comp = {i: i for i, _ in rows}
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 85 * len(x | y)]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == set(comp.items()) and links
+    assert made.value <= 2 * len(links) and sum(checked) <= 2 * len(links) + len(rows)
+
+
+def test_parities_rule_out_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 40, 700, 5000):
+        common, other = rng.integers(0, 1 << 40, n), rng.integers(1 << 40, 1 << 41, n)
+        for cut in (0, n // 10, n // 2, n):
+            texts = [" ".join(map(str, common)), " ".join(map(str, [*common[cut:], *other[:cut]]))]
+            s = jaccard.Sets(pa.array([*texts, None]), 1)
+            x, y = (set(s.hashes[s.ends[i] : s.ends[i + 1]].tolist()) for i in range(2))
+            assert np.bitwise_count(s.parities()[0] ^ s.parities()[1]).sum() <= len(x ^ y) and not s.parities()[2].any()
+
+
 def test_jaccard_of_hard_rows(spark):
     rows = jaccard.jaccard_components(hard(spark)).collect()
     assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
