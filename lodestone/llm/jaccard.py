@@ -94,7 +94,7 @@ def row_keys(ids: np.ndarray, signatures: np.ndarray) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig, key) of docs (id, text), key being row_keys of id and sig; and in how many texts the shingles of each of SKETCH cells stand, all texts counted.
+    """(id, n, sig, key, bits) of docs (id, text), key being row_keys of id and sig, bits the parities; and in how many texts the shingles of each of SKETCH cells stand, all texts counted.
 
     The sketch's size doesn't depend on docs: it is summed over all tasks piece by piece and comes to the driver.
     """
@@ -102,7 +102,7 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH, np.int32)
-        names = ["id", "n", "sig", "key", "piece", "part"]
+        names = ["id", "n", "sig", "key", "bits", "piece", "part"]
         task = TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -110,11 +110,12 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 cells += np.bincount((s.hashes >> SHIFT).astype(np.int64), minlength=SKETCH).astype(np.int32)
                 both = s.signatures()
                 sigs = pa.array([b.tobytes() for b in np.ascontiguousarray(both.T)], pa.binary())
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * WORDS), pa.array(s.parities().view(np.int64).ravel()))
                 keys = row_keys(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), both).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), sigs, pa.array(keys), pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size), sigs, pa.array(keys), bits, pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int32())], names)
         if cells.any():
             some = pa.array([packed(c) for c in np.split(cells, pieces)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), some, pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.list_(pa.int64())), pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32())], names)
         pa.default_memory_pool().release_unused()
 
     def add(group: pa.Table) -> pa.Table:
@@ -124,7 +125,7 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
         return pa.table({"piece": group.column("piece")[:1], "part": group.column("part")[:1], "sig": pa.array([packed(total)], pa.binary())})
 
-    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, piece int, part int"))
+    both = staged(docs.mapInArrow(each, "id long, n long, sig binary, key long, bits array<long>, piece int, part int"))
     found = both.where("piece is not null").select("piece", "part", "sig")
     last = found.agg(F.max("part")).head()[0] or 0
     while True:  # a group adds the pieces of ADDED tasks, and then those sums likewise
@@ -270,9 +271,9 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Each pair's sets meet by two joins, to which no other sets go."""
-    sets = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Each pair's sets meet by two joins; sets_of makes those of the pairs' ids, and no others."""
+    sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").select("a", "b", "left", "right")
 
@@ -288,9 +289,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(decide, "a long, b long")
 
 
-def close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def close(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that their parities don't rule out."""
-    bits = only(sets.select("id", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    bits = only(base.select("id", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = pairs.join(bits.toDF("a", "n", "left"), "a").join(bits.toDF("b", "bn", "right"), "b")
     unlike = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return both.where((num + den) * unlike <= (den - num) * (F.col("n") + F.col("bn"))).select("a", "b").distinct()
@@ -404,26 +405,19 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     live = staged(every.join(alike, "token").select("token", "id", "n", "l", "weight"))
     release(found, every, alike)
 
-    live_ids = live.select("id").distinct()
-    wanted = bounded_keys(live_ids)
-    texts = linkable
-    if wanted is None:
-        texts = linkable.join(live_ids.hint("shuffle_hash"), "id", "left_semi")
-    in_keys = spark.sparkContext.broadcast(wanted)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, hashes) of the rows that have these ids, from their texts: no others' sets are made or written."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if in_keys.value is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(zero_copy_only=False), in_keys.value)))
-            for part in slices(batch, "text"):
-                s = Sets(part.column(1), k)
-                own = ~dropped(row_keys(part.column(0).to_numpy(zero_copy_only=False), s.signatures())) & (s.size > 0)
-                sets = [s.hashes[s.ends[r] : s.ends[r + 1]].tobytes() for r in np.flatnonzero(own)]
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(s.parities()[own].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(own)), pa.array(s.size[own]), bits, pa.array(sets, pa.binary())], ["id", "n", "bits", "hashes"])
-        pa.default_memory_pool().release_unused()
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    s = Sets(part.column(1), k)
+                    own = ~dropped(row_keys(part.column(0).to_numpy(zero_copy_only=False), s.signatures())) & (s.size > 0)
+                    sets = [s.hashes[s.ends[r] : s.ends[r + 1]].tobytes() for r in np.flatnonzero(own)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(own)), pa.array(sets, pa.binary())], ["id", "hashes"])
+            pa.default_memory_pool().release_unused()
 
-    sets = staged(texts.mapInArrow(gather, "id long, n long, bits array<long>, hashes binary"))
+        return only(linkable, ids).mapInArrow(gather, "id long, hashes binary")
 
     # each set with the leader with which it shares most prefix shingles; twice, as the first leader may be none of its kind
     links, tried, spent = None, None, []
@@ -436,15 +430,16 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
         shared = shared.where((F.col("shared") >= need) & (den * F.least("n", "bn") >= num * F.greatest("n", "bn")))
         best = shared.groupBy("a").agg(F.min(F.struct(-F.col("shared"), "b")).alias("best"))
         pairs = staged(best.select("a", "best.b"))
-        near = staged(close(pairs, sets, num, den))
-        good = staged(verified(near, sets, num, den))
+        near = staged(close(pairs, usable, num, den))
+        good = staged(verified(near, sets_of, num, den))
         links = good if links is None else links.unionByName(good)
         failed = staged(pairs.join(good, ["a", "b"], "left_anti"))
         tried = failed if tried is None else tried.unionByName(failed)
         spent += [first, pairs, near, good, failed]
     named_comp = components(links)
 
-    # what is left: sets of unlike components that share as many prefix shingles as the smaller l asks
+    # what is left: sets of unlike components that may share as many prefix shingles as the smaller l asks. Parities have left
+    # few pairs, and to count what they share would move more than their sets do.
     placed = live.join(named_comp, F.col("id") == F.col("node"), "left").select("token", "id", "n", "l", "weight", F.coalesce("component", "id").alias("component"))
     placed = staged(placed)
     release(live)
@@ -452,22 +447,18 @@ def placed_rows(named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # rows that share an id are told apart by size and parities, so that none speaks for another
     own = Window.partitionBy("id", "n", "l", "bits").orderBy("often", "token")  # rare shingles stand first
     full = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = placed.join(mixed_tokens, "token").join(sets.select("id", "n", "bits").distinct(), ["id", "n"])
+    known = placed.join(mixed_tokens, "token").join(only(usable.select("id", "n", "bits"), placed.select("id").distinct()).distinct(), ["id", "n"])
     ranked = known.withColumn("rank", F.row_number().over(own)).withColumn("after", F.sum("weight").over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     leading = F.collect_list(F.when(F.col("rank") <= EARLIER, F.col("token"))).over(full)
     rest = staged(ranked.withColumn("earlier", leading).withColumn("earlier", F.slice("earlier", F.lit(1), F.least(F.col("rank") - 1, F.lit(EARLIER)))).drop("rank"))
     release(placed, mixed_tokens)
     bucketed = rest.withColumn("bucket", F.pmod("token", F.lit(buckets)))
-    met = bucketed.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long").groupBy("a", "b").agg(F.min("need").alias("need"))
-    tokens = rest.groupBy("id").agg(F.collect_set(F.struct("token", "weight")).alias("tokens"))
-    of = lambda name, out: tokens.select(F.col("id").alias(name), F.col("tokens").alias(out))
-    both = F.aggregate(F.array_intersect("left", "right"), F.lit(0).cast("long"), lambda total, x: total + x["weight"])
-    enough = met.join(of("a", "left"), "a").join(of("b", "right"), "b").where(both >= F.col("need")).select("a", "b")
+    met = bucketed.groupBy("bucket").applyInArrow(lambda t: cross_pairs(t, num, den), "a long, b long, need long").select("a", "b").distinct()
     again = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = staged(verified(staged(enough.join(again, ["a", "b"], "left_anti")), sets, num, den))
+    late = staged(verified(staged(met.join(again, ["a", "b"], "left_anti")), sets_of, num, den))
     final = components(links.unionByName(late)) if late.limit(1).count() else named_comp
     final = staged(final)
-    release(rest, sets, *spent)
+    release(rest, *spent)
     # copies take their leader's component: a class of any size is never a set of links
     led = base.join(classes, "sig", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("leader", "id")).otherwise(F.col("id")))
     out = led.join(final, F.col("root") == F.col("node"), "left")
