@@ -108,10 +108,12 @@ class Remembered:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key's ids start and how many there are; -1 for unknown keys."""
         start, n = np.full(keys.shape[1], -1, np.int64), np.zeros(keys.shape[1], np.int64)
+        left = np.argsort(keys[0])  # in order, and without what is found, so that runs are read from one end to the other
         for run in self.runs:
-            at = np.minimum(np.searchsorted(run[0], keys[0]), run.shape[1] - 1)
-            hit = (run[0, at] == keys[0]) & (run[1, at] == keys[1])
-            start[hit], n[hit] = run[2, at[hit]], run[3, at[hit]]
+            at = np.minimum(np.searchsorted(run[0], keys[0, left]), run.shape[1] - 1)
+            hit = (run[0, at] == keys[0, left]) & (run[1, at] == keys[1, left])
+            start[left[hit]], n[left[hit]] = run[2, at[hit]], run[3, at[hit]]
+            left = left[~hit]
         return start, n
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
