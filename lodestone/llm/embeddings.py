@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +13,15 @@ from pyspark.sql import types as T
 from .common import col, staged, table
 from .components import components
 
-#: Vectors for which there is a pivot, pivots by which a cell is split at once, vectors of one side of a block of a cell.
-CELL, MAX_PIVOTS, BLOCK = 2048, 64, 2048
-#: Splits of a cell in turn, and border copies for each vector beyond which a cell is left unsplit.
-LEVELS, MOST_COPIES = 5, 4
+#: Vectors from which a cell may be split, with a pivot for each quarter of them. To move a vector costs about as much as an
+#: eighth of them to compare. Pivots by which a cell is split at once; vectors of one side of a block, and numbers in them.
+CELL, MAX_PIVOTS, BLOCK, NUMBERS = 32768, 64, 16384, 1 << 22
+#: Splits of a cell in turn, and border copies for each vector beyond which a cell is left unsplit. Vectors by which a split is judged.
+LEVELS, MOST_COPIES, JUDGED = 5, 4, 4096
 #: Added to distances, so that rounding of double precision can't lose a link; the cosine itself decides.
 SLACK = 1e-9
+#: Rows of a block that are compared at once.
+STRIP = 256
 CELL_KEY = ["label", "dim", "path"]
 
 
@@ -31,63 +36,111 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def split(full: DataFrame, radius: float) -> DataFrame:
-    """Cells (with n, their members) split by pivots of their own; parent is the path of the cell that was split.
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows of length 1."""
+    return unit(vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1))
 
-    A cell has a pivot for about CELL members, MAX_PIVOTS at most, spread by a hash. Its members are dealt over chunks of
-    about BLOCK, and every chunk meets the pivots, so that no task holds a cell. A member is at home in the cell of its
-    nearest pivot, and copied to every cell whose border is within radius.
-    """
-    pivots_of = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / CELL))
-    drawn = full.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n") < 4.0 * (1 << 30) * pivots_of)
+
+def cut(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): the cells of pivots p in which each row of x is, as the nearest pivot's or with a border within radius."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
+    nearest = d.argmin(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[nearest]
+    # By the triangle inequality a vector is as far from a cell's border as half of what its pivot is farther than the
+    # home pivot; in Euclidean space by the factor (d1 + d2) / gap, which is at least 1, farther still.
+    near = d[np.arange(len(x)), nearest][:, None]
+    margin = np.where(gap > 0, (d * d - near * near) / (2 * np.maximum(gap, 1e-300)), 0)
+    row, cell = np.nonzero(margin <= radius + SLACK)
+    return row, cell, nearest[row] == cell
+
+
+def pivots(full: DataFrame) -> DataFrame:
+    """Pivots of cells (with n, their members), drawn by a hash: one for about CELL / 4 members, MAX_PIVOTS at most."""
+    wanted = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") * 4 / CELL))
+    drawn = full.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n") < 4.0 * (1 << 30) * wanted)
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*CELL_KEY).orderBy(F.xxhash64("key"), "key")))
+    return ranked.where(F.col("k") <= wanted)
+
+
+def apart(p: np.ndarray, radius: float) -> np.ndarray:
+    """Pivots, but for those within twice the radius of an earlier one: what is between two such is at home with both."""
+    close = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) <= 2 * radius
+    kept: list[int] = []
+    for i in range(len(p)):
+        if not close[i, kept].any():
+            kept.append(i)
+    return p[kept]
+
+
+def worth(full: DataFrame, chosen: DataFrame, radius: float) -> DataFrame:
+    """The cells that cost less in parts: about JUDGED members, spread by a hash, meet the pivots and stand for all.
+
+    What is left to compare in the parts, and vectors moved there, are held against the comparisons and moves of the whole.
+    """
+    judged = full.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 30)) * F.col("n") < float(JUDGED << 30))
+    both = judged.withColumn("k", F.lit(0)).unionByName(chosen)
+    out = T.StructType([full.schema[c] for c in CELL_KEY])
+
+    def run(rows: pa.Table) -> pa.Table:
+        is_pivot = rows.column("k").to_numpy() > 0
+        x, drawn = rows.filter(pa.array(~is_pivot)), rows.filter(pa.array(is_pivot)).sort_by("k")
+        p = apart(matrix(drawn.column("vec")), radius) if len(drawn) else []
+        if not len(x) or len(p) < 2:
+            return rows.select(out.names).slice(0, 0)
+        n, side = rows.column("n")[0].as_py(), max(1, min(BLOCK, NUMBERS // rows.column("dim")[0].as_py()))
+        row, cell, home = cut(matrix(x.column("vec")), p, radius)
+        at_home = x.column("home").to_numpy()
+        members, homes = (np.bincount(cell[some], minlength=len(p)) * (n / len(x)) for some in (home | True, home & at_home[row]))
+        cost = lambda h, m: (h * (m - h / 2) + CELL / 8 * m * np.ceil(m / side)).sum()
+        # a split moves all vectors once to the pivots, and its copies once more
+        parts, whole = cost(homes, members) + CELL / 8 * (n + members.sum()), cost(np.array([n * at_home.mean()]), np.array([n]))
+        return rows.select(out.names).slice(0, int(parts < whole and members.sum() <= MOST_COPIES * n))
+
+    return both.groupBy(*CELL_KEY).applyInArrow(run, out)
+
+
+def split(full: DataFrame, chosen: DataFrame, radius: float) -> DataFrame:
+    """The cells in parts, one for each of their pivots that are apart.
+
+    Members are dealt over chunks of about BLOCK, and every chunk meets the pivots, so that no task holds a cell. A member
+    is at home in the cell of its nearest pivot, and copied to every cell whose border is within radius.
+    """
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    kept = ranked.where(F.col("k") <= pivots_of).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("pivot", F.lit(True))
-    dealt = full.withColumn("k", F.lit(0)).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), chunks).cast("int")).withColumn("pivot", F.lit(False))
-    out = T.StructType([*full.drop("n").schema.fields, T.StructField("parent", T.StringType())])
+    kept = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = full.withColumn("k", F.lit(0)).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), chunks).cast("int"))
+    out = full.drop("n").schema
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        own, chosen = df[~df["pivot"]], df[df["pivot"]].sort_values("k")
-        own = own.assign(parent=own["path"])
+    def run(rows: pa.Table) -> pa.Table:
+        is_pivot = rows.column("k").to_numpy() > 0
+        own, p = rows.filter(pa.array(~is_pivot)), rows.filter(pa.array(is_pivot)).sort_by("k")
         if not len(own):
-            return own[out.names]
-        if not len(chosen):  # none was drawn: the cell stays as it is
-            return own.assign(path=own["path"] + "/0")[out.names]
-        p, x = unit(np.array(chosen["vec"].tolist())), unit(np.array(own["vec"].tolist()))
-        d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-        home = d.argmin(axis=1)
-        gap = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
-        # By the triangle inequality a vector is as far from a cell's border as half of what its pivot is farther than the
-        # home pivot; in Euclidean space by the factor (d1 + d2) / gap, which is at least 1, farther still.
-        near = d[np.arange(len(x)), home][:, None]
-        margin = np.where(gap > 0, (d * d - near * near) / (2 * np.maximum(gap, 1e-300)), 0)
-        row, cell = np.nonzero(margin <= radius + SLACK)
-        at_home = own["home"].to_numpy()[row] & (home[row] == cell)
-        return own.iloc[row].assign(path=[f"{a}/{c}" for a, c in zip(own["path"].to_numpy()[row], cell.tolist(), strict=True)], home=at_home)[out.names]
-
-    return dealt.unionByName(kept).groupBy(*CELL_KEY, "chunk").applyInPandas(run, out)
+            return own.select(out.names)
+        row, cell, home = cut(matrix(own.column("vec")), apart(matrix(p.column("vec")), radius), radius)
+        path, at_home = own.column("path")[0].as_py(), own.column("home").to_numpy()[row] & home
+        made = {"path": pa.array([f"{path}/{c}" for c in cell.tolist()], pa.string()), "home": pa.array(at_home)}
+        return pa.table({c: made[c] if c in made else own.column(c).take(pa.array(row)) for c in out.names})
+
+    return dealt.unionByName(kept).groupBy(*CELL_KEY, "chunk").applyInArrow(run, out)
 
 
 def in_cells(classes: DataFrame, radius: float) -> DataFrame:
     """Each vector in its home cell, and in every cell whose border is within radius: classes with path and home.
 
-    At first a label's vectors of one dimension are a cell. A cell of more than 2 x CELL vectors is split, and its parts
-    in turn. What stays large after LEVELS splits, or what a split would copy more than MOST_COPIES times, as it does where
-    no vectors stand close together, stays a cell and is joined in blocks.
+    At first a label's vectors of one dimension are a cell. A cell of more than CELL vectors is split where that is
+    worth it, and its parts in turn. Whatever stays large, as it does where no vectors stand close together, is joined in blocks.
     """
     cells, done = classes.withColumn("path", F.lit("")).withColumn("home", F.lit(True)), []
     for _ in range(LEVELS):
-        sizes = staged(cells.groupBy(*CELL_KEY).agg(F.count("*").alias("n")))
-        large = sizes.where(F.col("n") > 2 * CELL)
-        if not large.limit(1).count():
+        large = staged(cells.groupBy(*CELL_KEY).agg(F.count("*").alias("n")).where(F.col("n") > CELL))
+        if large.isEmpty():
+            break
+        full = cells.join(F.broadcast(large), CELL_KEY)
+        chosen = staged(pivots(full))
+        better = staged(worth(full, chosen, radius))
+        if better.isEmpty():
             break
-        done.append(cells.join(sizes.where(F.col("n") <= 2 * CELL).select(*CELL_KEY), CELL_KEY, "left_semi"))
-        full = cells.join(large, CELL_KEY)
-        parts = staged(split(full, radius))
-        grown = parts.groupBy("label", "dim", F.col("parent").alias("path")).agg(F.count("*").alias("copies"))
-        worth = staged(grown.join(large, CELL_KEY).where(F.col("copies") <= MOST_COPIES * F.col("n")).select(*CELL_KEY))
-        done.append(full.drop("n").join(worth, CELL_KEY, "left_anti"))
-        cells = parts.join(worth.withColumnRenamed("path", "parent"), ["label", "dim", "parent"], "left_semi").select(*cells.columns)
+        done.append(cells.join(F.broadcast(better), CELL_KEY, "left_anti"))
+        cells = staged(split(*(x.join(F.broadcast(better), CELL_KEY, "left_semi") for x in (full, chosen)), radius)).select(*cells.columns)
     for part in done:
         cells = cells.unionByName(part.select(*cells.columns))
     return cells
@@ -96,48 +149,74 @@ def in_cells(classes: DataFrame, radius: float) -> DataFrame:
 def linked(cells: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): in each block of a cell, the links counted for home vectors (b null), and links enough to join what is linked (n null).
 
-    Home vectors are dealt over blocks, and each meets all the cell's vectors, block by block: however full a cell is, a
-    task holds 2 x BLOCK vectors.
+    A cell's vectors are dealt over sides of BLOCK, or of NUMBERS numbers, and each two sides meet once: however full a cell
+    is, a task holds two sides.
     """
     sizes = cells.groupBy(*CELL_KEY).agg(F.count("*").alias("members"))
-    dealt = cells.join(staged(sizes), CELL_KEY).withColumn("s", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("key"), F.col("s")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("s") - 1)
-    right = dealt.select(*CELL_KEY, "key", "vec", "copies", F.lit(False).alias("left"), F.col("at").alias("j"), F.explode(every).alias("i"))
-    left = dealt.where("home").select(*CELL_KEY, "key", "vec", "copies", F.lit(True).alias("left"), F.col("at").alias("i"), F.explode(every).alias("j"))
-
-    def join(df: pd.DataFrame) -> pd.DataFrame:
-        side = df["left"].to_numpy()
-        lid, rid = df["key"].to_numpy()[side], df["key"].to_numpy()[~side]
-        if not len(lid) or not len(rid):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
-        x, y = (unit(np.array(df["vec"][s].tolist())) for s in (side, ~side))
-        hit = np.zeros((len(lid), len(rid)), bool)
-        for at in range(0, len(lid), 256):
-            hit[at : at + 256] = (x[at : at + 256] @ y.T >= cosine) & (lid[at : at + 256, None] != rid)
-        n = hit @ df["copies"].to_numpy()[~side]
-        some = n > 0
-        node, label = joined(lid[some], rid, hit[some])
-        return pd.DataFrame({"a": np.concatenate([lid[some], node]), "b": pd.array([*[None] * int(some.sum()), *label.tolist()], "Int64"), "n": pd.array([*n[some].tolist(), *[None] * len(node)], "Int64")})
-
-    return left.unionByName(right).groupBy(*CELL_KEY, "i", "j").applyInPandas(join, "a long, b long, n long")
-
-
-def joined(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that hits join with smaller keys, and the smallest key that is reached from each inside the block."""
-    keys, number = np.unique(np.concatenate([left, right]), return_inverse=True)
-    of_left, of_right, label = number[: len(left)], number[len(left) :], np.arange(len(keys), dtype=np.int32)
-    while len(left):
-        new, most = label.copy(), np.int32(len(keys))
-        for at in range(0, len(left), 256):
-            own = slice(at, at + 256)
-            np.minimum.at(new, of_left[own], np.where(hit[own], label[of_right], most).min(1, initial=most))
-            np.minimum.at(new, of_right, np.where(hit[own], label[of_left[own]][:, None], most).min(0, initial=most))
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    node = np.flatnonzero(label != np.arange(len(keys)))
-    return keys[node], keys[label[node]]
+    side = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(NUMBERS) / F.col("dim"))))
+    dealt = cells.join(staged(sizes), CELL_KEY).withColumn("s", F.ceil(F.col("members") / side).cast("int")).withColumn("at", F.pmod(F.xxhash64("key"), F.col("s")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    blocks = met.select(*CELL_KEY, "key", "vec", "copies", "home", (F.col("at") > F.col("other")).alias("right"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+    def join(rows: pa.Table) -> pa.Table:
+        key, copies, home = (rows.column(c).to_numpy() for c in ("key", "copies", "home"))
+        right = rows.column("right").to_numpy()
+        x, square = matrix(rows.column("vec")), rows.column("i")[0] == rows.column("j")[0]
+        # home vectors first: two border copies need not be compared
+        left, other = (some[np.argsort(~home[some], kind="stable")] for some in (np.flatnonzero(~right), np.flatnonzero(right)))
+        n, root = np.zeros(len(key), np.int64), np.arange(len(key))
+        for a, b in hits(x, left, left if square else other, home, cosine):
+            unlike = a != b
+            a, b = a[unlike], b[unlike]
+            np.add.at(n, a, copies[b])
+            if not square:
+                np.add.at(n, b, copies[a])
+            merge(root, a, b)
+        some, node = np.flatnonzero((n > 0) & home), np.flatnonzero(root != np.arange(len(key)))
+        none = lambda k: pa.nulls(k, pa.int64())
+        counted = pa.table({"a": key[some], "b": none(len(some)), "n": n[some]})
+        return pa.concat_tables([counted, pa.table({"a": key[node], "b": key[root[node]], "n": none(len(node))})])
+
+    return blocks.groupBy(*CELL_KEY, "i", "j").applyInArrow(join, "a long, b long, n long")
+
+
+def hits(x: np.ndarray, left: np.ndarray, right: np.ndarray, home: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a of left and b of right, home vectors first in both, with a cosine of cosine or more; not all where both are border copies.
+
+    Single precision tells what is clear; what is nearer to cosine than its error can be is computed in double precision.
+    """
+    if not len(left) or not len(right):
+        return
+    single, error = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-23
+    homes, of_right = int(home[left].sum()), int(home[right].sum())
+    across = np.ascontiguousarray(single[right].T)
+    for at in range(0, len(left), STRIP):
+        own = left[at : at + STRIP]
+        some = len(right) if at < homes else of_right
+        near = single[own] @ across[:, :some]
+        found = np.flatnonzero(near.ravel() >= cosine - error)
+        if not len(found):
+            continue
+        a, b = own[found // some], right[found % some]
+        close = np.flatnonzero(near.ravel()[found] < cosine + error)
+        keep = np.ones(len(found), bool)
+        for k in range(0, len(close), 1 << 14):
+            part = close[k : k + (1 << 14)]
+            keep[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= cosine
+        yield a[keep], b[keep]
+
+
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins a and b in root, which names for every row the first row that it is joined with."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -152,7 +231,8 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "
     tells whether the id is the component's smallest. No rows: none come out. Further columns, whatever their names, are
     left out.
     """
-    named = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vec"), col(label_col).alias("label"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    named = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast(kind).alias("vec"), col(label_col).alias("label"))
     digest = F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v")))), 256)
     rows = staged(named.withColumn("same", F.when(F.col("id").isNotNull() & usable(F.col("vec"), F.col("label")), digest)))
     alike = rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))

@@ -118,6 +118,33 @@ def test_embeddings_match_brute_force(spark):
     assert any(c > 2 for c, _, _ in found[0].values())
 
 
+def test_embeddings_are_split_only_where_it_pays(spark, monkeypatch):
+    for k, v in (("CELL", 40), ("BLOCK", 64), ("MAX_PIVOTS", 3)):
+        monkeypatch.setattr(embeddings, k, v)
+    rng = np.random.default_rng(4)
+    centres = np.repeat(np.eye(64)[:3], 200, axis=0)
+    for x, parts in ((rng.normal(size=(600, 64)), 1), (centres + rng.normal(scale=0.01, size=(600, 64)), 3)):
+        rows = [(i, 0, 64, v.tolist(), 1) for i, v in enumerate(x)]
+        cells = embeddings.in_cells(spark.createDataFrame(rows, "key long, label int, dim int, vec array<double>, copies long"), 0.2).collect()
+        # vectors that are nowhere close together stay one cell; copies of them at borders would outnumber them
+        assert (len({r.path for r in cells}) == 1) == (parts == 1) and len(cells) <= 1.5 * len(x)
+        assert sorted(r.key for r in cells if r.home) == list(range(600))
+
+
+def test_embeddings_near_the_cosine_are_compared_in_double_precision():
+    far = np.array([1e-9, -1e-9, 1e-4, -1e-4, 1e-12, -1e-12])
+    cosine = 0.98 + far
+    x = np.zeros((7, 2))
+    x[0], x[1:] = (1, 0), np.stack([cosine, np.sqrt(1 - cosine**2)], 1)
+    home = np.ones(7, bool)
+    got = [np.stack(some) for some in embeddings.hits(x, np.array([0]), np.arange(1, 7), home, 0.98)]
+    assert np.concatenate(got, 1)[1].tolist() == [1, 3, 5]
+    # two border copies aren't compared, any other two are
+    home = np.array([True, True, False, False])
+    a, b = (np.concatenate(some).tolist() for some in zip(*embeddings.hits(np.ones((4, 1)), np.array([0, 2]), np.array([1, 3]), home, 0.98)))
+    assert {(0, 1), (0, 3), (2, 1)} <= set(zip(a, b))
+
+
 def test_embeddings_that_share_an_id_and_empty_tables(spark):
     kind = "vec_id long, embedding array<float>, label int, `a.b` int, id long"
     rows = [(1, [1.0, 0.0], 0, 1, 2), (1, [0.0, 1.0], 0, 1, 2), (2, [1.0, 0.01], 0, 1, 2), (3, [0.01, 1.0], 0, 1, 2), (4, [0.01, 1.0], 0, 1, 2), (4, None, 0, 1, 2), (None, [1.0, 0.0], 0, 1, 2)]
