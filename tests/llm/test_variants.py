@@ -75,6 +75,31 @@ def test_op11_matches_brute_force_on_the_tables(spark):
     check(spark, rows, 4, 1, 2, 7)
 
 
+def test_all_words_of_the_tables_match_an_index_of_gaps(spark):
+    rows = oracle.connection(SF).execute("SELECT doc_id, text FROM documents").fetchall()
+    n = {w: k for w, k in words_of(rows, 7).items() if len(w) >= 4}
+    gaps = defaultdict(set)  # words that are these two parts, with a letter between them or none
+    for w in n:
+        for i in range(len(w) + 1):
+            gaps[w[:i], w[i:]].add(w)
+            gaps[w[:i], w[i + 1 :]].add(w)
+    found = {w: set() for w in n}
+    for some in gaps.values():
+        for w in some:
+            found[w] |= some - {w}
+    form = {w: min(found[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    form = {w: v if v and n[v] >= 2 * n[w] else None for w, v in form.items()}
+    want = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        want.add((w, form[w], root, n[w], len(found[w]), n[form[w]] if form[w] else None))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = variants.spelling_variants(docs, letters=4, least=1, times=2, typos=7).collect()
+    assert {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got} == want and len(got) == len(want)
+
+
 def test_dense_neighbourhoods_ties_and_chains(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abÿ"), size=int(rng.integers(1, 6)))) for _ in range(800)]
