@@ -30,3 +30,10 @@ def test_draws_reach_over_blocks_and_no_slot_is_joined(spark):
 def test_no_questions_no_draws(spark):
     none = spark.createDataFrame([], "question_id long, endpoint string, total double, size long")
     assert registered.resampled(none, none, 5, "s").count() == 0
+
+
+def test_kappa_makes_no_row_for_a_draw_and_question(spark):
+    ratings = spark.range(400).selectExpr("id % 40 AS question_id", "CAST(id % 3 + 1 AS int) AS a", "CAST(id % 5 % 3 + 1 AS int) AS b")
+    found = registered.weighted_kappa_interval(ratings, 3, draws=20)
+    assert "question_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.collect()[0].low <= found.collect()[0].high
