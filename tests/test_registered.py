@@ -37,3 +37,10 @@ def test_kappa_makes_no_row_for_a_draw_and_question(spark):
     found = registered.weighted_kappa_interval(ratings, 3, draws=20)
     assert "question_id" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.collect()[0].low <= found.collect()[0].high
+
+
+def test_contrasts_make_no_row_for_a_draw_and_question(spark):
+    values = spark.range(400).selectExpr("id DIV 2 AS question_id", "IF(id % 2 = 0, 'x', 'y') AS arm", "CAST(id % 11 AS double) AS value")
+    found = registered.paired_contrasts(values, [("x", "y")], draws=20)
+    assert "question_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.collect()[0].low <= found.collect()[0].high
