@@ -2,44 +2,24 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.anchoring import met_in_parts
+from lodestone.operators import anchoring, finding
 
 # Labels of splits, and those that a map may assign provisional ones to.
 LABELS, SPLITS = ("pending", "proposed_test", "dev", "test"), ("dev", "test")
-BOOKS = "evidence string, low string, high string"
+BOOKS = "chapter_id string, quote string, block string, book string"
+BOOK_ROWS = pa.schema([(c, pa.string()) for c in ("chapter_id", "quote", "block", "book")])
 #: Why evidence is refused, the first that holds.
 UNANNOTATED, OFFSETS, BOOK = "no chapter or sufficiency", "another chapter offset", "no unique textbook"
 
 
-def books_of(key: tuple, wanted: pa.Table, own: pa.Table) -> pa.Table:
-    """The least and the greatest textbook whose chunks hold each quote, and its block where it names one."""
-    import ahocorasick
-
-    by_quote: dict[str, list[dict]] = defaultdict(list)
-    for row in wanted.to_pylist():
-        by_quote[row["quote"]].append(row)
-    found: dict[str, list[str]] = {}
-    if by_quote and own.num_rows:
-        automaton = ahocorasick.Automaton()
-        for quote in by_quote:
-            automaton.add_word(quote, quote)
-        automaton.make_automaton()
-        for i in range(own.num_rows):
-            chunk = own.slice(i, 1).to_pylist()[0]
-            blocks, book = set(chunk["blocks"] or ()), chunk["textbook_id"]
-            for quote in {q for _, q in automaton.iter(chunk["text"])}:
-                for row in by_quote[quote]:
-                    if row["block_id"] is None or row["block_id"] in blocks:
-                        low, high = found.get(row["evidence"], (book, book))
-                        found[row["evidence"]] = [min(low, book), max(high, book)]
-    columns = [list(found), [x[0] for x in found.values()], [x[1] for x in found.values()]]
-    return pa.table([pa.array(c, pa.string()) for c in columns], names=["evidence", "low", "high"])
+def books_of(chunk: dict, hits: list[tuple[int, int]]) -> list[dict]:
+    """A row for each quote in a chunk, and one for each with each of its blocks."""
+    quotes = {chunk["text"][a : a + n] for a, n in hits}
+    return [{"chapter_id": chunk["chapter_id"], "quote": q, "block": b, "book": chunk["textbook_id"]} for q in quotes for b in (None, *{b for b in chunk["blocks"] or () if b is not None})]
 
 
 def mapped_split(split: Column, question: Column, mapping: dict[str, str]) -> Column:
@@ -77,10 +57,10 @@ def converted(gold: DataFrame, chunks: DataFrame, corpus_version: str, *, splits
     rows = asked.where(F.when(twice, F.raise_error(say).cast("boolean")).otherwise(True)).select("question_id", "q.*")
     sets = F.concat(F.transform("core", lambda group, g: F.transform(group, lambda e, i: F.struct(g.alias("g"), i.alias("i"), e.alias("e")))), F.array(F.transform("partial", lambda e, i: F.struct(F.lit(-1).alias("g"), i.alias("i"), e.alias("e")))))
     each = rows.select("question_id", F.coalesce("source_corpus_version", "corpus_version").alias("origin"), F.explode(F.flatten(sets)).alias("x")).select("question_id", "origin", "x.g", "x.i", "x.e")
-    each = each.withColumn("evidence", F.concat_ws("|", F.col("question_id").cast("string"), "g", "i"))
-    quotes = each.where("e.chapter_id IS NOT NULL AND e.verbatim_text <> ''").select("evidence", "e.chapter_id", "e.block_id", F.col("e.verbatim_text").alias("quote"))
-    own = chunks.where("textbook_id IS NOT NULL AND text IS NOT NULL").select("chapter_id", "textbook_id", "chunk_id", "text", "blocks")
-    found = met_in_parts(quotes, own, ["chapter_id"], ["evidence"], ["textbook_id", "chunk_id"], books_of, BOOKS).groupBy("evidence").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    own = chunks.where("textbook_id IS NOT NULL AND chapter_id IS NOT NULL AND text IS NOT NULL").select("chapter_id", "textbook_id", "text", "blocks")
+    met = finding.read(own, finding.marked(each.where("e.chapter_id IS NOT NULL"), "e.verbatim_text"), books_of, BOOK_ROWS, BOOKS, anchoring.PART_CHARS, anchoring.PART_SPANS)
+    books = met.groupBy("chapter_id", "quote", "block").agg(F.min("book").alias("low"), F.max("book").alias("high"))
+    same = (F.col("e.chapter_id") == F.col("chapter_id")) & (F.col("e.verbatim_text") == F.col("quote")) & F.col("e.block_id").eqNullSafe(F.col("block"))
     other = lambda a, b: F.col(f"e.{a}").isNotNull() & ~F.col(f"e.{a}").eqNullSafe(F.col(f"e.{b}"))
     why = (
         F.when(F.col("e.chapter_id").isNull() | F.col("e.sufficiency").isNull(), UNANNOTATED)
@@ -89,12 +69,12 @@ def converted(gold: DataFrame, chunks: DataFrame, corpus_version: str, *, splits
     )
     span = F.struct("e.span_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("textbook_id"), "e.chapter_id", F.col("e.char_start").alias("chapter_char_start"), F.col("e.char_end").alias("chapter_char_end"), "e.verbatim_text", "e.block_id", F.col("origin").alias("origin_corpus_version"))
     new = F.struct(span.alias("span"), "e.sufficiency", F.when(F.col("e.annotation_note") != "", F.col("e.annotation_note")).alias("annotation_note"))
-    made = each.join(found, "evidence", "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("g", "i", new.alias("new")))).alias("made"), F.sort_array(F.collect_set(why)).alias("refused"))
+    made = each.join(books, same, "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("g", "i", new.alias("new")))).alias("made"), F.sort_array(F.collect_set(why)).alias("refused"))
     of = lambda g: F.transform(F.filter("made", lambda x: x["g"] == g), lambda x: x["new"])
-    met = rows.join(made, "question_id", "left").withColumn("refused", F.coalesce("refused", F.array().cast("array<string>")))
+    out = rows.join(made, "question_id", "left").withColumn("refused", F.coalesce("refused", F.array().cast("array<string>")))
     if strict:
         no = F.concat(F.lit("GOLD: "), F.col("question_id").cast("string"), F.lit(": "), F.array_join("refused", ", "))
-        met = met.where(F.when(F.size("refused") > 0, F.raise_error(no).cast("boolean")).otherwise(True))
+        out = out.where(F.when(F.size("refused") > 0, F.raise_error(no).cast("boolean")).otherwise(True))
     core = F.transform("core", lambda _, g: F.coalesce(of(g), F.array()))
     split = mapped_split(F.col("split"), F.col("question_id").cast("string"), splits or {})
-    return met.select("question_id", split.alias("split"), F.coalesce("source_corpus_version", "corpus_version").alias("source_corpus_version"), F.lit(corpus_version).alias("corpus_version"), core.alias("core"), F.coalesce(of(F.lit(-1)), F.array()).alias("partial"), "refused")
+    return out.select("question_id", split.alias("split"), F.coalesce("source_corpus_version", "corpus_version").alias("source_corpus_version"), F.lit(corpus_version).alias("corpus_version"), core.alias("core"), F.coalesce(of(F.lit(-1)), F.array()).alias("partial"), "refused")
