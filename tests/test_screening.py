@@ -54,6 +54,6 @@ def test_empty_sides(spark):
 def test_pairs_and_suppression_read_the_firsts(spark):
     from lodestone import registry
 
-    for name in ("r14_j11_best_pairs", "r15_r16_pair_metrics"):
+    for name in ("r13_suppressed_blocks", "r14_j11_best_pairs", "r15_r16_pair_metrics"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "documents.parquet" not in plan and "Generate" not in plan, name  # written once, few rows
